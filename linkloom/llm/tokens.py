@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 U = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _R = U(0xD6E8FEB86659FD93)
