@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.common import table
 from linkloom.llm.lm import lm_scores
+from linkloom.llm.mixing import mixture
 from linkloom.llm.quality import quality
+from linkloom.llm.toxicity import toxicity
+from linkloom.llm.warc import archive_pages
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +37,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_host_quality, op9_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op4_warc, op5_mixture, op7_host_quality, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
