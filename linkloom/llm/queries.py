@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.llm.common import table
 from linkloom.llm.lm import lm_scores
 from linkloom.llm.mixing import mixture
+from linkloom.llm.pii import pii_report
 from linkloom.llm.quality import quality
+from linkloom.llm.secrets import secrets
 from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
 
@@ -18,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
@@ -26,6 +32,10 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "distrusted"
@@ -37,7 +47,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_warc, op5_mixture, op7_host_quality, op9_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
