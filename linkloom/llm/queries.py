@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.common import table
+from linkloom.llm.decontaminate import contaminated
 from linkloom.llm.lm import lm_scores
 from linkloom.llm.mixing import mixture
 from linkloom.llm.pii import pii_report
@@ -42,12 +43,16 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op9_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -164,6 +164,11 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = to
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the system; executors count it."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with run on slices bounded by the bytes in their texts."""
 
@@ -173,5 +178,6 @@ def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = run(piece)
                 if out is not None and out.num_rows:
                     yield out
+            release()
 
     return df.mapInArrow(over, schema)
