@@ -12,7 +12,7 @@ from linkloom.llm.lm import lm_scores
 from linkloom.llm.mixing import mixture
 from linkloom.llm.pii import pii_report
 from linkloom.llm.quality import quality
-from linkloom.llm.secrets import secrets
+from linkloom.llm.secret_scan import secrets
 from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
 
