@@ -10,6 +10,7 @@ from linkloom.llm.common import table
 from linkloom.llm.decontaminate import contaminated
 from linkloom.llm.lm import lm_scores
 from linkloom.llm.mixing import mixture
+from linkloom.llm.neardup import near_duplicates
 from linkloom.llm.pii import pii_report
 from linkloom.llm.quality import quality
 from linkloom.llm.secret_scan import secrets
@@ -51,8 +52,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score)}
+    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
