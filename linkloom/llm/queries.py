@@ -14,6 +14,7 @@ from linkloom.llm.neardup import near_duplicates
 from linkloom.llm.pii import pii_report
 from linkloom.llm.quality import quality
 from linkloom.llm.secret_scan import secrets
+from linkloom.llm.substrings import substring_dedup
 from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
 
@@ -22,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
