@@ -65,5 +65,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join)}
 
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SQL = {
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, (SELECT unnest(range(20)) AS k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN first_id != page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id != page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
+    "op7_host_quality": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY 1),
+lines AS (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1, 2),
+dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines, sum(n) AS n_lines FROM lines GROUP BY 1),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
+t AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_chars < 2 * n_words OR word_chars > 30 * n_words AS odd,
+  greatest(100 * n_symbols - 30 * n_words, 100 * n_dup_lines - 30 * n_lines, 100 * n_upper - 60 * word_chars) > 0 AS soft,
+  greatest(200 * n_symbols - 30 * n_words, 200 * n_dup_lines - 30 * n_lines, 200 * n_upper - 60 * word_chars) > 0 AS strict FROM m),
+h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft OR odd) AS f FROM t GROUP BY 1),
+p AS (SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS sq FROM h),
+k AS (SELECT m, least(1000, greatest(10, m * (1 - m) / greatest(sq - m * m, 1e-9) - 1)) AS k FROM p),
+v AS (SELECT source, (f + m * k) / (n + k) AS host_rate FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AND NOT (CASE WHEN host_rate >= 0.3 THEN strict ELSE soft END) AS kept, host_rate, host_rate >= 0.3 AS distrusted
+FROM t JOIN v ON t.source IS NOT DISTINCT FROM v.source""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
+z AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY 1),
+r AS (SELECT k, min(doc_id) AS a, count(*) AS n_copies, min(n) AS n FROM z GROUP BY 1),
+rs AS (SELECT a, n, g FROM r JOIN s ON s.doc_id = r.a),
+l AS (SELECT x.a AS a, y.a AS b FROM rs AS x JOIN rs AS y ON x.g = y.g AND x.a != y.a GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+c(a, b) AS (SELECT a, a FROM r UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+cl AS (SELECT a, min(b) AS class_id FROM c GROUP BY 1),
+nl AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(nl.n, 0)::BIGINT AS n_links, coalesce(n_copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN r ON r.k = z.k LEFT JOIN cl ON cl.a = r.a LEFT JOIN nl ON nl.a = r.a""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v.strip() for k, v in SQL.items()}
