@@ -157,24 +157,25 @@ def repeated_stretches(rows: DataFrame, p: Passages) -> DataFrame:
     """doc_id, row, start, stop: stretches of words to remove; they may overlap.  rows: doc_id (long, not null), text."""
     n = p.window
     segs = written(found_segments(rows, p))
-    anchors = cut(segs.where("not repeated").groupBy("m").agg(F.count(F.lit(1)).alias("met"), (F.min("c") != F.max("c")).alias("mixed")).where("met > 1").drop("met"))
-    met = cut(_with_bound(segs.where("not repeated"), anchors, ["m"], p.broadcast_rows))
+    anchors = written(segs.where("not repeated").groupBy("m").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met"))
+    met = written(_with_bound(segs.where("not repeated"), anchors, ["m"], p.broadcast_rows).drop("repeated"))
     firsts = met.groupBy("m", "c").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
     at = F.struct("doc_id", "start")
+    contents = met.groupBy("m").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed")
     known = met.join(firsts.where("times > 1").drop("times"), ["m", "c"], "left")
     stop = (F.col("start") + F.col("n") + (n - 1)).alias("stop")
     later = F.col("first").isNotNull() & (at > F.col("first"))
     whole = segs.where("repeated").select("doc_id", "row", "start", stop).unionAll(known.where(later).select("doc_id", "row", "start", stop))
 
     # First of their kind, with other content at their anchor: their words are needed.
-    mixed = cut(known.where("mixed").where(~later).select("doc_id", "row", "start", "n", "m"))
+    mixed = written(known.where(~later).join(contents, "m", "left_semi").select("doc_id", "row", "start", "n", "m"))
     per = mixed.groupBy("m").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("n") + n).alias("words"))
     large = cut(per.where(F.col("contents") > p.max_contents).select("m", F.lit(True).alias("large")))
     total = per.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-total // p.shard_words))
     listed = mixed.join(F.broadcast(large) if large.count() <= p.broadcast_rows else large, "m", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     wanted = listed.groupBy(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).agg(F.collect_list(F.struct("start", "n", "m", "large")).alias("segs"))  # at most a text's own
-    wanted = cut(wanted)
+    wanted = written(wanted)
     ids = wanted.select("w_id").distinct()
     some = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("w_id"), "left_semi") if ids.count() <= p.broadcast_rows else rows
 
@@ -239,7 +240,7 @@ def without_repeats(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept binary"
     per_id = gone.groupBy("g_id").agg(F.collect_list(F.struct("g_row", "stretches")).alias("stretches"))
-    per_id = cut(per_id)
+    per_id = written(per_id)
     ids = per_id.select("g_id")
     none = F.lit(None).cast(per_id.schema["stretches"].dataType)
     if ids.count() <= p.broadcast_rows:  # texts without repeats then need no shuffle
