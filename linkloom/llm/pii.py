@@ -8,7 +8,7 @@ undone with the key only.  What is kept of each kind:
   length, separators and a valid check digit;
 * iban (country, valid check digits): country, length, character classes, valid check digits;
 * ssn (ddd-dd-dddd within the issued ranges): the form, and the issued ranges;
-* phone (an international or an area-code form of 10 to 15 digits): everything but the digits, and the country code;
+* phone (an area code with its number, or an international form, of 10 to 15 digits): everything but the digits, and the country code;
 * ip (four numbers up to 255, or a full IPv6 address): the form; pseudonyms are valid addresses;
 * date (a day that exists, years 1900 to 2099, as y-m-d, d.m.y, d/m/y or m/d/y): the form; pseudonyms exist;
 * email: letters and digits of the local part keep their class; the domain stays.
@@ -26,7 +26,6 @@ import datetime
 import hashlib
 import ipaddress
 import re
-from bisect import bisect
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -233,7 +232,7 @@ FIND: dict[str, str] = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{3,5})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{10,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}|\+[0-9]{10,15})(?![0-9A-Za-z])",
 }
 MAP: dict[str, Callable[[str, Pseudonyms, bool], str | None]] = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 _COMPILED = {k: re.compile(v, re.A) for k, v in FIND.items()}
@@ -247,22 +246,28 @@ def replacements(text: str, p: Pseudonyms, back: bool = False, memo: dict | None
         return []
     memo = {} if memo is None else memo
     digits = any(c in text for c in "0123456789")
-    taken: list[tuple[int, int, str, str]] = []  # by start
+    taken: list[tuple[int, int, str, str]] = []
+    left = text  # with a mark for each character that an earlier kind took
     for kind in KINDS:
         if not ("@" in text if kind == "email" else digits):
             continue
-        for m in _COMPILED[kind].finditer(text):
-            at = bisect(taken, (m.start(),))
-            if at and taken[at - 1][1] > m.start() or at < len(taken) and taken[at][0] < m.end():
-                continue
+        own = []
+        for m in _COMPILED[kind].finditer(left):
             value = (kind, m[0])
             if value not in memo:
                 if len(memo) > 100_000:
                     memo.clear()
                 memo[value] = MAP[kind](m[0], p, back)
             if memo[value] is not None:
-                taken.insert(at, (m.start(), m.end(), kind, memo[value]))
-    return taken
+                own.append((m.start(), m.end(), kind, memo[value]))
+        if own:
+            parts, at = [], 0
+            for start, end, *_ in own:
+                parts += [left[at:start], "\uffff" * (end - start)]
+                at = end
+            left = "".join([*parts, left[at:]])
+            taken += own
+    return sorted(taken)
 
 
 def pseudonymise(text: str, p: Pseudonyms, back: bool = False, memo: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:

@@ -92,14 +92,17 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _dictionary(pages: DataFrame, a: Archive) -> bytes:
-    """From sample_records pages, those with the least hash, each cut at sample_bytes for this purpose only."""
-    rows = (
-        pages.select("page_id", "url", "html", F.xxhash64("page_id", "url").alias("place"))
-        .orderBy("place", F.col("page_id").asc_nulls_last(), "url")
-        .limit(a.sample_records)
-        .select("page_id", "url", F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, a.sample_bytes).alias("start"))
-        .collect()
-    )
+    """From sample_records pages, those with the least hash, each cut at sample_bytes for this purpose only.
+
+    Hashes are ordered first, without the bodies, so that each task sends a few bytes a page to the driver.
+    """
+    placed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url").alias("place"))
+    last = placed.select("place").orderBy("place").limit(a.sample_records).agg(F.max("place")).first()[0]
+    if last is None:
+        return b""
+    start = F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, a.sample_bytes)
+    rows = placed.where(F.col("place") <= last).select("page_id", "url", "place", start.alias("start")).limit(2 * a.sample_records).collect()
+    rows.sort(key=lambda r: (r.place, r.page_id is None, r.page_id or 0, r.url or ""))
     return train_dictionary([record(r.page_id, r.url, bytes(r.start), hashlib.sha256(r.start).hexdigest(), len(r.start), None, a.date) for r in rows], a)
 
 
