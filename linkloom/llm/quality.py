@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import cut
 from linkloom.llm.tokens import Words, map_texts, mix, ngrams, span_hashes, sums_by, text_buffer
 
 _SYMBOL = np.zeros(256, bool)
@@ -48,6 +49,7 @@ class Rules:
     max_upper_percent: int = 60
     distrust: float = 0.3
     strict: int = 2
+    broadcast_hosts: int = 200_000
 
 
 def _repeats(keys: np.ndarray) -> np.ndarray:
@@ -162,15 +164,19 @@ def host_verdicts(measured: DataFrame, rules: Rules = Rules(), host: str = "sour
 def judge(measured: DataFrame, verdicts: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """measured with host_rate, distrusted and kept.
 
-    A host may hold a third of all documents, so the join is salted: each host's row is
-    repeated for every share and its documents are dealt over the shares.
+    Hosts are counted: at most broadcast_hosts are broadcast, so no document moves.  Beyond that both sides are shuffled; as a
+    host may hold a third of all documents, the join is salted then: each host's row is repeated for every share and its
+    documents are dealt over the shares.
     """
-    shares = F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1)))
-    hosts = verdicts.select("host", "host_rate", "distrusted", shares.alias("share"))
-    d = measured.withColumn("share_of", F.pmod(F.xxhash64(*_METRICS), F.lit(_SHARES)).cast("int"))
-    out = d.join(hosts, (F.col(host).eqNullSafe(F.col("host"))) & (F.col("share_of") == F.col("share")), "left")
+    hosts = cut(verdicts.select("host", "host_rate", "distrusted"))
+    if hosts.count() <= rules.broadcast_hosts:
+        out = measured.join(F.broadcast(hosts), F.col(host).eqNullSafe(F.col("host")), "left")
+    else:
+        hosts = hosts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+        d = measured.withColumn("share_of", F.pmod(F.xxhash64(*_METRICS), F.lit(_SHARES)).cast("int"))
+        out = d.join(hosts, (F.col(host).eqNullSafe(F.col("host"))) & (F.col("share_of") == F.col("share")), "left").drop("share", "share_of")
     failed = F.when(F.coalesce("distrusted", F.lit(False)), F.col("strict_failed")).otherwise(F.col("soft_failed"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~failed).drop("host", "share", "share_of")
+    return out.withColumn("kept", ~F.col("base_failed") & ~failed).drop("host")
 
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -143,7 +143,9 @@ def test_host_verdicts(spark):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))
     rows = [(i, good() if i % 10 else "too short", "fine") for i in range(100)] + [(200 + i, "bad" if i % 5 else good(), "poor") for i in range(100)]
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, salted = ({r.doc_id: r for r in quality.quality(docs, r).collect()} for r in (quality.Rules(), quality.Rules(broadcast_hosts=0)))
+    assert got == salted
     assert got[201].distrusted and not got[1].distrusted and 0.1 <= got[1].host_rate < 0.2 < 0.7 < got[201].host_rate < 0.8
     assert all(r.kept == (len(t.split()) >= 20) for i, t, _ in rows for r in [got[i]])
 
