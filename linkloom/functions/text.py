@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, here.
+
+    Spark would put the expression in wherever the column is read, filters included; a generator of one row stops that.
+    """
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def to_lower(s: Column) -> Column:
     return F.translate(s, _UPPER, _LOWER)
 

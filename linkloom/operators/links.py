@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import url as U
-from linkloom.functions.text import let
+from linkloom.functions.text import computed, let
 from linkloom.operators.scan import scan_css, scan_references
 
 
@@ -22,10 +22,10 @@ def html_references(pages: DataFrame, url: str = "url", body: str = "html") -> D
     """
     keep = [c for c in pages.columns if c != body]
     scanned = pages.select(*keep, scan_references(F.col(body)).alias("_scan"))
-    based = scanned.withColumn("_base", effective_base(U.parse(F.col(url)), F.col("_scan.base_href")))
+    based = computed(scanned, "_base", effective_base(U.parse(F.col(url)), F.col("_scan.base_href")))
     rows = based.select(*keep, "_base", F.explode("_scan.refs").alias("_r")).select(*keep, "_base", "_r.*")
     target = F.when(~U.is_non_fetchable(F.col("ref")), U.resolve(F.col("_base"), F.col("ref")))
-    return rows.withColumn("target", let(target, lambda t: F.when(t.isNotNull() & U.is_http(t), t))).drop("_base")
+    return computed(rows, "target", let(target, lambda t: F.when(t.isNotNull() & U.is_http(t), t))).drop("_base")
 
 
 def discover_html(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
@@ -39,7 +39,7 @@ def discover_css(sheets: DataFrame, url: str = "url", body: str = "css") -> Data
     """Edges of style sheets: imports are css, the rest of unknown kind."""
     keep = [c for c in sheets.columns if c != body]
     rows = sheets.select(*keep, F.posexplode(scan_css(F.col(body))).alias("link", "_l"))
-    target = let(U.resolve(U.parse(F.col(url)), F.col("_l.value")), lambda t: F.when(t.isNotNull() & U.is_http(t), t))
+    target = let(F.when(~U.is_non_fetchable(F.col("_l.value")), U.resolve(U.parse(F.col(url)), F.col("_l.value"))), lambda t: F.when(t.isNotNull() & U.is_http(t), t))
     hint = F.when(F.col("_l.is_import"), "css").otherwise("other")
-    out = rows.select(*keep, "link", F.lit("asset").alias("role"), hint.alias("hint"), F.when(~U.is_non_fetchable(F.col("_l.value")), target).alias("target"))
+    out = computed(rows, "target", target).select(*keep, "link", F.lit("asset").alias("role"), hint.alias("hint"), "target")
     return out.where("target is not null")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from linkloom.functions import url as U
 from linkloom.functions.codec import encode_attribute_text
 from linkloom.functions.paths import relative_link
+from linkloom.functions.text import computed, let
 from linkloom.operators.links import html_references
 from linkloom.operators.scan import scan_css
 
@@ -62,7 +63,7 @@ def localise(refs: DataFrame, manifest: DataFrame, document_path: str = "documen
     A target that the manifest has a file for becomes a relative link; other targets become absolute.
     """
     known = manifest.where("state = 'done' and path != ''").select(F.col("url").alias("_key"), F.col("path").alias("_path"))
-    keyed = refs.withColumn("_target_key", U.url_key(F.col("target")))
+    keyed = computed(refs, "_target_key", U.url_key(F.col("target")))
     joined = keyed.join(known, F.col("_target_key") == F.col("_key"), "left")
     fragment = F.coalesce(F.concat(F.lit("#"), F.nullif(F.col("target.fragment"), F.lit(""))), F.lit(""))
     new: Column = F.when(F.col("target").isNull(), None).when(F.col("_path").isNotNull(), F.concat(relative_link(F.col(document_path), F.col("_path")), fragment)).otherwise(U.to_text(F.col("target")))
@@ -102,7 +103,7 @@ def rewrite_css(sheets: DataFrame, manifest: DataFrame, key: str = "sheet_id", u
     """As rewrite_html, for style sheets."""
     links = sheets.select(key, url, path, F.explode(scan_css(F.col(body))).alias("_l")).select(key, url, path, "_l.*")
     target = F.when(~U.is_non_fetchable(F.col("value")), U.resolve(U.parse(F.col(url)), F.col("value")))
-    refs = localise(links.withColumn("target", target).withColumn("target", F.when(U.is_http(F.col("target")), F.col("target"))), manifest, path)
+    refs = localise(computed(links, "target", let(target, lambda t: F.when(U.is_http(t), t))), manifest, path)
     n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
     grouped = refs.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("offset", "length", "new")).alias("_links"), *map(n, ("localised", "absolutised", "untouched")))
     joined = sheets.join(grouped, F.col(key) == F.col("_key"), "left").withColumn("content", _rewrite_css(F.col(body), F.col("_links")))

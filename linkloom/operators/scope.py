@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import url as U
-from linkloom.functions.text import let
+from linkloom.functions.text import computed, let
 from linkloom.functions.patterns import glob_match, needs_python, robots_matches, robots_specificity
 
 
@@ -32,8 +32,22 @@ class Scope:
     max_file_size: int = 64 << 20
 
 
-def scope_reason(target: Column, role: Column, depth: Column, s: Scope) -> Column:
-    """Why a target is out of scope, by the first rule that says so; null if it is in."""
+def with_scope(rows: DataFrame, target: str, role: str, depth: str, s: Scope, out: str = "reason") -> DataFrame:
+    """rows with why their target is out of scope; null if it is in.  Takes any patterns."""
+    quirky = list(dict.fromkeys(p for p in (*s.exclude, *s.include) if needs_python(p)))
+    matched = {p: f"_glob{k}" for k, p in enumerate(quirky)}
+    found = computed(rows, "_text", U.url_key(F.col(target)))
+    found = found.withColumns({name: glob_match(p, F.col("_text")) for p, name in matched.items()}) if matched else found
+    reason = scope_reason(F.col(target), F.col(role), F.col(depth), s, {p: F.col(name) for p, name in matched.items()})
+    return computed(found, out, reason).drop("_text", *matched.values())
+
+
+def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched: dict[str, Column] | None = None) -> Column:
+    """Why a target is out of scope, by the first rule that says so; null if it is in.
+
+    matched: whether patterns match, for those with a single star after a doubled one; with_scope() finds them.
+    """
+    matched = matched or {}
     home = U.parse(F.lit(s.primary))
 
     def of(t: Column) -> Column:
@@ -44,9 +58,9 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope) -> Colum
         if not s.allow_private_hosts:
             out = out.when(U.is_private_host(t["host"]), "private or loopback host")
         for p in s.exclude:
-            out = out.when(glob_match(p, text), f"matched --exclude {p}")
+            out = out.when(matched[p] if p in matched else glob_match(p, text), f"matched --exclude {p}")
         if s.include:
-            out = out.when(~F.greatest(*[glob_match(p, text) for p in s.include], F.lit(False)), "did not match any --include pattern")
+            out = out.when(~F.greatest(*[matched[p] if p in matched else glob_match(p, text) for p in s.include], F.lit(False)), "did not match any --include pattern")
         page = role == "navigation"
         if not s.recursive:
             out = out.when(page & (depth > 0), "not recursing (use --recursive)")
@@ -59,9 +73,9 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope) -> Colum
             out = out.when(~page & ~at_home, "third-party asset")
         return out
 
-    quirky = [p for p in (*s.exclude, *s.include) if needs_python(p)]
-    if quirky:
-        raise ValueError(f"patterns with a single star after a doubled one can't be used in a scope: {quirky}")
+    missing = [p for p in (*s.exclude, *s.include) if needs_python(p) and p not in matched]
+    if missing:
+        raise ValueError(f"patterns that with_scope() must match first: {missing}")
     return let(target, of)
 
 
