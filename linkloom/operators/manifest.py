@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,40 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return lenient(rows.where("url != ''").select("url", F.from_json("entry", entry).alias("e")).select("url", "e.*"))
 
 
+def load_document(spark: SparkSession, file: str) -> tuple[dict, DataFrame]:
+    """The header and the rows of a manifest in one JSON document (format, source, created_at, updated_at, entries by URL).
+
+    A missing file is an empty manifest.  Such a document is held by one task; for large manifests use save_json's form.
+    """
+    import json
+
+    entry = T.StructType([f for f in SCHEMA if f.name != "url"])
+    whole = T.StructType().add("format", T.IntegerType()).add("source", T.StringType()).add("created_at", T.LongType()).add("updated_at", T.LongType()).add("entries", T.MapType(T.StringType(), entry))
+    try:
+        texts = spark.read.text(file, wholetext=True)
+        broken = texts.where(F.try_parse_json("value").isNull()).count()
+    except AnalysisException:
+        return {}, lenient(spark.createDataFrame([], SCHEMA))
+    if broken:
+        raise ValueError(f"{file} is not valid JSON")
+    parsed = texts.select(F.from_json("value", whole).alias("m"))
+    head = json.loads(parsed.select(F.to_json(F.struct("m.format", "m.source", "m.created_at", "m.updated_at"))).first()[0])
+    if head.get("format", 0) > FORMAT:
+        raise ValueError(f"manifest format {head['format']} is newer than {FORMAT}")
+    return head, lenient(parsed.select(F.explode("m.entries").alias("url", "e")).select("url", "e.*"))
+
+
+def document_text(manifest: DataFrame, source: str, created_at: int = 0) -> DataFrame:
+    """One row with the manifest as one JSON document, indented, entries sorted by URL; created_at 0 is now."""
+    lines = to_json(manifest).agg(F.array_sort(F.collect_list(F.struct("url", F.from_json("entry", T.StructType([f for f in SCHEMA if f.name != "url"])).alias("e")))).alias("rows"))
+    now = F.unix_timestamp()
+    made = F.struct(
+        F.lit(FORMAT).alias("format"), F.lit(source).alias("source"), (F.lit(created_at) if created_at else now).alias("created_at"), now.alias("updated_at"),
+        F.map_from_entries("rows").alias("entries"),
+    )
+    return lines.select(F.to_json(made, {"pretty": "true"}).alias("value"))
+
+
 def upsert(manifest: DataFrame, changes: DataFrame) -> DataFrame:
     """manifest with changes put over it; the later of several changes to one URL (by fetched_at) wins."""
     both = manifest.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))

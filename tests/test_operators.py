@@ -116,6 +116,19 @@ def test_manifest_upkeep(spark, table, tmp_path):
     assert sorted(back.collect()) == sorted(new.select(back.columns).collect())
 
 
+def test_manifest_document(spark, table, tmp_path):
+    file = tmp_path / "manifest.json"
+    assert manifest.load_document(spark, str(file))[1].count() == 0
+    file.write_text(manifest.document_text(table, "http://h/", 5).first()[0])
+    head, back = manifest.load_document(spark, str(file))
+    assert (head["format"], head["source"], head["created_at"]) == (1, "http://h/", 5)
+    assert sorted(back.collect()) == sorted(table.select(back.columns).collect()) and '"note" : ""' not in file.read_text()
+    for text, words in (("{", "JSON"), ('{"format": 2}', "newer")):
+        file.write_text(text)
+        with pytest.raises(ValueError, match=words):
+            manifest.load_document(spark, str(file))
+
+
 def test_frontier(spark):
     edges = spark.createDataFrame([("a", "b", "navigation", 0), ("b", "c", "navigation", 0), ("c", "a", "navigation", 0), ("a", "s", "asset", 1), ("s", "t", "asset", 0), ("c", "d", "navigation", 1), ("b", "s", "asset", 1)], "src string, dst string, role string, pos int")
     seeds = spark.createDataFrame([("a",)], "url string")
