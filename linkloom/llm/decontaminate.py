@@ -28,9 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from linkloom.llm.tokens import Words, lower_ascii, map_texts, ngrams, text_buffer
+from linkloom.llm.tokens import Words, map_texts, ngrams, text_buffer
 from linkloom.llm.toxicity import _BREAK
 
 
@@ -63,8 +64,8 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lowered(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    buf, off = text_buffer(text)
-    return lower_ascii(buf), off
+    """Lower case in every script, as a leaked item may stand at another place in its sentence."""
+    return text_buffer(pc.utf8_lower(text.cast(pa.large_string())))
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
