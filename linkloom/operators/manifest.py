@@ -164,6 +164,12 @@ def run_counters(events: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(events: DataFrame, stop: str = "") -> DataFrame:
+    """One row with the counters of a run, and why it stopped early if it did, as JSON."""
+    counters = run_counters(events)
+    return counters.select(F.to_json(F.struct(*counters.columns, F.lit(bool(stop)).alias("stopped_early"), *([F.lit(stop).alias("stop_reason")] if stop else []))).alias("summary"))
+
+
 def path_collisions(manifest: DataFrame) -> DataFrame:
     """Paths that several URLs map to, of which only the last written survives."""
     return manifest.where("state = 'done' and path != ''").groupBy("path").agg(F.count(F.lit(1)).alias("urls")).where("urls > 1")

@@ -269,15 +269,34 @@ def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = "CASE page_id % 5 WHEN 0 THEN 'reused' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'failed' ELSE 'downloaded' END"
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id") % 5
+    outcome = F.when(i == 0, "reused").when(i == 1, "unchanged").when(i == 2, "failed").otherwise("downloaded")
+    return derived(spark, sf_dir).select("kind", F.col("size").alias("bytes"), outcome.alias("outcome"))
+
+
 @query(
     f"""WITH {_MANIFEST}, e AS (SELECT kind, size, {_EVENTS} AS outcome FROM m) SELECT count_if(outcome = 'downloaded')::BIGINT AS downloaded, count_if(outcome = 'reused')::BIGINT AS reused,
     count_if(outcome = 'unchanged')::BIGINT AS unchanged, count_if(outcome = 'skipped')::BIGINT AS skipped, count_if(outcome = 'failed')::BIGINT AS failed, sum(size) FILTER (outcome = 'downloaded')::BIGINT AS bytes,
     count_if(outcome = 'downloaded' AND kind = 'html')::BIGINT AS pages, count_if(outcome = 'downloaded' AND kind != 'html')::BIGINT AS assets FROM e"""
 )
 def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id") % 5
-    outcome = F.when(i == 0, "reused").when(i == 1, "unchanged").when(i == 2, "failed").otherwise("downloaded")
-    return M.run_counters(derived(spark, sf_dir).select("kind", F.col("size").alias("bytes"), outcome.alias("outcome")))
+    return M.run_counters(_events(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_MANIFEST}, e AS (SELECT kind, size, {_EVENTS} AS outcome FROM m) SELECT '{{{{"downloaded":' || count_if(outcome = 'downloaded') || ',"reused":' || count_if(outcome = 'reused') || ',"unchanged":' || count_if(outcome = 'unchanged')
+    || ',"skipped":0,"failed":' || count_if(outcome = 'failed') || ',"bytes":' || (sum(size) FILTER (outcome = 'downloaded'))::BIGINT || ',"pages":' || count_if(outcome = 'downloaded' AND kind = 'html')
+    || ',"assets":' || count_if(outcome = 'downloaded' AND kind != 'html') || ',"stopped_early":false}}}}' AS summary FROM e""".replace("{{", "{").replace("}}", "}")
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_summary(_events(spark, sf_dir))
+
+
+@query(f"WITH {_MANIFEST} SELECT url, CASE WHEN state = 'done' THEN nullif(etag, '') END AS if_none_match FROM m")
+def conditional_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = derived(spark, sf_dir)
+    return M.conditional_headers(m.select("url"), m).select("url", "if_none_match")
 
 
 _FILES = "f AS (SELECT 'p/' || page_id || '.html' AS path, sha256(CASE WHEN page_id % 4 = 0 THEN html || 'x' ELSE html END) AS found FROM pages WHERE page_id < 200 AND page_id % 6 != 0)"
