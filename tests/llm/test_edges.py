@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import decontaminate, lm, mixing, neardup, pii, quality, secret_scan, substrings, toxicity, warc
+from linkloom.llm import common, decontaminate, lm, mixing, neardup, pii, quality, secret_scan, substrings, toxicity, warc
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
 ROWS = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "one two three", "en", "a", 9), (3, "one two three", "en", "a", 9), (None, "one two three four five six", "de", "b", 9), (5, LONG, None, "b", None), (6, " \t\n ", "en", "a", 1)]
@@ -70,3 +70,8 @@ def test_stages_keep_columns(spark, docs, sf):
         ids = sorted(str(r.doc_id) for r in out.collect())
         want = {"quality rules": [], "near duplicates": ["1", "2", "3", "5", "6", "None"]}.get(name)
         assert ids == want if want is not None else set(ids) <= {str(r[0]) for r in ROWS}, name
+
+
+def test_intermediate_tables_can_be_dropped(spark, docs):
+    neardup.near_duplicates(docs).count()
+    assert common.drop_tables(spark) > 0 and common.drop_tables(spark) == 0
