@@ -23,7 +23,8 @@ def html_references(pages: DataFrame, url: str = "url", body: str = "html") -> D
     keep = [c for c in pages.columns if c != body]
     scanned = pages.select(*keep, scan_references(F.col(body)).alias("_scan"))
     based = computed(scanned, "_base", effective_base(U.parse(F.col(url)), F.col("_scan.base_href")))
-    rows = based.select(*keep, "_base", F.explode("_scan.refs").alias("_r")).select(*keep, "_base", "_r.*")
+    # An outer explode: for an inner one Spark puts a test of the array's size below it, and scans each page twice.
+    rows = based.select(*keep, "_base", F.explode_outer("_scan.refs").alias("_r")).where("_r is not null").select(*keep, "_base", "_r.*")
     target = F.when(~U.is_non_fetchable(F.col("ref")), U.resolve(F.col("_base"), F.col("ref")))
     return computed(rows, "target", let(target, lambda t: F.when(t.isNotNull() & U.is_http(t), t))).drop("_base")
 
@@ -38,7 +39,7 @@ def discover_html(pages: DataFrame, url: str = "url", body: str = "html") -> Dat
 def discover_css(sheets: DataFrame, url: str = "url", body: str = "css") -> DataFrame:
     """Edges of style sheets: imports are css, the rest of unknown kind."""
     keep = [c for c in sheets.columns if c != body]
-    rows = sheets.select(*keep, F.posexplode(scan_css(F.col(body))).alias("link", "_l"))
+    rows = sheets.select(*keep, F.posexplode_outer(scan_css(F.col(body))).alias("link", "_l")).where("_l is not null")
     target = let(F.when(~U.is_non_fetchable(F.col("_l.value")), U.resolve(U.parse(F.col(url)), F.col("_l.value"))), lambda t: F.when(t.isNotNull() & U.is_http(t), t))
     hint = F.when(F.col("_l.is_import"), "css").otherwise("other")
     out = computed(rows, "target", target).select(*keep, "link", F.lit("asset").alias("role"), hint.alias("hint"), "target")

@@ -101,7 +101,7 @@ def _rewrite_css(css: pd.Series, links: pd.Series) -> pd.Series:
 
 def rewrite_css(sheets: DataFrame, manifest: DataFrame, key: str = "sheet_id", url: str = "url", body: str = "css", path: str = "document_path") -> DataFrame:
     """As rewrite_html, for style sheets."""
-    links = sheets.select(key, url, path, F.explode(scan_css(F.col(body))).alias("_l")).select(key, url, path, "_l.*")
+    links = sheets.select(key, url, path, F.explode_outer(scan_css(F.col(body))).alias("_l")).where("_l is not null").select(key, url, path, "_l.*")
     target = F.when(~U.is_non_fetchable(F.col("value")), U.resolve(U.parse(F.col(url)), F.col("value")))
     refs = localise(computed(links, "target", let(target, lambda t: F.when(U.is_http(t), t))), manifest, path)
     n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
