@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
 
     done = typed(pages, a).mapInArrow(write, "path string, records long, bytes long")
     # What is written outlives a lost executor only if it isn't written again: this table keeps the names.
-    listing = f"{folder}/_listing"
+    listing = f"{folder}/listing"
     done.write.parquet(listing)
     return spark.read.schema("path string, records long, bytes long").parquet(listing)
 
