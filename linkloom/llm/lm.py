@@ -10,11 +10,12 @@ lookup probes level after level until one is missing, which gives the quantised
 Model: p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu), with h' the history less its first
 word, over quantised counts, held at 1 at most; at the bottom p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
-Size bound: the filter never exceeds ``max_filter_mb``.  Where the corpus has more n-grams
-than that holds at ``bits_per_entry``, n-grams of two or more words below the least count
-that fits are left out of the filter (all are counted first); one-word counts always stay.
-The exact word counts for the base score are broadcast if there are at most
-``max_vocabulary`` words, else texts' words are shuffled to the counts.
+Size: the filter has ``bits_per_entry`` for each entry, so it grows with the corpus and holds
+every n-gram.  It is broadcast up to ``max_filter_mb``, with the exact word counts for the base
+score, up to ``max_vocabulary`` words.  Beyond either, it is probed slice by slice: texts are
+taken in chunks of about a million tokens, the distinct hashes of a chunk are dealt to the
+segments, each looks them up in its own slice and word counts, and the levels come back to the
+chunk.  Both ways give the same scores.
 
 Defined cases: a null text is empty and has its end token alone; an empty table or one
 without training rows gives c = N = V = 0, where the base score has p = 1 for each token;
@@ -23,11 +24,12 @@ repeated rows are each scored; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from linkloom.llm.tokens import U, Words, lower_ascii, map_texts, mix, ngrams, p
 
 _BEGIN, _END = U(0x51ED270B7F4A1C35), U(0x2545F4914F6CDD1D)
 _FLUSH = 1_000_000
+_CHUNK_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Everything that scoring needs; bits: the filter, one slice after the other."""
+    """Everything that scoring needs; bits: the filter, one slice after the other, or empty where it is not broadcast;
+    least: the least level that the filter holds."""
 
     settings: Settings
     bits: np.ndarray
@@ -60,12 +64,17 @@ class Model:
     segments: int
     tokens: int
     words: int
-    least: int
+    least: int = 1
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """The quantised level of each n-gram hash; 0: not in the filter."""
+    @property
+    def broadcast(self) -> bool:
+        return (len(self.bits) > 0 or not self.slice_bits) and self.words <= self.settings.max_vocabulary
+
+    def levels(self, h: np.ndarray, bits: np.ndarray | None = None, slice_at: int = 0) -> np.ndarray:
+        """The quantised level of each n-gram hash; 0: not in the filter.  bits: slices from slice_at on, else the whole filter."""
+        bits = self.bits if bits is None else bits
         out = np.zeros(len(h), np.int64)
-        if not self.slice_bits:
+        if not len(bits):
             return out
         at = np.arange(len(h))
         level = 1
@@ -73,19 +82,23 @@ class Model:
             x = h[at]
             seen = np.ones(len(at), bool)
             for where in positions(x, level, self.slice_bits, self.segments, self.settings.probes):
-                seen &= (self.bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 != 0
+                where = where - slice_at * self.slice_bits
+                seen &= (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 != 0
             at = at[seen]
             out[at] = level
             level += 1
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts that each n-gram's level stands for."""
-        unique, back = np.unique(h, return_inverse=True)
-        level = self.levels(unique)
+    def middle(self, level: np.ndarray) -> np.ndarray:
+        """The middle of the range of counts that each level stands for."""
         low = np.ceil(self.settings.base ** np.maximum(level - 1, 0) - 1e-9)
         high = np.maximum(np.ceil(self.settings.base ** np.maximum(level, 0) - 1e-9) - 1, low)
-        return np.where(level > 0, (low + high) / 2, 0.0)[back]
+        return np.where(level > 0, (low + high) / 2, 0.0)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The quantised count of each n-gram, by the broadcast filter."""
+        unique, back = np.unique(h, return_inverse=True)
+        return self.middle(self.levels(unique))[back]
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
@@ -132,13 +145,34 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[lead], np.add.reduceat(c, lead)
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """Ascending distinct hashes: the width of a step, the first hash, and the steps between them byte by byte, the high ones of which compress."""
+    if not len(h):
+        return b""
+    step = np.diff(h)
+    width = (int(step.max()).bit_length() + 7) // 8 if len(step) else 0
+    return bytes([width]) + h[:1].astype("<u8").tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U)
+    width = data[0]
+    n = (len(data) - 9) // width if width else 0
+    out = np.zeros((n + 1, 8), np.uint8)
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
+    if n:
+        out[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(width, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=U)
+
+
 def _narrow(c: np.ndarray) -> bytes:
     """Counts as one byte each where they fit, else eight; the length tells which."""
     return (c.astype(np.uint8) if not len(c) or c.max() < 256 else c.astype(np.int64)).tobytes()
 
 
 def _read(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(h, U)
+    keys = _unpacked(h)
     return keys, np.frombuffer(c, np.uint8 if len(c) == len(keys) else np.int64).astype(np.int64)
 
 
@@ -159,7 +193,7 @@ def count_ngrams(train: DataFrame, s: Settings, text: str = "text") -> DataFrame
             h, c = _summed(np.concatenate([p[0] for p in held[n]]), np.concatenate([p[1] for p in held[n]]))
             held[n].clear()
             cuts = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
-            rows = [(k, h[a:b].tobytes(), _narrow(c[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows = [(k, _packed(h[a:b]), _narrow(c[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in rows], [n] * len(rows), [r[1] for r in rows], [r[2] for r in rows]), partial_schema)], schema=partial_schema)
 
         for batch in batches:
@@ -181,7 +215,7 @@ def count_ngrams(train: DataFrame, s: Settings, text: str = "text") -> DataFrame
             at = np.flatnonzero(of == n)
             runs = [_read(group.column("h")[int(i)].as_py(), group.column("c")[int(i)].as_py()) for i in at]
             x, y = _summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])) if runs else (np.zeros(0, U), np.zeros(0, np.int64))
-            h.append(x.tobytes())
+            h.append(_packed(x))
             c.append(_narrow(y))
         release()
         return pa.table({"segment": group.column("segment")[:1], "h": pa.array([h], pa.list_(pa.binary())), "c": pa.array([c], pa.list_(pa.binary()))})
@@ -199,38 +233,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[n
         release()
 
 
-def fit(train: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of exact counts that it was made from."""
-    segments = segments_for(train, s)
-    counts = written(count_ngrams(train, s, text))
-    level_of = lambda c: np.floor(np.log(c) / np.log(s.base) + 1e-9).astype(np.int64) + 1
+def levels_of(c: np.ndarray, s: Settings) -> np.ndarray:
+    return np.floor(np.log(c) / np.log(s.base) + 1e-9).astype(np.int64) + 1
 
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _rows(batches):
-            for n, (_, c) in enumerate(parts, 1):
-                top = np.bincount(level_of(c))
-                rows = [(n, k, int(x), 0) for k, x in enumerate(top) if x] + [(n, 0, 0, int(c.sum()))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["n", "level", "grams", "total"])
 
-    # A row for each n and level: at most order * 130 of them.
-    rows = counts.mapInArrow(needs, "n int, level int, grams long, total long").groupBy("n", "level").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total")).collect()
-    tokens = sum(r.total for r in rows if r.n == 1)
-    words = sum(r.grams for r in rows if r.n == 1)
-    room = s.max_filter_mb * (1 << 20) * 8 // s.bits_per_entry
-    singles = sum(r.grams * r.level for r in rows if r.n == 1)
-    least = 1
-    while (entries := singles + sum(r.grams * r.level for r in rows if r.n > 1 and r.level >= least)) > room and any(r.level >= least for r in rows if r.n > 1):
-        least += 1
-    slice_bits = -(-min(entries, room) * s.bits_per_entry // segments)
-    slice_bits = (slice_bits // 8 + 1) * 8 if slice_bits else 0
+def slices(counts: DataFrame, m: Model) -> DataFrame:
+    """A row for each segment: its slice of the filter, and the hashes and exact counts of its words."""
+    s, slice_bits, segments = m.settings, m.slice_bits, m.segments
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, parts in _rows(batches):
             bits = np.zeros(slice_bits // 8, np.uint8)
-            for n, (h, c) in enumerate(parts, 1):
-                level = level_of(c)
-                if n > 1:
-                    h, level = h[level >= least], level[level >= least]
+            for h, c in parts:
+                level = levels_of(c, s)
                 k = 1
                 while len(h):
                     for where in positions(h, k, slice_bits, segments, s.probes):
@@ -238,30 +253,52 @@ def fit(train: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple
                         np.bitwise_or.at(bits, where >> 3, np.left_shift(np.uint8(1), (where & 7).astype(np.uint8)))
                     h, level = h[level > k], level[level > k]
                     k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+            h, c = parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), _packed(h), _narrow(c)))], names=["segment", "bits", "h", "c"])
+
+    return counts.mapInArrow(build, "segment int, bits binary, h binary, c binary")
+
+
+def fit(train: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and the table of exact counts that it was made from."""
+    segments = segments_for(train, s)
+    counts = written(count_ngrams(train, s, text))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _rows(batches):
+            for n, (_, c) in enumerate(parts, 1):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((n, int(levels_of(c, s).sum()), len(c), int(c.sum())), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["n", "entries", "grams", "total"])
 
+    rows = counts.mapInArrow(needs, "n int, entries long, grams long, total long").groupBy("n").agg(*[F.sum(c).alias(c) for c in ("entries", "grams", "total")]).collect()
+    tokens = sum(r.total for r in rows if r.n == 1)
+    words = sum(r.grams for r in rows if r.n == 1)
+    slice_bits = -(-sum(r.entries for r in rows) * s.bits_per_entry // segments)
+    slice_bits = (slice_bits // 8 + 1) * 8 if slice_bits else 0
+    model = Model(s, np.zeros(0, np.uint8), slice_bits, segments, tokens, words)
+    if not slice_bits or slice_bits // 8 * segments > s.max_filter_mb << 20:
+        return model, counts
     bits = np.zeros(slice_bits // 8 * segments, np.uint8)
-    if slice_bits:  # at most max_filter_mb come to the driver
-        for r in counts.mapInArrow(build, "segment int, bits binary").toLocalIterator():
-            at = r.segment * slice_bits // 8
-            bits[at : at + slice_bits // 8] = np.frombuffer(r.bits, np.uint8)
-    return Model(s, bits, slice_bits, segments, tokens, words, least), counts
+    for r in slices(counts, model).select("segment", "bits").toLocalIterator():  # at most max_filter_mb come to the driver
+        at = r.segment * slice_bits // 8
+        bits[at : at + slice_bits // 8] = np.frombuffer(r.bits, np.uint8)
+    return replace(model, bits=bits), counts
 
 
-def model_log10(m: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 p of each text under the model."""
+def model_log10(m: Model, tokens: np.ndarray, first: np.ndarray, counts: Callable[[np.ndarray, int], np.ndarray] | None = None) -> np.ndarray:
+    """log10 p of each text under the model; counts: the quantised counts of hashes of n-grams, else those of the broadcast filter."""
     s = m.settings
+    counts = counts or (lambda h, n: m.counts(h))
     p = None
     back = np.zeros(0)
     for n in range(1, s.order + 1):
         at, h = grams_of(tokens, first, n)
-        c = m.counts(h)
+        c = counts(h, n)
         full = np.full(len(tokens), -1.0)
         full[at + n - 1] = c
         if n == 1:
             p = (full + 0.1) / (m.tokens + 0.1 * (m.words + 1))
             history = full
-            history[first[:-1]] = m.counts(np.array([_END]))[0] if len(first) > 1 else 0  # a begin for each end
+            history[first[:-1]] = counts(np.array([_END]), 1)[0] if len(first) > 1 else 0  # a begin for each end
         else:
             past = np.zeros(len(tokens))
             past[1:] = history[:-1]
@@ -282,15 +319,98 @@ def lookup(keys: np.ndarray, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, counts[at], 0)
 
 
+def _score_by_slices(docs: DataFrame, m: Model, counts: DataFrame, text: str, carry: list[str], head: str) -> DataFrame:
+    """score() with the filter and the word counts left in their segments."""
+    order, segments, every = m.settings.order, m.segments, m.tokens + 0.1 * (m.words + 1)
+    m = replace(m, bits=np.zeros(0, np.uint8))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], list[tuple]]]:
+        """A number, the pieces and their tokens, of about _CHUNK_TOKENS together; a task that is repeated makes the same."""
+        number, held, known, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for piece in pieces(batch, text):
+                held.append(piece)
+                known.append(tokens_of(piece.column(text)))
+                size += len(known[-1][0])
+                if size >= _CHUNK_TOKENS:
+                    yield number, held, known
+                    number, held, known, size = number + 1, [], [], 0
+            release()
+        if held:
+            yield number, held, known
+
+    def distinct(known: list[tuple], n: int) -> np.ndarray:
+        return np.unique(np.concatenate([np.unique(grams_of(*x, n)[1]) for x in known]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, known in chunks(batches):
+            cuts, packed = [], []
+            for n in range(1, order + 1):
+                h = distinct(known, n)
+                cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
+                cuts.append(np.diff(cut))
+                packed.append([_packed(h[a:b]) for a, b in zip(cut[:-1], cut[1:])])
+            some = np.flatnonzero(np.sum(cuts, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([[p[k] for p in packed] for k in some], pa.list_(pa.binary()))], names=["segment", "chunk", "h"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for number, held, _ in chunks(batches):
+            for k, piece in enumerate(held):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
+                    writer.write_batch(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "k", "piece"])
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.frombuffer(held.column("bits")[0].as_py(), np.uint8) if held.num_rows else np.zeros(0, np.uint8)
+        keys, exact = _read(held.column("h")[0].as_py(), held.column("c")[0].as_py()) if held.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
+        rows = []
+        for parts in asked.column("h"):
+            h = [_unpacked(x.as_py()) for x in parts.values]
+            segment = int(segment_of(np.concatenate(h)[:1], segments)[0])
+            # The hashes' sum tells that the chunk that reads the levels is the one that asked.
+            rows.append((segment, int(np.concatenate(h).sum().view(np.int64)), [m.levels(x, bits, segment).astype(np.uint8).tobytes() for x in h], _narrow(lookup(keys, exact, h[0]))))
+        release()
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary())
+        return pa.table({"chunk": asked.column("chunk"), **{k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(zip(("segment", "total", "levels", "c"), kinds))}})
+
+    def judge(of: pa.Table, found: pa.Table) -> pa.Table:
+        held = [pa.ipc.open_stream(x.as_py()).read_next_batch() for x in of.sort_by("k").column("piece")]
+        known = [tokens_of(x.column(text)) for x in held]
+        found = found.sort_by("segment")
+        keys = [distinct(known, n) for n in range(1, order + 1)]
+        quantised = [m.middle(np.frombuffer(b"".join(x.values[n].as_py() for x in found.column("levels")), np.uint8).astype(np.int64)) for n in range(order)]
+        word_level = [len(x.values[0].as_py()) for x in found.column("levels")]
+        exact = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == n else np.int64).astype(np.int64) for n, c in zip(word_level, (x.as_py() for x in found.column("c")))])
+        total = np.array(found.column("total").to_pylist(), np.int64).view(U).sum()
+        if any(len(a) != len(b) for a, b in zip(keys, quantised)) or np.concatenate(keys).sum() != total:
+            raise RuntimeError("the texts came in another order the second time; checkpoint them first")
+        out = []
+        for piece, (tokens, first) in zip(held, known):
+            c = exact[np.searchsorted(keys[0], tokens[tokens != _BEGIN])]
+            at = first - np.arange(len(first))
+            new = (np.diff(at), sums_by(c > 0, at), sums_by(np.log10((c + 0.1) / every), at), model_log10(m, tokens, first, lambda h, n: quantised[n - 1][np.searchsorted(keys[n - 1], h)]))
+            out.append(pa.RecordBatch.from_arrays([piece.column(x) for x in carry] + [pa.array(v) for v in new], names=[*carry, "n_tokens", "n_known", "base_score", "score"]))
+        release()
+        return pa.Table.from_batches(out).combine_chunks()
+
+    # Both passes take the same columns, so they make the same chunks.
+    asked = docs.mapInArrow(send, "segment int, chunk long, h array<binary>").groupBy("segment")
+    found = asked.cogroup(slices(counts, m).groupBy("segment")).applyInArrow(meet, "chunk long, segment int, total long, levels array<binary>, c binary")
+    of = docs.mapInArrow(texts, "chunk long, k int, piece binary").groupBy("chunk")
+    return of.cogroup(found.groupBy("chunk")).applyInArrow(judge, f"{head}, n_tokens long, n_known long, base_score double, score double")
+
+
 def score(docs: DataFrame, m: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns but the text, with n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c != text]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     floor, every = 0.1, m.tokens + 0.1 * (m.words + 1)
-    shared = spark.sparkContext.broadcast(m)
-    exact = counts.select("segment", F.element_at("h", 1).alias("h"), F.element_at("c", 1).alias("c"))
-    if m.words <= m.settings.max_vocabulary:
+    if m.broadcast:
+        shared = spark.sparkContext.broadcast(m)
+        exact = counts.select(F.element_at("h", 1).alias("h"), F.element_at("c", 1).alias("c"))
         runs = [_read(bytes(r.h), bytes(r.c)) for r in exact.toLocalIterator()]
         keys = np.concatenate([r[0] for r in runs]) if runs else np.zeros(0, U)
         known = np.concatenate([r[1] for r in runs]) if runs else np.zeros(0, np.int64)
@@ -310,39 +430,7 @@ def score(docs: DataFrame, m: Model, counts: DataFrame, text: str = "text") -> D
 
         found = map_texts(docs, run, f"{head}, n_tokens long, n_known long, base_score double, score double", text)
     else:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        segments = m.segments
-
-        def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, first = tokens_of(batch.column(text))
-            out = {"_row": batch.column("_row"), "n_tokens": pa.array(np.diff(first) - 1), "score": pa.array(model_log10(shared.value, tokens, first))}
-            return pa.RecordBatch.from_arrays([batch.column(x) for x in carry] + list(out.values()), names=[*carry, *out])
-
-        def send(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, first = tokens_of(batch.column(text))
-            row = np.repeat(batch.column("_row").to_numpy(), np.diff(first))
-            words = tokens != _BEGIN
-            h, row = tokens[words], row[words]
-            seg = segment_of(h, segments)
-            order = np.argsort(seg, kind="stable")
-            cuts = np.searchsorted(seg[order], np.arange(segments + 1))
-            parts = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([row[i].tobytes() for _, i in parts], pa.binary()), pa.array([h[i].tobytes() for _, i in parts], pa.binary())], names=["segment", "rows", "h"])
-
-        def meet(words: pa.Table, held: pa.Table) -> pa.Table:
-            keys, known = _read(held.column("h")[0].as_py(), held.column("c")[0].as_py()) if held.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
-            out = []
-            for r, h in zip(words.column("rows"), words.column("h")):
-                row, h = np.frombuffer(r.as_py(), np.int64), np.frombuffer(h.as_py(), U)
-                c = lookup(keys, known, h)
-                ids, back = np.unique(row, return_inverse=True)
-                out.append((ids, np.bincount(back, c > 0, len(ids)).astype(np.int64), np.bincount(back, np.log10((c + floor) / every), len(ids))))
-            return pa.table({k: pa.array(np.concatenate([o[i] for o in out]) if out else np.zeros(0, t), t and pa.from_numpy_dtype(t)) for i, (k, t) in enumerate((("_row", np.int64), ("n_known", np.int64), ("base_score", np.float64)))})
-
-        sent = map_texts(numbered.select("_row", text), send, "segment int, rows binary, h binary", text)
-        parts = sent.groupBy("segment").cogroup(exact.groupBy("segment")).applyInArrow(meet, "_row long, n_known long, base_score double")
-        sums = parts.groupBy("_row").agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"))
-        found = map_texts(numbered, own, f"{head}, _row long, n_tokens long, score double", text).join(sums, "_row").drop("_row")
+        found = _score_by_slices(docs, m, counts, text, carry, head)
     return found.withColumn("train_tokens", F.lit(m.tokens).cast("long"))
 
 

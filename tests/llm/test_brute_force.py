@@ -240,6 +240,21 @@ def test_bloom_levels(spark, rows):
     assert small.least > 1 or not len(small.bits)
 
 
+@pytest.mark.parametrize("s", [lm.Settings(max_filter_mb=0), lm.Settings(max_vocabulary=5), lm.Settings(max_filter_mb=0, order=3)])
+def test_no_ngram_is_left_out_beyond_the_broadcast_bound(spark, rows, s, monkeypatch):
+    monkeypatch.setattr(lm, "_CHUNK_TOKENS", 5000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole, apart = ({r.doc_id: r for r in lm.lm_scores(docs, x).collect()} for x in (lm.Settings(order=s.order), s))
+    assert whole.keys() == apart.keys()
+    for i, r in whole.items():
+        assert r[:5] == apart[i][:5] and math.isclose(r.score, apart[i].score, rel_tol=1e-9) and math.isclose(r.base_score, apart[i].base_score, rel_tol=1e-9)
+
+
+def test_packed_hashes():
+    for h in ([], [7], [0, 1, 2**64 - 1], [3, 5, 2**40], list(range(100, 500, 3))):
+        assert lm._unpacked(lm._packed(np.array(h, np.uint64))).tolist() == h
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(4)
     rows, labels = [], []
