@@ -5,13 +5,14 @@ fail a kind's test are dropped after they have taken their place.  Starts come f
 matches, so spans are in code points.
 
 The method adds weak candidates: access identifiers, secrets and endpoints that prove nothing alone.
-They are interval-joined within scopes, stretches of scope_chars overlapping by half, so that two spans
-whose distance is at most half of that share a scope; a weak candidate is reported when spans of
+They are interval-joined within scopes, stretches of half of scope_chars: a weak candidate is in each scope that
+it touches and the others in each that they touch when widened by that half on both sides, so that two spans whose
+distance is at most half of scope_chars share a scope, however long they are; a weak candidate is reported when spans of
 complementary parts lie within that distance: an identifier or endpoint needs a secret, a secret needs an identifier.
 Base spans take part as strong identifiers (access) and secrets (assign, hex).
 
 Only spans are shuffled for that, never texts, keyed by doc_id, a hash of the text and the scope.  A scope
-holds at most scope_chars spans a kind, whatever the corpus.
+is touched by at most 3 / 2 scope_chars spans a kind, whatever the corpus; a span is in as many scopes as its length asks.
 
 Defined cases: a null text is empty; repeated rows are each reported; a null doc_id is a value like any other;
 an empty table gives an empty result; further columns are ignored.
@@ -99,11 +100,11 @@ def linked(spans: DataFrame, s: Scan = Scan()) -> DataFrame:
     half = s.scope_chars // 2
     part = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, p in PART.items()])
     x = spans.withColumn("part", part)
-    # Every span lies in the scopes that begin at the multiples of half up to half before its start.
-    cell = F.floor(F.col("start") / half)
-    scoped = x.withColumn("scope", F.explode(F.array(cell - 1, cell, cell + 1)))
+    # Of two spans at most half apart, the one widened by half meets the other, so both touch the scope where they meet.
+    touched = lambda by: F.explode(F.sequence(F.floor((F.col("start") - by) / half), F.floor((F.col("end") + by) / half)))
+    scoped = x.withColumn("scope", touched(half))
     key = ["doc_id", "text_hash", "scope"]
-    weak = x.withColumn("scope", cell).where(F.col("kind").isin("weak_id", "weak_secret", "endpoint")).alias("w")
+    weak = x.where(F.col("kind").isin("weak_id", "weak_secret", "endpoint")).withColumn("scope", touched(0)).alias("w")
     other = scoped.select(*key, F.col("part").alias("o_part"), F.col("start").alias("o_start"), F.col("end").alias("o_end")).where(F.col("o_part") != "endpoint").alias("o")
     near = (F.col("o_start") - F.col("end") <= half) & (F.col("start") - F.col("o_end") <= half)
     fits = F.when(F.col("part") == "secret", F.col("o_part") == "id").otherwise(F.col("o_part") == "secret")

@@ -179,6 +179,30 @@ def test_secret_linking(spark):
     assert {r.doc_id: {s.split(":")[0] for s in r.spans.split(",")} - {""} for r in got} == {i: w for i, (_, w) in cases.items()}
 
 
+def test_linked_spans_at_every_alignment(spark):
+    """linked() against all pairs: short and long spans, at distances about the bound, at every place in a scope."""
+    half = secret_scan.Scan().scope_chars // 2
+    spans, want = [], set()
+    for shift in range(0, 2 * half, 3):
+        for a, kind, n, other, gap in ((0, "weak_id", 16, "weak_secret", 246), (1, "endpoint", 120, "hex", 200), (2, "endpoint", 300, "assign", 10), (3, "endpoint", 600, "weak_secret", 0), (4, "weak_id", 16, "weak_secret", half), (5, "weak_id", 16, "weak_secret", half + 1), (6, "weak_secret", 700, "access", half), (7, "weak_id", 20, "endpoint", 5)):
+            for back in (False, True):
+                two = [(shift, n, kind), (shift + n + gap, 40, other)] if not back else [(shift, 40, other), (shift + 40 + gap, n, kind)]
+                spans += [((shift * 8 + a) * 2 + back, 1, at, at + size, k) for at, size, k in two]
+    by = collections.defaultdict(list)
+    for doc, _, *s in spans:
+        by[doc].append(s)
+    for doc, own in by.items():
+        for start, end, kind in own:
+            fits = ("id",) if secret_scan.PART[kind] == "secret" else ("secret",)
+            if kind in ("weak_id", "weak_secret", "endpoint") and any(secret_scan.PART[k] in fits and (0 <= s - end <= half or 0 <= start - e <= half) for s, e, k in own):
+                want.add((doc, start, end, kind))
+    got = secret_scan.linked(spark.createDataFrame(spans, "doc_id long, text_hash long, start int, end int, kind string")).collect()
+    assert sorted((r.doc_id, *r.span) for r in got) == sorted(want)
+    key = "Abcdefghij0123456789Abcdefghij0123456789"
+    found = secret_scan.secrets(spark.createDataFrame([(1, f"{'x ' * 125}key_id: abcd1234 {'x ' * 122} {key}")], "doc_id long, text string")).collect()[0].spans
+    assert found == "weak_id:250:266,weak_secret:512:552"
+
+
 def test_mixture(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mixture(docs).collect()
