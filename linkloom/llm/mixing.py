@@ -7,8 +7,10 @@ over the sources and then, within each source, over its shards (by their words).
 shard lays its documents in a seeded order on a line of words; it takes that line as often
 as its quota holds it whole, and of the rest the first blocks, which may end inside a document.
 
-Quotas are found on the driver, from one row for each source and shard; there are at most
-max_shards shards besides one for each source.  Only light columns and the carried ones are
+There are at most max_shards shards besides one for each source.  Up to max_sources sources, quotas
+are found on the driver, from one row for each source and shard, and broadcast.  Beyond that
+they stay a table: sums over it give the targets and the bound of the quotients, only the shards of sources
+with several come to the driver, and the quotas are joined by a shuffle.  Only light columns and the carried ones are
 shuffled, dealt by source and shard, so a source with a third of all documents is split over
 a third of the shards.
 
@@ -19,11 +21,12 @@ gives an empty result; sources without words have target 0; further columns are
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -133,43 +136,130 @@ def plan(spark, shards: list[tuple], m: Mix) -> DataFrame:
         s = np.array([x[1] for x in own], np.int64)
         quota = sainte_lague(s, int(blocks[i]), m.max_repeats * s // block) * block
         rows += [(n, int(k), int(sizes[i]), float(target[i]), int(q), int(x)) for (k, x), q in zip(own, quota)]
-    return spark.createDataFrame(rows, "p_source string, p_shard int, source_size long, target double, quota long, shard_size long")
+    return _keyed(spark.createDataFrame(rows, "p_source string, p_shard int, source_size long, target double, quota long, shard_size long"))
+
+
+def _key(source: Column) -> Column:
+    """source as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _keyed(quotas: DataFrame) -> DataFrame:
+    return quotas.withColumn("p_source", _key(F.col("p_source")))
+
+
+def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with each row's place, from 0, in an order of all rows."""
+    rows = cut(df.orderBy(*order)).withColumns({"_part": F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    start, starts = 0, []
+    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):  # a row for each partition
+        starts.append((part, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(starts, "_of int, _start long")
+    return cut(rows.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_of", "_start"))
+
+
+def _level(sources: DataFrame) -> float:
+    """capped_targets() over a table: what a weight of 1 gets; the sources whose cap is below their share stop at it."""
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:  # sources once capped stay so, as the level only rises
+        below = (F.col("cap") < level * F.col("weight")) | (F.col("size") == 0)
+        r = sources.agg(F.count_if(below), F.sum(F.when(below, F.col("cap")).otherwise(0.0)), F.sum(F.when(~below, F.col("weight")).otherwise(0.0))).first()
+        if r[0] == capped or not r[2]:
+            return level if r[2] else math.inf
+        capped, level = r[0], (total - r[1]) / r[2]
+
+
+def _seats(sources: DataFrame, seats: int) -> DataFrame:
+    """sainte_lague() over a table with place, target and most: got, the seats of each source."""
+    votes, most = F.col("target"), F.col("most")
+    given = lambda d: F.least(F.greatest(F.ceil((votes / F.lit(d) - 1) / 2), F.lit(0)), most).cast("long")
+    r = sources.agg(F.sum("most"), F.max("target")).first()
+    seats = min(seats, r[0] or 0)
+    if seats <= 0 or not r[1]:
+        return sources.withColumn("got", F.lit(0).cast("long"))
+    low, high, ways = 1e-12, r[1] + 1.0, 32
+    while high / low >= 1 + 1e-12:  # each round tries many bounds at once
+        tried = [low * (high / low) ** (k / ways) for k in range(1, ways)]
+        sums = sources.agg(*[F.sum(given(d)).alias(f"s{k}") for k, d in enumerate(tried)]).first()
+        fit = [d for d, s in zip(tried, sums) if s <= seats]
+        over = [d for d, s in zip(tried, sums) if s > seats]
+        new = max([low, *over]), min([high, *fit])
+        if new == (low, high):
+            break
+        low, high = new
+    got = cut(sources.withColumn("got", given(high)))
+    rest = seats - got.agg(F.sum("got")).first()[0]
+    if not rest:
+        return got
+    # The bound's own quotients, of which a source has one: the first ones get a seat more.
+    quotient = votes / (2 * F.col("got") + 1)
+    more = _numbered(got.where((F.col("got") < most) & (quotient > 0)).select(F.col("place").alias("m_place"), quotient.alias("quotient")), "turn", F.desc("quotient"), F.asc("m_place")).where(F.col("turn") < rest)
+    return cut(got.join(more.select("m_place"), F.col("place") == F.col("m_place"), "left").withColumn("got", F.col("got") + F.col("m_place").isNotNull().cast("long")).drop("m_place"))
+
+
+def plan_table(shards: DataFrame, m: Mix) -> DataFrame:
+    """As plan(), from a table of (source, shard, size), for any number of sources."""
+    spark = shards.sparkSession
+    sources = _numbered(shards.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_shards")), "place", F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in m.weights]), (F.col("place") % len(m.weights) + 1).cast("int"))
+    sources = sources.withColumns({"weight": weight, "cap": F.col("size").cast("double") * m.max_repeats})
+    sources = cut(sources.withColumn("target", F.least(F.col("cap"), F.col("weight") * _level(sources))))
+    least, total = sources.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("size")).first()
+    block = m.block_words or int(max(1, min(4096, (1 if least is None else least) // 400)))
+    got = _seats(sources.withColumn("most", F.expr(f"size * {m.max_repeats} div {block}")), round((total or 0) / block))
+    got = got.select(F.col("source").alias("g_source"), F.col("size").alias("source_size"), "target", "got", "n_shards")
+    rows = cut(shards.join(got, F.col("source").eqNullSafe(F.col("g_source"))))
+    quota: dict = {}
+    for r in rows.where("n_shards > 1").select("source", "shard", "size", "got").collect():  # at most max_shards
+        quota.setdefault((r.source, r.got), []).append((r.shard, r["size"]))
+    found = []
+    for (source, blocks), own in quota.items():
+        own.sort()
+        s = np.array([x[1] for x in own], np.int64)
+        found += [(source, int(k), int(q)) for (k, _), q in zip(own, sainte_lague(s, blocks, m.max_repeats * s // block) * block)]
+    found = F.broadcast(spark.createDataFrame(found, "q_source string, q_shard int, q long"))
+    rows = rows.join(found, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left")
+    quota = F.coalesce("q", F.col("got") * block)
+    return _keyed(rows.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), "source_size", "target", quota.alias("quota"), F.col("size").alias("shard_size")))
 
 
 def _dealt(sizes: DataFrame, shards_of: DataFrame, m: Mix) -> DataFrame:
     """sizes with its shard, and place, by which a shard's documents are ordered."""
     return (
-        sizes.join(F.broadcast(shards_of), F.col("source").eqNullSafe(F.col("s_source")))  # at most max_sources rows
+        sizes.join(F.broadcast(shards_of), F.col("source").eqNullSafe(F.col("s_source")), "left")  # at most max_shards rows
         .withColumn("place", F.xxhash64(F.lit(m.seed), F.col("doc_id"), F.col("size")))
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(m.seed + 1), F.col("doc_id"), F.col("size")), F.col("n_shards")).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(m.seed + 1), F.col("doc_id"), F.col("size")), F.coalesce("n_shards", F.lit(1))).cast("int"))
         .drop("s_source", "n_shards")
     )
 
 
 def apportion(sizes: DataFrame, m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, source and size of all documents: the sources' numbers of shards, and each shard's quota."""
+    """From doc_id, source and size of all documents: the numbers of shards of sources with several, and each shard's quota."""
     spark = sizes.sparkSession
-    per_source = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(m.max_sources + 1).collect()
-    if len(per_source) > m.max_sources:
-        raise ValueError(f"a mixture of more than {m.max_sources} sources")
-    total = sum(r.n for r in per_source)
-    counts = [(r.source, int(max(1, min(-(-r.n // m.shard_docs), m.max_shards * r.n // max(total, 1))))) for r in per_source]
-    shards_of = spark.createDataFrame(counts, "s_source string, n_shards int")
-    shards = [tuple(r) for r in _dealt(sizes, shards_of, m).groupBy("source", "shard").agg(F.sum("size").alias("size")).collect()]
-    return shards_of, plan(spark, shards, m)
+    per_source = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    total, n_sources = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_shards = F.expr(f"least((n + {m.shard_docs - 1}) div {m.shard_docs}, {m.max_shards} * n div {max(total, 1)})").cast("int")
+    shards_of = per_source.select(F.col("source").alias("s_source"), n_shards.alias("n_shards")).where("n_shards > 1").collect()
+    shards_of = spark.createDataFrame(shards_of, "s_source string, n_shards int")
+    shards = _dealt(sizes, shards_of, m).groupBy("source", "shard").agg(F.sum("size").alias("size"))
+    if n_sources > m.max_sources:
+        return shards_of, plan_table(cut(shards), m)
+    return shards_of, F.broadcast(plan(spark, [tuple(r) for r in shards.collect()], m))
 
 
 def take(sizes: DataFrame, shards_of: DataFrame, quotas: DataFrame, m: Mix = Mix()) -> DataFrame:
     """sizes, which has doc_id, source and size, with source_size, target and taken."""
-    # A quota for each shard, at most max_shards + max_sources.
-    at = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard"))
-    joined = _dealt(sizes, shards_of, m).join(F.broadcast(quotas), at)
-    line = Window.partitionBy("source", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    # A quota for each shard; where it is not broadcast, the join deals the rows as the window needs them.
+    dealt = _dealt(sizes, shards_of, m).withColumn("key", _key(F.col("source")))
+    joined = dealt.join(quotas, (F.col("key") == F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
+    line = Window.partitionBy("key", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(line), F.lit(0))
     full = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
     rest = F.col("quota") - full * F.col("shard_size")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return joined.withColumn("taken", taken.cast("long")).drop("place", "shard", "p_source", "p_shard", "quota", "shard_size")
+    return joined.withColumn("taken", taken.cast("long")).drop("place", "key", "shard", "p_source", "p_shard", "quota", "shard_size")
 
 
 def mixture(docs: DataFrame, m: Mix = Mix()) -> DataFrame:

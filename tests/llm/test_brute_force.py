@@ -222,6 +222,16 @@ def test_mixture(spark, rows):
     assert all(abs(taken[n] - t) <= max(2, 0.01 * t) for n, t in zip(names, target)) and math.isclose(target.sum(), sum(sizes.values()))
 
 
+def test_mixture_beyond_the_sources_of_the_driver(spark, rows):
+    own = [(i, t, s) for i, t, s in rows] + [(10_000 + i, "a b c d" + " e" * (i % 3), f"host{i % 150}") for i in range(900)] + [(20_000 + i, "a b c", None) for i in range(3)] + [(30_000, None, "none"), (30_001, "", "zz")]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+    for kind in ({}, {"shard_docs": 20}, {"block_words": 3}):
+        few, many = (sorted(map(tuple, mixing.mixture(docs, mixing.Mix(max_sources=k, **kind)).collect())) for k in (100_000, 5))
+        assert len(few) == len(own)
+        assert [r[:3] + r[4:] for r in few] == [r[:3] + r[4:] for r in many]
+        assert all(math.isclose(a[3], b[3], rel_tol=1e-9) for a, b in zip(few, many))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=6), st.integers(0, 60))
 def test_sainte_lague(votes, seats):
