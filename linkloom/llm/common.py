@@ -57,6 +57,17 @@ def drop_tables(spark: SparkSession) -> int:
     return gone
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with each row's place, from 0, in an order of all rows."""
+    rows = cut(df.orderBy(*order)).withColumns({"_part": F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    start, starts = 0, []
+    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):  # a row for each partition
+        starts.append((part, start))
+        start += n
+    starts = df.sparkSession.createDataFrame(starts, "_of int, _start long")
+    return cut(rows.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_of", "_start"))
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further ones can't clash with what an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, numbered
 from linkloom.llm.tokens import Words, map_texts, text_buffer
 
 
@@ -148,17 +148,6 @@ def _keyed(quotas: DataFrame) -> DataFrame:
     return quotas.withColumn("p_source", _key(F.col("p_source")))
 
 
-def _numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with each row's place, from 0, in an order of all rows."""
-    rows = cut(df.orderBy(*order)).withColumns({"_part": F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    start, starts = 0, []
-    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):  # a row for each partition
-        starts.append((part, start))
-        start += n
-    starts = df.sparkSession.createDataFrame(starts, "_of int, _start long")
-    return cut(rows.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_of", "_start"))
-
-
 def _level(sources: DataFrame) -> float:
     """capped_targets() over a table: what a weight of 1 gets; the sources whose cap is below their share stop at it."""
     total = sources.agg(F.sum("size")).first()[0] or 0
@@ -195,14 +184,14 @@ def _seats(sources: DataFrame, seats: int) -> DataFrame:
         return got
     # The bound's own quotients, of which a source has one: the first ones get a seat more.
     quotient = votes / (2 * F.col("got") + 1)
-    more = _numbered(got.where((F.col("got") < most) & (quotient > 0)).select(F.col("place").alias("m_place"), quotient.alias("quotient")), "turn", F.desc("quotient"), F.asc("m_place")).where(F.col("turn") < rest)
+    more = numbered(got.where((F.col("got") < most) & (quotient > 0)).select(F.col("place").alias("m_place"), quotient.alias("quotient")), "turn", F.desc("quotient"), F.asc("m_place")).where(F.col("turn") < rest)
     return cut(got.join(more.select("m_place"), F.col("place") == F.col("m_place"), "left").withColumn("got", F.col("got") + F.col("m_place").isNotNull().cast("long")).drop("m_place"))
 
 
 def plan_table(shards: DataFrame, m: Mix) -> DataFrame:
     """As plan(), from a table of (source, shard, size), for any number of sources."""
     spark = shards.sparkSession
-    sources = _numbered(shards.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_shards")), "place", F.col("source").asc_nulls_last())
+    sources = numbered(shards.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_shards")), "place", F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in m.weights]), (F.col("place") % len(m.weights) + 1).cast("int"))
     sources = sources.withColumns({"weight": weight, "cap": F.col("size").cast("double") * m.max_repeats})
     sources = cut(sources.withColumn("target", F.least(F.col("cap"), F.col("weight") * _level(sources))))

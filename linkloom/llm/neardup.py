@@ -2,14 +2,20 @@
 
 Texts are sets of five-word shingles (a shorter text is one shingle).  Equal sets are collapsed first.  A signature has
 `trees` sequences of `depth` MinHash values, each a path in one prefix trie; a path is packed into a long, so that order is
-the trie's order and a prefix is a shift.  Matched prefixes are shortened, one level at a time from the full depth, until
-texts at the threshold meet in some tree with the target probability.  Texts that meet are joined into candidate
-clusters; inside a cluster every pair is compared exactly, on whole shingle sets.
+the trie's order and a prefix is a shift.
 
-A cluster is compared by one task if it is small.  A larger one is cut into blocks, bounded by
-documents and by shingles, and each pair of blocks is a task, so no task holds an unbounded group and no pair is lost.  A
-task returns counts of links and a spanning forest of them, never the pairs.  Classes are the connected components
-of the links.
+The search begins at whole paths.  In each node, a run of the sorted trie, every two texts that meet there are held against
+each other by size and by the agreement of their whole signatures, each pair in the first tree where it meets.  From the
+similarities that the signatures show, the recall of this prefix length is measured: a pair of similarity s meets with
+probability p = 1 - (1 - s^d)^trees, so each found pair stands for 1 / p pairs.  Prefixes are shortened a level at a time until
+the mean recall over linked texts reaches the target; with links of fewer than `evidence` texts, or short of the target, they
+are shortened to the length at which even pairs at the threshold meet with the target's probability.
+
+Pairs that pass are plausible; components of them are the clusters, whose texts' shingles are brought together.  A cluster
+of more than `block_docs` texts is cut by rank into blocks, and a text goes only to those pairs of blocks in which it has a plausible
+partner.  A task compares exactly the pairs that met in the forest, on whole shingle sets, and returns counts of links and a
+spanning forest of them, never the pairs.  Nodes are cut into block pairs as well, so no task holds an unbounded group and
+no pair is lost.  Classes are the connected components of the links.
 
 Defined cases: texts without words have no shingle, link to nothing and are each a class of their own; a class is named
 after its least doc_id (null last: a class of null ids alone has a null name); repeated rows fall into one class, as
@@ -18,7 +24,9 @@ do texts with equal shingle sets; equal similarity 0.8 counts; an empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.llm.common import written
+from linkloom.llm.common import numbered, written
 from linkloom.llm.components import components
 from linkloom.llm.tokens import U, Words, map_texts, mix, ngrams, release, run_hashes, text_buffer
 
 _BITS = 10
+_PAIRS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -40,18 +49,33 @@ class Forest:
     trees: int = 16
     depth: int = 6
     target_recall: float = 0.999
-    block_docs: int = 768
-    block_shingles: int = 1_500_000
+    evidence: int = 1000
+    block_docs: int = 256
+    block_shingles: int = 500_000
     broadcast_rows: int = 500_000
 
+    @property
+    def shortest(self) -> int:
+        """The longest prefix at which texts at the threshold meet in a tree with the target probability."""
+        d = self.depth
+        while d > 1 and meeting(self.threshold_percent / 100, d, self) < self.target_recall:
+            d -= 1
+        return d
+
+    @property
+    def agreement(self) -> int:
+        """The least number of equal values in two signatures; a pair at the threshold has fewer once in ten thousand times."""
+        n, s, below = self.trees * self.depth, self.threshold_percent / 100, 0.0
+        for k in range(n):
+            below += comb(n, k) * s**k * (1 - s) ** (n - k)
+            if below > 1e-4:
+                return k
+        return n
+
 
-def matched_depth(f: Forest) -> int:
-    """The longest prefix at which texts at the threshold meet in a tree with the target probability."""
-    s = f.threshold_percent / 100
-    d = f.depth
-    while d > 1 and 1 - (1 - s**d) ** f.trees < f.target_recall:
-        d -= 1
-    return d
+def meeting(s, d: int, f: Forest):
+    """The probability that texts of similarity s share a prefix of d values in some tree."""
+    return 1 - (1 - s**d) ** f.trees
 
 
 def shingle_sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +136,140 @@ def signed(docs: DataFrame, f: Forest, text: str = "text", doc_id: str = "doc_id
     return map_texts(docs.select(doc_id, text), run, f"doc_id {kind}, h1 long, h2 long, n long, paths array<long>", text)
 
 
-def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Signed:
+    """Texts of a task, by their signatures."""
+
+    def __init__(self, paths: np.ndarray, n: np.ndarray, f: Forest, depth: int):
+        self.f, self.n, self.depth = f, n, depth
+        self.prefix = paths >> (_BITS * (f.depth - depth))
+        steps = _BITS * np.arange(f.depth)
+        self.values = ((paths[:, :, None] >> steps) & ((1 << _BITS) - 1)).astype(np.uint16).reshape(len(paths), -1)
+
+    def plausible(self, a: np.ndarray, b: np.ndarray, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs meet, first in that tree if one is given, with sizes and signatures that let them reach the threshold; and the agreement of those."""
+        p = self.f.threshold_percent
+        keep = np.flatnonzero((100 * self.n[a] >= p * self.n[b]) & (100 * self.n[b] >= p * self.n[a]))
+        met = self.prefix[a[keep]] == self.prefix[b[keep]]
+        keep = keep[met.any(1) if tree is None else met.argmax(1) == tree[keep]]
+        agree = (self.values[a[keep]] == self.values[b[keep]]).sum(1)
+        good = agree >= self.f.agreement
+        return keep[good], agree[good]
+
+
+def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with one value in group, which is sorted, some at a time."""
+    stop = np.searchsorted(group, group, "right")
+    later = stop - np.arange(len(group)) - 1
+    total = np.concatenate([[0], np.cumsum(later)])
+    at = 0
+    while at < len(group):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + _PAIRS, "right")) - 1)
+        n = later[at:to]
+        a = np.repeat(np.arange(at, to), n)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of n vertices' component over the edges a - b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (deeper := new[new]).tobytes() != new.tobytes():
+            new = deeper
+        if (new == root).all():
+            return root
+        root = new
+
+
+_NODE = ["tree", "prefix", "i", "j"]
+
+
+def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: Callable[[pa.Table, Signed, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """judge over the plausible pairs of the forest at a depth: it gets the texts of whole nodes, and the pairs with their agreement.
+
+    mates: vertex, tree, n, paths and the columns to carry.  A node of many texts is cut into pairs of blocks.
+    """
+    rows = mates.withColumn("prefix", F.shiftright(F.get("paths", F.col("tree")), _BITS * (f.depth - depth)))
+    blocks = F.ceil(F.count(F.lit(1)) / (2 * f.block_docs)).cast("int").alias("blocks")
+    nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), blocks).where("met > 1").drop("met")
+    own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    dealt = rows.join(nodes, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex", "n", "paths", *carry)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in _NODE])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+            if len(new):  # the last node may go on in the next batch
+                yield pa.Table.from_batches([*held, batch.slice(0, int(new[-1]) + 1)])
+                held = [batch.slice(int(new[-1]) + 1)]
+            else:
+                held.append(batch)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches):
+            keys = np.stack([t.column(k).to_numpy() for k in _NODE])
+            group = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])
+            paths = t.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)
+            texts = Signed(paths, t.column("n").to_numpy(), f, depth)
+            own = t.column("own").to_numpy()
+            found = []
+            for a, b in pairs_within(group):
+                across = (keys[2][a] == keys[3][a]) | (own[a] != own[b])
+                a, b = a[across], b[across]
+                at, agree = texts.plausible(a, b, keys[0][a])
+                found.append((a[at], b[at], agree))
+            a, b, agree = (np.concatenate(x) for x in zip(*found))
+            out = judge(t, texts, a, b, agree) if len(a) else None
+            if out is not None:
+                yield out
+            release()
+
+    return dealt.repartition(*_NODE).sortWithinPartitions(*_NODE).mapInArrow(run, schema)
+
+
+def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, int]:
+    """Edges that hold clusters of plausible pairs together, and the depth at which the forest reached the target."""
+
+    def judge(t: pa.Table, texts: Signed, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+        vertex = t.column("vertex").to_numpy()
+        names, at = np.unique(vertex, return_inverse=True)
+        a, b = at[a], at[b]
+        s = agree / texts.values.shape[1]
+        likely = s >= f.threshold_percent / 100
+        weight = likely / meeting(s, texts.depth, f)
+        n = len(names)
+        found = np.bincount(a, likely, n) + np.bincount(b, likely, n)
+        stands = np.bincount(a, weight, n) + np.bincount(b, weight, n)
+        root = joined(n, a, b)
+        some = np.unique(np.concatenate([a, b]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[some], names[root[some]], found[some], stands[some])], names=["vertex", "other", "found", "stands"])
+
+    depth = f.depth
+    while True:
+        edges = written(in_nodes(mates, f, depth, [], judge, "vertex long, other long, found double, stands double"))
+        if depth <= f.shortest:
+            return edges, depth
+        texts = edges.groupBy("vertex").agg(F.sum("found").alias("found"), F.sum("stands").alias("stands")).where("found > 0")
+        n, recall = texts.agg(F.count(F.lit(1)), F.avg(F.col("found") / F.col("stands"))).first()
+        if n >= f.evidence and recall >= f.target_recall:
+            return edges, depth
+        depth -= 1
+
+
+def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int, met: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each set the number of links, and the root of its tree in a spanning forest of the links.
 
-    side: pairs of sets on one side are compared if all are on it, else only pairs across.
+    side: pairs of sets on one side are compared if all are on it, else only pairs across.  met: the places of pairs to compare, else all.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -129,66 +283,75 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np
     bits = np.zeros((n, max(1, words)), U)
     np.bitwise_or.at(bits, (of, column >> 6), np.left_shift(U(1), (column & 63).astype(U)))
     links = np.zeros(n, np.int64)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     across = len(np.unique(side)) > 1
     left = np.flatnonzero(side == side.min()) if across else np.arange(n)
     right = np.flatnonzero(side != side.min()) if across else None
     rows = max(1, (1 << 21) // (8 * bits.shape[1]))
+    linked = []
     for i in left:
         other = right if across else np.arange(i + 1, n)
         # A Jaccard similarity of p % needs sizes within p %.
         other = other[(100 * size[other] >= percent * size[i]) & (100 * size[i] >= percent * size[other])]
+        if met is not None and len(other):
+            other = other[met(np.full(len(other), i), other)]
         for k in range(0, len(other), rows):
             part = other[k : k + rows]
             both = np.bitwise_count(bits[part] & bits[i]).sum(1, dtype=np.int64)
             hit = part[100 * both >= percent * (size[i] + size[part] - both)]
             links[i] += len(hit)
             links[hit] += 1
-            for j in hit:
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    return links, np.array([find(i) for i in range(n)])
+            linked.append((np.full(len(hit), i), hit))
+    a, b = (np.concatenate(x) for x in zip(*linked)) if linked else (np.zeros(0, np.int64),) * 2
+    return links, joined(n, a, b)
+
+
+def block_tasks(mates: DataFrame, cluster: DataFrame, sets: DataFrame, f: Forest, depth: int) -> DataFrame:
+    """root, i, j, own and vertex: the texts of each pair of blocks of each cluster; clusters of one block have i = j = 0."""
+    member = cluster.join(sets.select(F.col("h1").alias("vertex"), "n"), "vertex")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / f.block_docs), F.ceil(F.sum("n") / f.block_shingles)).cast("int")
+    sizes = written(member.groupBy("root").agg(F.count(F.lit(1)).alias("members"), blocks.alias("blocks")))
+    large = sizes.where("blocks > 1")
+    small = cluster.join(sizes.where("blocks = 1").select("root"), "root").select("root", *[F.lit(0).alias(x) for x in ("i", "j", "own")], "vertex")
+    if large.isEmpty():
+        return small
+    # Blocks by rank in the cluster: the place among all members less that of the cluster's first.
+    placed = numbered(cluster.join(large, "root"), "place", F.col("root"), F.col("vertex"))
+    first = placed.groupBy("root").agg(F.min("place").alias("start"))
+    block = F.floor((F.col("place") - F.col("start")) * F.col("blocks") / F.col("members")).cast("int")
+    ranked = written(placed.join(first, "root").select("root", "vertex", block.alias("block")))
+
+    def judge(t: pa.Table, texts: Signed, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+        root, block, vertex = (t.column(x).to_numpy() for x in ("root", "block", "vertex"))
+        low, high = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+        row = np.unique(np.concatenate([np.stack([root[x], low, high, block[x], vertex[x]]).astype(np.int64) for x in (a, b)], 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(row[k].astype(np.int32)) for k in (1, 2, 3)), pa.array(row[4])], names=["root", "i", "j", "own", "vertex"])
+
+    told = in_nodes(mates.join(ranked, "vertex"), f, depth, ["root", "block"], judge, "root long, i int, j int, own int, vertex long")
+    return small.unionByName(told.distinct())
 
 
 def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, h1, h2, n), and the sets (h1, h2, least_id, n_copies, n_links, class_vertex)."""
-    spark = docs.sparkSession
     rows = written(signed(docs, f, text, doc_id))
     sets = written(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("paths").alias("paths")))
-    # The forest: tree and prefix are a node at the matched depth; texts meet there.
-    drop = _BITS * (f.depth - matched_depth(f))
+    # Texts that meet no other at the shortest prefix meet none at a longer one.
+    drop = _BITS * (f.depth - f.shortest)
     nodes = sets.select(F.col("h1").alias("vertex"), F.posexplode("paths").alias("tree", "path")).select("vertex", "tree", F.shiftright("path", drop).alias("prefix"))
-    heads = nodes.groupBy("tree", "prefix").agg(F.min("vertex").alias("head"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    meets = nodes.join(heads, ["tree", "prefix"]).where("vertex != head").select(F.col("vertex").alias("a"), F.col("head").alias("b"))
-    cluster = components(meets)
-    member = cluster.join(sets.select(F.col("h1").alias("vertex"), "h1", "h2", "least_id", "n"), "vertex")
-    sizes = cluster.join(sets.select(F.col("h1").alias("vertex"), "n"), "vertex").groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / f.block_docs), F.ceil(F.sum("n") / f.block_shingles)).cast("int").alias("blocks")
-    )
-    tasks = (
-        member.join(sizes, "root")
-        .withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h1", "h2", "least_id")
-    )
-    wanted = written(member.select("h1", "h2", "least_id"))
-
-    # The shingles of candidate sets, from one document of each.
+    shared = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
+    met = nodes.join(shared, ["tree", "prefix"]).select("vertex", "tree")
+    mates = written(met.join(sets.select(F.col("h1").alias("vertex"), "n", "paths"), "vertex"))
+    edges, depth = search(mates, f)
+    cluster = components(edges.select(F.col("vertex").alias("a"), F.col("other").alias("b")))
+    tasks = block_tasks(mates, cluster, sets, f, depth).join(sets.select(F.col("h1").alias("vertex"), "h1", "h2", "n", "paths"), "vertex")
+
+    # The shingles of the clusters' sets, from one document of each.
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         g, first = shingle_sets(batch.column(text), f.shingle)
         a, b = set_hashes(g, first)
         parts = [g[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(parts, pa.binary())], names=["s1", "s2", "shingles"])
 
-    ids = wanted.select(F.col("least_id").alias("w_id")).distinct()
+    ids = written(cluster.join(sets.select(F.col("h1").alias("vertex"), F.col("least_id").alias("w_id")), "vertex").select("w_id").distinct())
     few = ids.count() <= f.broadcast_rows  # else the texts are shuffled to the ids
     chosen = docs.select(doc_id, text).join(F.broadcast(ids) if few else ids, F.col(doc_id).eqNullSafe(F.col("w_id")), "left_semi")
     content = map_texts(chosen.select(text), run, "s1 long, s2 long, shingles binary", text)
@@ -199,16 +362,18 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         _, at = np.unique(np.stack([h1, h2]), axis=1, return_index=True)  # repeated rows bring a set twice
         sets = [np.frombuffer(group.column("shingles")[int(k)].as_py(), U) for k in at]
         side = group.column("own").to_numpy()[at]
+        paths = group.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)[at]
+        texts = Signed(paths, group.column("n").to_numpy()[at], f, depth)
         if group.column("i")[0].as_py() != group.column("j")[0].as_py() and len(np.unique(side)) < 2:
             links, root = np.zeros(len(at), np.int64), np.arange(len(at))
         else:
-            links, root = links_of(sets, side, percent)
+            links, root = links_of(sets, side, percent, lambda a, b: texts.plausible(a, b)[0])
         v = h1[at]
         release()
         return pa.table({"vertex": v, "other": v[root], "links": links})
 
-    joined = tasks.join(content, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
-    compared = written(joined.groupBy("root", "i", "j").applyInArrow(compare, "vertex long, other long, links long"))
+    filled = tasks.join(content, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
+    compared = written(filled.groupBy("root", "i", "j").applyInArrow(compare, "vertex long, other long, links long"))
     links = compared.groupBy("vertex").agg(F.sum("links").alias("n_links"))
     roots = components(compared.where("vertex != other").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
     told = links.join(roots, "vertex", "left")
@@ -231,7 +396,10 @@ def near_duplicates(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
-    """Of each class the document with the least doc_id, in docs' columns; texts without words all stay."""
+    """Of each class the document with the least doc_id, in docs' columns; texts without words all stay.
+
+    Of rows with one id and one shingle set, that with the least text stays, then that with the least hash of its columns.
+    """
     columns = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(columns))])
     text, doc_id = (f"_{columns.index(c)}" for c in ("text", "doc_id"))
@@ -247,5 +415,5 @@ def keep_one(docs: DataFrame, f: Forest = Forest()) -> DataFrame:
 
     hashed = map_texts(plain, run, f"{head}, h1 long, h2 long, n long", text)
     on = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col(doc_id).eqNullSafe(F.col("least_id"))
-    chosen = hashed.where("n > 0").join(best, on).withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("h1"))).where("nth = 1")
+    chosen = hashed.where("n > 0").join(best, on).withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(text, F.xxhash64(*names)))).where("nth = 1")
     return hashed.where("n = 0").select(*names).unionAll(chosen.select(*names)).toDF(*columns)

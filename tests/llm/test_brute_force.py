@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linkloom.llm import decontaminate, fmindex, lm, mixing, neardup, pii, quality, queries, secret_scan, substrings, toxicity, warc
 from linkloom.llm.tokens import Words, ngrams, span_hashes, text_buffer
@@ -117,13 +118,58 @@ def test_near_duplicate_blocks_lose_no_link(spark):
             w[k] = f"x{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = ({r.doc_id: tuple(r) for r in neardup.near_duplicates(docs, f).collect()} for f in (neardup.Forest(), neardup.Forest(block_docs=16, broadcast_rows=0)))
+    one, many = ({r.doc_id: tuple(r) for r in neardup.near_duplicates(docs, f).collect()} for f in (neardup.Forest(), neardup.Forest(block_docs=8, broadcast_rows=0)))
     assert one == many and sum(r[2] for r in one.values()) > 150
 
 
-def test_matched_depth():
-    assert neardup.matched_depth(neardup.Forest(trees=16, depth=8, target_recall=0.99)) == 6
-    assert neardup.matched_depth(neardup.Forest(trees=16, depth=8, target_recall=0.999)) == 4
+def test_forest_depths():
+    assert neardup.Forest(depth=8, target_recall=0.99).shortest == 6
+    assert neardup.Forest(depth=8, target_recall=0.999).shortest == 4
+    f = neardup.Forest()
+    rng = np.random.default_rng(0)
+    assert (rng.binomial(f.trees * f.depth, 0.8, 10**6) >= f.agreement).mean() > 0.9998
+
+
+def test_forest_shortens_prefixes_to_the_measured_recall(spark):
+    """Close copies alone are found at whole paths; texts about the threshold ask for shorter prefixes."""
+    rng = np.random.default_rng(5)
+    depths = {}
+    for changes in (1, 9):
+        rows = []
+        for g in range(150):
+            base = [f"g{g}w{k}" for k in range(500)]
+            rows.append(" ".join(base))
+            for _ in range(2):
+                w = list(base)
+                for k in rng.choice(500, changes, replace=False):
+                    w[k] = f"x{rng.integers(10**9)}"
+                rows.append(" ".join(w))
+        f = neardup.Forest(evidence=100)
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        sets = neardup.signed(docs, f)
+        mates = sets.select(F.col("h1").alias("vertex"), "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
+        depths[changes] = neardup.search(mates, f)[1]
+        got = neardup.near_duplicates(docs, f).groupBy("class_id").count().collect()
+        assert len(got) <= 152
+    assert depths[1] == 6 > depths[9] >= f.shortest
+
+
+def test_templates_are_no_cluster(spark):
+    """Texts that share half of their words, as pages of one template do, are neither brought together nor compared."""
+    frame = [f"t{k}" for k in range(130)]
+    rows = [(i, " ".join(frame + [f"d{i}w{k}" for k in range(70)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    f = neardup.Forest()
+    mates = neardup.signed(docs, f).select(F.col("h1").alias("vertex"), "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
+    edges, _ = neardup.search(mates, f)
+    assert edges.select("vertex").distinct().count() < 40
+    assert neardup.near_duplicates(docs).where("n_links > 0 or class_id != doc_id").count() == 0
+
+
+def test_rows_of_one_id_and_set(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", s, 1) for s in ("y", "x", None)] + [(1, "a  b c d e f", "de", "z", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {tuple(neardup.keep_one(docs.orderBy(F.rand(k))).collect()[0]) for k in range(3)}
+    assert len(got) == 1
 
 
 def test_quality_metrics(rows):
