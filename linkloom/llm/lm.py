@@ -1,21 +1,21 @@
 """Scoring texts with an n-gram model held in a log-frequency Bloom filter.
 
-Counting: each task hashes the n-grams of its texts, sums equal ones and deals them over
-segments of the hash range as sorted binary runs; one task a segment adds the runs up.  A
-count c is quantised to the level 1 + floor(log_base(c)), and the n-gram is entered in the
-filter once for each level up to its own.  Each segment of the hash range owns a slice of
-the filter, so slices are built apart and laid end to end.  The filter is broadcast; a
-lookup probes level after level until one is missing, which gives the quantised count.
+Texts are cut into chunks of some MB.  A chunk deals its distinct n-grams, as sorted hashes with how often learnt texts hold
+them, over segments of the hash range.  A segment adds the counts up; a count c is quantised to the level
+1 + floor(log_base(c)), and the n-gram is entered in the segment's slice of the filter once for each level up to its own.
+A lookup probes level after level until one is missing, which gives the quantised count.  A slice has `bits_per_entry` for each
+entry, so the filter grows with the corpus and holds every n-gram.
 
 Model: p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu), with h' the history less its first
 word, over quantised counts, held at 1 at most; at the bottom p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 
-Size: the filter has ``bits_per_entry`` for each entry, so it grows with the corpus and holds
-every n-gram.  It is broadcast up to ``max_filter_mb``, with the exact word counts for the base
-score, up to ``max_vocabulary`` words.  Beyond either, it is probed slice by slice: texts are
-taken in chunks of about a million tokens, the distinct hashes of a chunk are dealt to the
-segments, each looks them up in its own slice and word counts, and the levels come back to the
-chunk.  Both ways give the same scores.
+A corpus of at most `broadcast_bytes` has a filter of some MB, which is broadcast with the exact word counts; texts then are scored
+where they lie.  A filter that holds every n-gram of a larger corpus is no broadcast (about a byte for each word of the corpus): there
+the chunks' hashes, which come to the segments to be counted, are looked up in the slice at once, and the levels go
+back to the chunk.  Nothing but a row for each segment, of two sums, comes to the driver then.  Both ways give the same scores.
+
+Hashes of single words have 64 bits, so the base score is exact; those of longer n-grams have 48, which confuses one in 280,000
+at a thousand million n-grams, where the filter takes one in forty for another.
 
 Defined cases: a null text is empty and has its end token alone; an empty table or one
 without training rows gives c = N = V = 0, where the base score has p = 1 for each token;
@@ -24,8 +24,8 @@ repeated rows are each scored; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,81 +37,78 @@ from linkloom.llm.common import crc_mod, written
 from linkloom.llm.tokens import U, Words, lower_ascii, map_texts, mix, ngrams, pieces, release, sums_by, text_buffer
 
 _BEGIN, _END = U(0x51ED270B7F4A1C35), U(0x2545F4914F6CDD1D)
-_FLUSH = 1_000_000
-_CHUNK_TOKENS = 1_000_000
+_SHORT = U(16)  # bits that hashes of several words lack
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
+    order: int = 3
     base: float = 1.4142135623730951
     mu: float = 200.0
     bits_per_entry: int = 8
     probes: int = 4
-    max_filter_mb: int = 64
-    max_vocabulary: int = 6_000_000
-    segments: int = 64
+    broadcast_bytes: int = 16 << 20
+    segment_bytes: int = 16 << 20
+    segments: int = 16
+    chunk_bytes: int = 6 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """Everything that scoring needs; bits: the filter, one slice after the other, or empty where it is not broadcast;
-    least: the least level that the filter holds."""
+    """bits: the slices of the filter, the k-th from bit start[k] on; words, counts: the exact counts of single words, sorted by hash."""
 
     settings: Settings
     bits: np.ndarray
-    slice_bits: int
-    segments: int
-    tokens: int
-    words: int
-    least: int = 1
+    start: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
 
     @property
-    def broadcast(self) -> bool:
-        return (len(self.bits) > 0 or not self.slice_bits) and self.words <= self.settings.max_vocabulary
-
-    def levels(self, h: np.ndarray, bits: np.ndarray | None = None, slice_at: int = 0) -> np.ndarray:
-        """The quantised level of each n-gram hash; 0: not in the filter.  bits: slices from slice_at on, else the whole filter."""
-        bits = self.bits if bits is None else bits
-        out = np.zeros(len(h), np.int64)
-        if not len(bits):
-            return out
-        at = np.arange(len(h))
-        level = 1
-        while len(at):
-            x = h[at]
-            seen = np.ones(len(at), bool)
-            for where in positions(x, level, self.slice_bits, self.segments, self.settings.probes):
-                where = where - slice_at * self.slice_bits
-                seen &= (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 != 0
-            at = at[seen]
-            out[at] = level
-            level += 1
-        return out
-
-    def middle(self, level: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts that each level stands for."""
-        low = np.ceil(self.settings.base ** np.maximum(level - 1, 0) - 1e-9)
-        high = np.maximum(np.ceil(self.settings.base ** np.maximum(level, 0) - 1e-9) - 1, low)
-        return np.where(level > 0, (low + high) / 2, 0.0)
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The quantised count of each n-gram, by the broadcast filter."""
-        unique, back = np.unique(h, return_inverse=True)
-        return self.middle(self.levels(unique))[back]
+    def tokens(self) -> int:
+        return int(self.counts.sum())
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The quantised level of each n-gram hash; 0: not in the filter."""
+        k = segment_of(h, len(self.start) - 1)
+        return probed(self.bits, h, self.start[k], self.start[k + 1] - self.start[k], self.settings)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return ((h >> U(32)) * U(segments) >> U(32)).astype(np.int64)
 
 
-def positions(h: np.ndarray, level: int, slice_bits: int, segments: int, probes: int) -> Iterator[np.ndarray]:
-    """The filter's bits for the n-grams at a level."""
-    start = segment_of(h, segments) * slice_bits
+def positions(h: np.ndarray, level: int, start: np.ndarray, size: np.ndarray, probes: int) -> Iterator[np.ndarray]:
+    """The filter's bits for the n-grams at a level, in slices of those starts and sizes."""
     a = mix(h + U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     b = mix(a ^ U(0xA0761D6478BD642F)) | U(1)
     for k in range(probes):
-        yield start + ((a + U(k) * b) % U(slice_bits)).astype(np.int64)
+        yield start + ((a + U(k) * b) % size.astype(U)).astype(np.int64)
+
+
+def probed(bits: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, s: Settings) -> np.ndarray:
+    """The level of each hash, by membership probes at one level after the other."""
+    out = np.zeros(len(h), np.int64)
+    at = np.arange(len(h))
+    level = 1
+    while len(at):
+        seen = np.ones(len(at), bool)
+        for where in positions(h[at], level, start[at], size[at], s.probes):
+            seen &= (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 != 0
+        at = at[seen]
+        out[at] = level
+        level += 1
+    return out
+
+
+def middle(level: np.ndarray, s: Settings) -> np.ndarray:
+    """The middle of the range of counts that each level stands for."""
+    low = np.ceil(s.base ** np.maximum(level - 1, 0) - 1e-9)
+    high = np.maximum(np.ceil(s.base ** np.maximum(level, 0) - 1e-9) - 1, low)
+    return np.where(level > 0, (low + high) / 2, 0.0)
+
+
+def levels_of(c: np.ndarray, s: Settings) -> np.ndarray:
+    return np.floor(np.log(c) / np.log(s.base) + 1e-9).astype(np.int64) + 1
 
 
 def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,16 +130,7 @@ def grams_of(tokens: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     if n == 1:
         word = tokens[at] != _BEGIN
         return at[word], tokens[at][word]
-    return at, mix(h + U(n))
-
-
-def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(h):
-        return h, c
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[lead], np.add.reduceat(c, lead)
+    return at, mix(h + U(n)) >> _SHORT << _SHORT
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -171,145 +159,155 @@ def _narrow(c: np.ndarray) -> bytes:
     return (c.astype(np.uint8) if not len(c) or c.max() < 256 else c.astype(np.int64)).tobytes()
 
 
-def _read(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-    keys = _unpacked(h)
-    return keys, np.frombuffer(c, np.uint8 if len(c) == len(keys) else np.int64).astype(np.int64)
+def _wide(c: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(c, np.uint8 if len(c) == n else np.int64).astype(np.int64)
 
 
-def segments_for(df: DataFrame, s: Settings) -> int:
-    """Twice the shuffle partitions, which follow the size of the input."""
-    return max(s.segments, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _shift(n: int) -> np.uint64:
+    return _SHORT if n > 1 else U(0)
 
 
-def count_ngrams(train: DataFrame, s: Settings, text: str = "text") -> DataFrame:
-    """A row for each segment: for n = 1, 2, ... the sorted hashes and the counts of its n-grams, as binary."""
-    segments = segments_for(train, s)
-    partial_schema = pa.schema([("segment", pa.int32()), ("n", pa.int32()), ("h", pa.binary()), ("c", pa.binary())])
+def chunked(rows: DataFrame, s: Settings) -> DataFrame:
+    """chunk and piece: the rows in runs of about chunk_bytes of text, each a compressed Arrow stream."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {n: [] for n in range(1, s.order + 1)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def flush(n: int) -> Iterator[pa.RecordBatch]:
-            h, c = _summed(np.concatenate([p[0] for p in held[n]]), np.concatenate([p[1] for p in held[n]]))
-            held[n].clear()
-            cuts = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
-            rows = [(k, _packed(h[a:b]), _narrow(c[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([r[0] for r in rows], [n] * len(rows), [r[1] for r in rows], [r[2] for r in rows]), partial_schema)], schema=partial_schema)
+        def one() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=options) as writer:
+                writer.write_batch(whole)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "piece"])
 
         for batch in batches:
-            for piece in pieces(batch, text):
-                tokens, first = tokens_of(piece.column(text))
-                for n, parts in held.items():
-                    parts.append(np.unique(grams_of(tokens, first, n)[1], return_counts=True))
-                    if sum(len(p[0]) for p in parts) > _FLUSH:
-                        yield from flush(n)
+            for piece in pieces(batch, "text"):
+                held.append(piece)
+                size += int(text_buffer(piece.column("text"))[1][-1])
+                if size >= s.chunk_bytes:
+                    yield one()
+                    number, held, size = number + 1, [], 0
             release()
-        for n, parts in held.items():
-            if parts:
-                yield from flush(n)
+        if held:
+            yield one()
 
-    def total(group: pa.Table) -> pa.Table:
-        of = group.column("n").to_numpy()
-        h, c = [], []
-        for n in range(1, s.order + 1):
-            at = np.flatnonzero(of == n)
-            runs = [_read(group.column("h")[int(i)].as_py(), group.column("c")[int(i)].as_py()) for i in at]
-            x, y = _summed(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])) if runs else (np.zeros(0, U), np.zeros(0, np.int64))
-            h.append(_packed(x))
-            c.append(_narrow(y))
-        release()
-        return pa.table({"segment": group.column("segment")[:1], "h": pa.array([h], pa.list_(pa.binary())), "c": pa.array([c], pa.list_(pa.binary()))})
+    return rows.mapInArrow(run, "chunk long, piece binary")
 
-    parts = train.select(text).mapInArrow(partial, "segment int, n int, h binary, c binary")
-    return parts.groupBy("segment").applyInArrow(total, "segment int, h array<binary>, c array<binary>")
 
+def _piece(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Each segment with the hashes and counts for n = 1, 2, ..."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            h, c = batch.column("h")[i].values, batch.column("c")[i].values
-            yield batch.column("segment")[i].as_py(), [_read(x.as_py(), y.as_py()) for x, y in zip(h, c)]
-        release()
 
+def sent(chunks: DataFrame, s: Settings, segments: int) -> DataFrame:
+    """segment, chunk, and for n = 1, 2, ... the distinct hashes of the chunk's n-grams and how often its learnt texts hold them."""
 
-def levels_of(c: np.ndarray, s: Settings) -> np.ndarray:
-    return np.floor(np.log(c) / np.log(s.base) + 1e-9).astype(np.int64) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column("chunk"), batch.column("piece")):
+                piece = _piece(data.as_py())
+                tokens, first = tokens_of(piece.column("text"))
+                learn = np.repeat(piece.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+                cuts, hashes, counts = [], [], []
+                for n in range(1, s.order + 1):
+                    at, g = grams_of(tokens, first, n)
+                    order = np.argsort(g)
+                    g, own = g[order], learn[at[order]]
+                    lead = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+                    h, c = g[lead], np.add.reduceat(own.astype(np.int64), lead) if len(g) else np.zeros(0, np.int64)
+                    cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
+                    cuts.append(np.diff(cut))
+                    hashes.append([_packed(h[x:y] >> _shift(n)) for x, y in zip(cut[:-1], cut[1:])])
+                    counts.append([_narrow(c[x:y]) for x, y in zip(cut[:-1], cut[1:])])
+                some = np.flatnonzero(np.sum(cuts, 0))
+                kind = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number.as_py()] * len(some), pa.int64()), pa.array([[p[k] for p in hashes] for k in some], kind), pa.array([[p[k] for p in counts] for k in some], kind)], names=["segment", "chunk", "h", "c"])
+            release()
+
+    return chunks.mapInArrow(run, "segment int, chunk long, h array<binary>, c array<binary>")
 
 
-def slices(counts: DataFrame, m: Model) -> DataFrame:
-    """A row for each segment: its slice of the filter, and the hashes and exact counts of its words."""
-    s, slice_bits, segments = m.settings, m.slice_bits, m.segments
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, parts in _rows(batches):
-            bits = np.zeros(slice_bits // 8, np.uint8)
-            for h, c in parts:
-                level = levels_of(c, s)
-                k = 1
-                while len(h):
-                    for where in positions(h, k, slice_bits, segments, s.probes):
-                        where = where - segment * slice_bits
-                        np.bitwise_or.at(bits, where >> 3, np.left_shift(np.uint8(1), (where & 7).astype(np.uint8)))
-                    h, level = h[level > k], level[level > k]
-                    k += 1
-            h, c = parts[0]
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), _packed(h), _narrow(c)))], names=["segment", "bits", "h", "c"])
-
-    return counts.mapInArrow(build, "segment int, bits binary, h binary, c binary")
-
-
-def fit(train: DataFrame, s: Settings = Settings(), text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of exact counts that it was made from."""
-    segments = segments_for(train, s)
-    counts = written(count_ngrams(train, s, text))
-
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _rows(batches):
-            for n, (_, c) in enumerate(parts, 1):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((n, int(levels_of(c, s).sum()), len(c), int(c.sum())), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["n", "entries", "grams", "total"])
-
-    rows = counts.mapInArrow(needs, "n int, entries long, grams long, total long").groupBy("n").agg(*[F.sum(c).alias(c) for c in ("entries", "grams", "total")]).collect()
-    tokens = sum(r.total for r in rows if r.n == 1)
-    words = sum(r.grams for r in rows if r.n == 1)
-    slice_bits = -(-sum(r.entries for r in rows) * s.bits_per_entry // segments)
-    slice_bits = (slice_bits // 8 + 1) * 8 if slice_bits else 0
-    model = Model(s, np.zeros(0, np.uint8), slice_bits, segments, tokens, words)
-    if not slice_bits or slice_bits // 8 * segments > s.max_filter_mb << 20:
-        return model, counts
-    bits = np.zeros(slice_bits // 8 * segments, np.uint8)
-    for r in slices(counts, model).select("segment", "bits").toLocalIterator():  # at most max_filter_mb come to the driver
-        at = r.segment * slice_bits // 8
-        bits[at : at + slice_bits // 8] = np.frombuffer(r.bits, np.uint8)
-    return replace(model, bits=bits), counts
-
-
-def model_log10(m: Model, tokens: np.ndarray, first: np.ndarray, counts: Callable[[np.ndarray, int], np.ndarray] | None = None) -> np.ndarray:
-    """log10 p of each text under the model; counts: the quantised counts of hashes of n-grams, else those of the broadcast filter."""
-    s = m.settings
-    counts = counts or (lambda h, n: m.counts(h))
-    p = None
-    back = np.zeros(0)
+def _asked(group: pa.Table, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The hashes and counts of n-grams in each row of a segment."""
+    h = [_unpacked(x[n - 1]) << _shift(n) for x in group.column("h").to_pylist()]
+    return h, [_wide(x[n - 1], len(y)) for x, y in zip(group.column("c").to_pylist(), h)]
+
+
+def slice_of(group: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A segment's slice of the filter, and the hashes and exact counts of its words."""
+    known, entries = [], 0
     for n in range(1, s.order + 1):
-        at, h = grams_of(tokens, first, n)
-        c = counts(h, n)
+        h, c = (np.concatenate(x) for x in _asked(group, n))
+        h, c = h[c > 0], c[c > 0]
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        if len(h):
+            lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, c = h[lead], np.add.reduceat(c, lead)
+        known.append((h, c))
+        entries += int(levels_of(c, s).sum())
+    bits = np.zeros(max(1, -(-entries * s.bits_per_entry // 8)), np.uint8)
+    for h, c in known:
+        level = levels_of(c, s)
+        k = 1
+        while len(h):
+            for where in positions(h, k, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(bits)), s.probes):
+                np.bitwise_or.at(bits, where >> 3, np.left_shift(np.uint8(1), (where & 7).astype(np.uint8)))
+            h, level = h[level > k], level[level > k]
+            k += 1
+    return bits, *known[0]
+
+
+def segments_for(rows: DataFrame, s: Settings, text: str = "text") -> tuple[int, int]:
+    """The bytes of all texts, and the number of segments for them."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return size, max(s.segments, -(-size // s.segment_bytes))
+
+
+def fit(train: DataFrame, s: Settings = Settings(), segments: int | None = None) -> Model:
+    """The model of the texts, for a corpus whose filter may be broadcast."""
+    segments = segments or segments_for(train, s)[1]
+    rows = train.select(F.lit(True).alias("learn"), "text")
+
+    def total(group: pa.Table) -> pa.Table:
+        bits, h, c = slice_of(group, s)
+        release()
+        return pa.table({"segment": group.column("segment")[:1], **{k: pa.array([x], pa.binary()) for k, x in (("bits", bits.tobytes()), ("h", h.tobytes()), ("c", c.tobytes()))}})
+
+    found = {r.segment: r for r in sent(chunked(rows, s), s, segments).groupBy("segment").applyInArrow(total, "segment int, bits binary, h binary, c binary").toLocalIterator()}
+    parts = [np.frombuffer(found[k].bits, np.uint8) if k in found else np.zeros(1, np.uint8) for k in range(segments)]
+    h, c = (np.concatenate([np.frombuffer(found[k][x], t) for k in sorted(found)] or [np.zeros(0, t)]) for x, t in (("h", U), ("c", np.int64)))
+    order = np.argsort(h)
+    return Model(s, np.concatenate(parts), np.cumsum([0, *(8 * len(p) for p in parts)]), h[order], c[order])
+
+
+def model_log10(tokens: np.ndarray, first: np.ndarray, counts: list[np.ndarray], n_tokens: int, n_words: int, begins: float, s: Settings) -> np.ndarray:
+    """log10 p of each text; counts: the quantised counts of the texts' n-grams for n = 1, 2, ...; begins: that of an end, as there are as many begins."""
+    p = history = None
+    for n, c in enumerate(counts, 1):
         full = np.full(len(tokens), -1.0)
-        full[at + n - 1] = c
+        full[grams_at(tokens, first, n) + n - 1] = c
         if n == 1:
-            p = (full + 0.1) / (m.tokens + 0.1 * (m.words + 1))
+            p = (full + 0.1) / (n_tokens + 0.1 * (n_words + 1))
             history = full
-            history[first[:-1]] = counts(np.array([_END]), 1)[0] if len(first) > 1 else 0  # a begin for each end
+            history[first[:-1]] = begins
         else:
             past = np.zeros(len(tokens))
             past[1:] = history[:-1]
-            with_n = full >= 0
             low = p
-            p = np.where(with_n, np.minimum(1.0, (np.maximum(full, 0) + s.mu * low) / (np.maximum(past, 0) + s.mu)), low)
+            p = np.where(full >= 0, np.minimum(1.0, (np.maximum(full, 0) + s.mu * low) / (np.maximum(past, 0) + s.mu)), low)
             history = full
-    begins = np.zeros(len(tokens), bool)
-    begins[first[:-1]] = True
-    back = np.where(begins, 0.0, np.log10(np.maximum(np.where(begins, 1.0, p), 1e-300)))
-    return sums_by(back, first)
+    word = np.ones(len(tokens), bool)
+    word[first[:-1]] = False
+    return sums_by(np.log10(np.where(word, np.maximum(p, 1e-300), 1.0)), first)
+
+
+def grams_at(tokens: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """The starts of the n-grams, as grams_of gives them."""
+    if n == 1:
+        return np.flatnonzero(tokens != _BEGIN)
+    at = np.arange(len(tokens))
+    return at[at + n <= np.repeat(first[1:], np.diff(first))]
 
 
 def lookup(keys: np.ndarray, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -319,124 +317,95 @@ def lookup(keys: np.ndarray, counts: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, counts[at], 0)
 
 
-def _score_by_slices(docs: DataFrame, m: Model, counts: DataFrame, text: str, carry: list[str], head: str) -> DataFrame:
-    """score() with the filter and the word counts left in their segments."""
-    order, segments, every = m.settings.order, m.segments, m.tokens + 0.1 * (m.words + 1)
-    m = replace(m, bits=np.zeros(0, np.uint8))
+_OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch], list[tuple]]]:
-        """A number, the pieces and their tokens, of about _CHUNK_TOKENS together; a task that is repeated makes the same."""
-        number, held, known, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for piece in pieces(batch, text):
-                held.append(piece)
-                known.append(tokens_of(piece.column(text)))
-                size += len(known[-1][0])
-                if size >= _CHUNK_TOKENS:
-                    yield number, held, known
-                    number, held, known, size = number + 1, [], [], 0
-            release()
-        if held:
-            yield number, held, known
-
-    def distinct(known: list[tuple], n: int) -> np.ndarray:
-        return np.unique(np.concatenate([np.unique(grams_of(*x, n)[1]) for x in known]))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, known in chunks(batches):
-            cuts, packed = [], []
-            for n in range(1, order + 1):
-                h = distinct(known, n)
-                cut = np.searchsorted(segment_of(h, segments), np.arange(segments + 1))
-                cuts.append(np.diff(cut))
-                packed.append([_packed(h[a:b]) for a, b in zip(cut[:-1], cut[1:])])
-            some = np.flatnonzero(np.sum(cuts, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([[p[k] for p in packed] for k in some], pa.list_(pa.binary()))], names=["segment", "chunk", "h"])
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for number, held, _ in chunks(batches):
-            for k, piece in enumerate(held):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:
-                    writer.write_batch(piece)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "k", "piece"])
-
-    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = np.frombuffer(held.column("bits")[0].as_py(), np.uint8) if held.num_rows else np.zeros(0, np.uint8)
-        keys, exact = _read(held.column("h")[0].as_py(), held.column("c")[0].as_py()) if held.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
-        rows = []
-        for parts in asked.column("h"):
-            h = [_unpacked(x.as_py()) for x in parts.values]
-            segment = int(segment_of(np.concatenate(h)[:1], segments)[0])
-            # The hashes' sum tells that the chunk that reads the levels is the one that asked.
-            rows.append((segment, int(np.concatenate(h).sum().view(np.int64)), [m.levels(x, bits, segment).astype(np.uint8).tobytes() for x in h], _narrow(lookup(keys, exact, h[0]))))
-        release()
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary())
-        return pa.table({"chunk": asked.column("chunk"), **{k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(zip(("segment", "total", "levels", "c"), kinds))}})
-
-    def judge(of: pa.Table, found: pa.Table) -> pa.Table:
-        held = [pa.ipc.open_stream(x.as_py()).read_next_batch() for x in of.sort_by("k").column("piece")]
-        known = [tokens_of(x.column(text)) for x in held]
-        found = found.sort_by("segment")
-        keys = [distinct(known, n) for n in range(1, order + 1)]
-        quantised = [m.middle(np.frombuffer(b"".join(x.values[n].as_py() for x in found.column("levels")), np.uint8).astype(np.int64)) for n in range(order)]
-        word_level = [len(x.values[0].as_py()) for x in found.column("levels")]
-        exact = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == n else np.int64).astype(np.int64) for n, c in zip(word_level, (x.as_py() for x in found.column("c")))])
-        total = np.array(found.column("total").to_pylist(), np.int64).view(U).sum()
-        if any(len(a) != len(b) for a, b in zip(keys, quantised)) or np.concatenate(keys).sum() != total:
-            raise RuntimeError("the texts came in another order the second time; checkpoint them first")
-        out = []
-        for piece, (tokens, first) in zip(held, known):
-            c = exact[np.searchsorted(keys[0], tokens[tokens != _BEGIN])]
-            at = first - np.arange(len(first))
-            new = (np.diff(at), sums_by(c > 0, at), sums_by(np.log10((c + 0.1) / every), at), model_log10(m, tokens, first, lambda h, n: quantised[n - 1][np.searchsorted(keys[n - 1], h)]))
-            out.append(pa.RecordBatch.from_arrays([piece.column(x) for x in carry] + [pa.array(v) for v in new], names=[*carry, "n_tokens", "n_known", "base_score", "score"]))
-        release()
-        return pa.Table.from_batches(out).combine_chunks()
 
-    # Both passes take the same columns, so they make the same chunks.
-    asked = docs.mapInArrow(send, "segment int, chunk long, h array<binary>").groupBy("segment")
-    found = asked.cogroup(slices(counts, m).groupBy("segment")).applyInArrow(meet, "chunk long, segment int, total long, levels array<binary>, c binary")
-    of = docs.mapInArrow(texts, "chunk long, k int, piece binary").groupBy("chunk")
-    return of.cogroup(found.groupBy("chunk")).applyInArrow(judge, f"{head}, n_tokens long, n_known long, base_score double, score double")
+def _columns(tokens: np.ndarray, first: np.ndarray, exact: np.ndarray, quantised: list[np.ndarray], n_tokens: int, n_words: int, begins: float, s: Settings) -> list[pa.Array]:
+    """The columns of _OUT, from the exact counts of all words and ends and the quantised ones of all n-grams."""
+    at = first - np.arange(len(first))
+    logs = np.log10((exact + 0.1) / (n_tokens + 0.1 * (n_words + 1)))
+    n = len(first) - 1
+    return [pa.array(x) for x in (np.diff(at), sums_by(exact > 0, at), np.full(n, n_tokens), sums_by(logs, at), model_log10(tokens, first, quantised, n_tokens, n_words, begins, s))]
 
 
-def score(docs: DataFrame, m: Model, counts: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns but the text, with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    carry = [c for c in docs.columns if c != text]
+def score(docs: DataFrame, m: Model) -> DataFrame:
+    """docs' columns but the text, with n_tokens, n_known, train_tokens, base_score and score, by the broadcast model."""
+    carry = [c for c in docs.columns if c != "text"]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    floor, every = 0.1, m.tokens + 0.1 * (m.words + 1)
-    if m.broadcast:
-        shared = spark.sparkContext.broadcast(m)
-        exact = counts.select(F.element_at("h", 1).alias("h"), F.element_at("c", 1).alias("c"))
-        runs = [_read(bytes(r.h), bytes(r.c)) for r in exact.toLocalIterator()]
-        keys = np.concatenate([r[0] for r in runs]) if runs else np.zeros(0, U)
-        known = np.concatenate([r[1] for r in runs]) if runs else np.zeros(0, np.int64)
-        order = np.argsort(keys)
-        keys, known = keys[order], known[order]
-        vocabulary = spark.sparkContext.broadcast((keys, known))
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, first = tokens_of(batch.column(text))
-            words = tokens != _BEGIN
-            unique, back = np.unique(tokens[words], return_inverse=True)
-            c = lookup(*vocabulary.value, unique)
-            logs = np.log10((c + floor) / every)[back]
-            at = first - np.arange(len(first))
-            out = {"n_tokens": np.diff(at), "n_known": sums_by((c > 0)[back], at), "base_score": sums_by(logs, at), "score": model_log10(shared.value, tokens, first)}
-            return pa.RecordBatch.from_arrays([batch.column(x) for x in carry] + [pa.array(v) for v in out.values()], names=[*carry, *out])
-
-        found = map_texts(docs, run, f"{head}, n_tokens long, n_known long, base_score double, score double", text)
-    else:
-        found = _score_by_slices(docs, m, counts, text, carry, head)
-    return found.withColumn("train_tokens", F.lit(m.tokens).cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        s = m.settings
+        tokens, first = tokens_of(batch.column("text"))
+        quantised = []
+        for n in range(1, s.order + 1):
+            unique, back = np.unique(grams_of(tokens, first, n)[1], return_inverse=True)
+            quantised.append(middle(m.levels(unique), s)[back])
+            if n == 1:
+                exact = lookup(m.words, m.counts, unique)[back]
+        begins = float(middle(m.levels(np.array([_END])), s)[0])
+        out = _columns(tokens, first, exact, quantised, m.tokens, len(m.words), begins, s)
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in carry), *out], names=[*carry, *(x.split()[0] for x in _OUT.split(", "))])
+
+    return map_texts(docs, run, f"{head}, {_OUT}")
+
+
+def score_by_slices(rows: DataFrame, s: Settings, segments: int) -> DataFrame:
+    """As score(), under the model of the rows that learn says, for a corpus of any size; rows: any columns, learn and text."""
+    carry = [c for c in rows.columns if c not in ("text", "learn")]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema)
+    chunks = written(chunked(rows, s))
+
+    def meet(group: pa.Table) -> pa.Table:
+        bits, words, counts = slice_of(group, s)
+        levels, exact = [], []
+        for n in range(1, s.order + 1):
+            asked, _ = _asked(group, n)
+            h = np.concatenate(asked)
+            cuts = np.cumsum([len(x) for x in asked])[:-1]
+            found = probed(bits, h, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(bits)), s).astype(np.uint8)
+            levels.append([x.tobytes() for x in np.split(found, cuts)])
+            if n == 1:
+                exact = [_narrow(x) for x in np.split(lookup(words, counts, h), cuts)]
+        release()
+        told = {
+            "chunk": (pa.int64(), [*group.column("chunk").to_pylist(), None]), "segment": (pa.int32(), group.column("segment").to_pylist() + [group.column("segment")[0].as_py()]),
+            "levels": (pa.list_(pa.binary()), [*map(list, zip(*levels)), None]), "c": (pa.binary(), [*exact, None]),
+            "tokens": (pa.int64(), [None] * len(exact) + [int(counts.sum())]), "words": (pa.int64(), [None] * len(exact) + [len(words)]),
+        }
+        return pa.table({k: pa.array(v, t) for k, (t, v) in told.items()})
+
+    # A row for each chunk and segment, and one with the segment's sums.
+    found = written(sent(chunks, s, segments).groupBy("segment").applyInArrow(meet, "chunk long, segment int, levels array<binary>, c binary, tokens long, words long"))
+    n_tokens, n_words = (int(x or 0) for x in found.where("chunk is null").agg(F.sum("tokens"), F.sum("words")).first())
+
+    def judge(of: pa.Table, told: pa.Table) -> pa.Table:
+        piece = _piece(of.column("piece")[0].as_py())
+        tokens, first = tokens_of(piece.column("text"))
+        told = told.sort_by("segment")
+        parts = told.column("levels").to_pylist()
+        quantised = []
+        for n in range(1, s.order + 1):
+            level = np.frombuffer(b"".join(x[n - 1] for x in parts), np.uint8).astype(np.int64)
+            unique, back = np.unique(grams_of(tokens, first, n)[1], return_inverse=True)
+            quantised.append(middle(level, s)[back])
+            if n == 1:
+                begins = float(middle(level, s)[np.searchsorted(unique, _END)])
+                exact = np.concatenate([_wide(c, len(x[0])) for c, x in zip(told.column("c").to_pylist(), parts)])[back]
+        out = _columns(tokens, first, exact, quantised, n_tokens, n_words, begins, s)
+        release()
+        return pa.table([*(piece.column(x) for x in carry), *out], names=[*carry, *(x.split()[0] for x in _OUT.split(", "))])
+
+    replies = found.where("chunk is not null").select("chunk", "segment", "levels", "c")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(judge, f"{head}, {_OUT}")
 
 
 def lm_scores(docs: DataFrame, s: Settings = Settings(), folds: int = 10) -> DataFrame:
     """Scores of every document under the model of those whose crc32(doc_id as text) mod folds is not 0."""
     held = (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out")
     rows = docs.select("doc_id", held, "text")
-    model, counts = fit(rows.where(~F.col("held_out")), s)
-    return score(rows, model, counts).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    size, segments = segments_for(rows, s)
+    if size <= s.broadcast_bytes:
+        return score(rows, fit(rows.where(~F.col("held_out")), s, segments))
+    return score_by_slices(rows.select("doc_id", "held_out", "text", (~F.col("held_out")).alias("learn")), s, segments)

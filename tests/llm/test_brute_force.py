@@ -292,39 +292,76 @@ def test_capped_targets():
     assert mixing.capped_targets(np.array([10, 1000, 0]), np.array([3.0, 1.0, 2.0]), 3).tolist() == [30.0, 980.0, 0.0]
 
 
-@pytest.mark.parametrize("s", [lm.Settings(), lm.Settings(max_vocabulary=5)])
+def _fold(t):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]
+
+
+def _held(i):
+    return zlib.crc32(str(i).encode()) % 10 == 0
+
+
+@pytest.mark.parametrize("s", [lm.Settings(), lm.Settings(broadcast_bytes=0, chunk_bytes=40_000, segment_bytes=50_000)])
 def test_language_model(spark, rows, s):
-    fold = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows}
-    c = collections.Counter(w for i, t, _ in rows if not held[i] for w in fold(t))
+    c = collections.Counter(w for i, t, _ in rows if not _held(i) for w in _fold(t))
     n, v = sum(c.values()), len(c)
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, source string"), s).collect()
     text = {i: t for i, t, _ in rows}
+    assert len(got) == len(rows)
     for r in got:
-        tokens = fold(text[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(c[w] > 0 for w in tokens), n)
+        tokens = _fold(text[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (_held(r.doc_id), len(tokens), sum(c[w] > 0 for w in tokens), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel_tol=1e-9)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)  # the model is the better one on unseen texts
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_by_plain_counts(spark, rows, order):
+    """The score against dictionaries of n-gram counts, quantised alike; the filter is given bits enough for no false probe."""
+    s = lm.Settings(order=order, bits_per_entry=64, probes=8, broadcast_bytes=0, chunk_bytes=100_000)
+    counts = collections.Counter()
+    for i, t, _ in rows:
+        if not _held(i):
+            w = ["<s>", *_fold(t)]
+            counts.update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1 and g != ("<s>",))
+    words = sum(len(g) == 1 and g != ("<s>",) for g in counts)
+
+    def quantised(g):
+        if not counts[g]:
+            return 0.0
+        level = math.floor(math.log(counts[g]) / math.log(s.base) + 1e-9)
+        low, high = math.ceil(s.base**level - 1e-9), math.ceil(s.base ** (level + 1) - 1e-9) - 1
+        return (low + max(low, high)) / 2
+
+    def p(history, w):
+        if not history:
+            return (quantised((w,)) + 0.1) / (total + 0.1 * (words + 1))
+        return min(1.0, (quantised((*history, w)) + s.mu * p(history[1:], w)) / (quantised(history) + s.mu))
+
+    text = {i: t for i, t, _ in rows}
+    for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, source string"), s).collect():
+        w = ["<s>", *_fold(text[r.doc_id])]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w))), rel_tol=1e-6), r.doc_id
+
+
 def test_bloom_levels(spark, rows):
-    docs = spark.createDataFrame([(t,) for _, t, _ in rows], "text string")
-    model, counts = lm.fit(docs)
-    kept = [(n, *lm._read(bytes(h), bytes(c))) for r in counts.collect() for n, (h, c) in enumerate(zip(r.h, r.c), 1)]
-    for _, h, c in kept:  # no count is too low, and few are too high
-        true = np.floor(np.log(c) / np.log(model.settings.base) + 1e-9).astype(int) + 1
+    """No count is probed too low, few too high, and few n-grams that no text holds are found."""
+    s = lm.Settings()
+    model = lm.fit(spark.createDataFrame([(t,) for _, t, _ in rows], "text string"), s)
+    tokens, first = lm.tokens_of(pa.array([t for _, t, _ in rows], pa.string()))
+    for n in range(1, s.order + 1):
+        h, c = np.unique(lm.grams_of(tokens, first, n)[1], return_counts=True)
+        true = lm.levels_of(c, s)
         assert (model.levels(h) >= true).all() and (model.levels(h) > true).mean() < 0.1
+        assert n > 1 or (model.words.tolist(), model.counts.tolist()) == (h.tolist(), c.tolist())
     assert (model.levels(np.arange(1, 20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) > 0).mean() < 0.1
-    small, _ = lm.fit(docs, lm.Settings(max_filter_mb=0))
-    assert small.least > 1 or not len(small.bits)
 
 
-@pytest.mark.parametrize("s", [lm.Settings(max_filter_mb=0), lm.Settings(max_vocabulary=5), lm.Settings(max_filter_mb=0, order=3)])
-def test_no_ngram_is_left_out_beyond_the_broadcast_bound(spark, rows, s, monkeypatch):
-    monkeypatch.setattr(lm, "_CHUNK_TOKENS", 5000)
+@pytest.mark.parametrize("order", [2, 3])
+def test_both_ways_of_probing_agree(spark, rows, order):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    whole, apart = ({r.doc_id: r for r in lm.lm_scores(docs, x).collect()} for x in (lm.Settings(order=s.order), s))
+    whole, apart = ({r.doc_id: r for r in lm.lm_scores(docs, x).collect()} for x in (lm.Settings(order=order), lm.Settings(order=order, broadcast_bytes=0, chunk_bytes=30_000)))
     assert whole.keys() == apart.keys()
     for i, r in whole.items():
         assert r[:5] == apart[i][:5] and math.isclose(r.score, apart[i].score, rel_tol=1e-9) and math.isclose(r.base_score, apart[i].base_score, rel_tol=1e-9)

@@ -35,6 +35,7 @@ RUNS = {
     "op6": lambda d, i, l: secret_scan.secrets(d),
     "op7": lambda d, i, l: quality.quality(d),
     "op9": lambda d, i, l: lm.lm_scores(d),
+    "op9 by slices": lambda d, i, l: lm.lm_scores(d, lm.Settings(broadcast_bytes=-1)),
     "op10": lambda d, i, l: neardup.near_duplicates(d),
 }
 
