@@ -44,7 +44,7 @@ _SHORT = U(16)  # bits that hashes of several words lack
 class Settings:
     order: int = 3
     base: float = 1.4142135623730951
-    mu: float = 200.0
+    mu: float = 80.0
     bits_per_entry: int = 8
     probes: int = 4
     broadcast_bytes: int = 16 << 20
