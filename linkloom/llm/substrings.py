@@ -8,18 +8,20 @@ anchor; equal windows have equal anchors, at equal places.  A segment is the wor
 anchor.  So a repeated window can only be found among segments of one anchor:
 
 * anchors that occur once are let go after a count;
-* segments equal to an earlier segment are removed whole: copies of texts, however many, end here, summed before the shuffle;
-* of the segments that are the first of their kind, those that share an anchor with other content go, with their words, to the
-  shard of the anchor.  The shard builds an FM-index of its segments and streams the segments against it: backward search over
-  a wavelet matrix gives matching statistics, and ranges at or above the threshold are looked up for their earliest place;
-* anchors with more than `max_contents` contents, such as those at the edge of a passage that a third of all texts hold, would
-  make a shard too large; their windows are compared by hash instead, each with the earliest, summed before the shuffle.
+* equal segments are one content, with its earliest place and its times, summed before the shuffle, so copies, however many,
+  are streamed once;
+* every content goes, with its words, to the shard of its anchor.  The shard builds an FM-index of its contents and streams them
+  against it: backward search over a wavelet matrix gives matching statistics, and ranges at or above the threshold are looked up
+  for their earliest place.  It reports the intervals that repeat at the content's first place; at its later places all of it does;
+* an anchor with more than `max_contents` contents, such as that at the edge of a passage that a third of all texts hold, would
+  make a shard too large.  Its windows are dealt once more, by their outer words, and go to shards of
+  their own as contents of one window each, after those whose outer words occur once are let go.
 
-Equality is that of 64-bit word hashes and of 128 bits for segments and windows.
+Equality is that of 64-bit word hashes and of 128 bits for contents.
 
 Defined cases: a null text has no words, n_removed 0 and the digest of the empty string; rows with one doc_id are ordered by
 the word at which a window starts, so a repeated row is no earlier than its twin and neither loses words to the other;
-null ids come last; an empty table gives an empty result; further columns are ignored.
+null ids come last, as one id, which 2^63 - 1 is as well; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut, written
+from linkloom.llm.common import written
 from linkloom.llm.fmindex import FMIndex
-from linkloom.llm.tokens import U, Words, map_texts, mix, ngrams, release, run_hashes, span_hashes, text_buffer
+from linkloom.llm.tokens import U, Words, map_texts, mix, ngrams, release, run_hashes, text_buffer
 
 _LAST = (1 << 63) - 1  # the doc_id of those without one
 
@@ -42,7 +44,8 @@ _LAST = (1 << 63) - 1  # the doc_id of those without one
 class Passages:
     window: int = 20
     anchor: int = 6
-    max_contents: int = 2000
+    outer: int = 3
+    max_contents: int = 10_000
     shard_words: int = 150_000
     broadcast_rows: int = 1_500_000
 
@@ -82,30 +85,20 @@ def _texts(batch: pa.RecordBatch, text: str) -> tuple[Words, np.ndarray]:
     return w, w.hashes()
 
 
-def _row_hash(w: Words) -> np.ndarray:
-    return span_hashes(w.buf, w.off[:-1], w.off[1:]).view(np.int64)
-
-
 def found_segments(rows: DataFrame, p: Passages) -> DataFrame:
-    """doc_id, row (a hash of the text), start, n (windows), m (anchor), c (content) of the segments; repeated: c stood earlier in the text."""
+    """doc_id, row, start, n (windows), m (anchor), c (content) of the segments.  rows: doc_id, row (a hash of the text), text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, h = _texts(batch, "text")
         start, n, m, c = segments(h, w.first, p)
         doc = np.searchsorted(w.first, start, "right") - 1
-        order = np.lexsort((start, c, m, doc))
-        same = np.zeros(len(order), bool)
-        d, mm, cc = doc[order], m[order], c[order]
-        same[1:] = (d[1:] == d[:-1]) & (mm[1:] == mm[:-1]) & (cc[1:] == cc[:-1])
-        repeated = np.zeros(len(order), bool)
-        repeated[order] = same
-        ids = batch.column("doc_id").take(pa.array(doc))
+        at = pa.array(doc)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(_row_hash(w)[doc]), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(repeated)],
-            names=["doc_id", "row", "start", "n", "m", "c", "repeated"],
+            [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(c.view(np.int64))],
+            names=["doc_id", "row", "start", "n", "m", "c"],
         )
 
-    return map_texts(rows, run, "doc_id long, row long, start int, n int, m long, c long, repeated boolean")
+    return map_texts(rows, run, "doc_id long, row long, start int, n int, m long, c long")
 
 
 def _with_bound(rows: DataFrame, keys: DataFrame, on: list[str], limit: int) -> DataFrame:
@@ -114,8 +107,11 @@ def _with_bound(rows: DataFrame, keys: DataFrame, on: list[str], limit: int) ->
 
 
 def shard_matches(group: pa.Table, p: Passages) -> pa.Table:
-    """Of the segments of a shard, the words covered by windows that start earlier elsewhere: doc_id, row, start, stop."""
-    ids, row, start = (group.column(x).to_numpy() for x in ("doc_id", "row", "start"))
+    """Of the contents of a shard, those that repeat: m, c, and the intervals of words covered by windows that start earlier elsewhere than at the content's first place."""
+    m, c = group.column("m").to_numpy(), group.column("c").to_numpy()
+    _, at = np.unique(np.stack([m, c]), axis=1, return_index=True)  # repeated rows bring a content twice
+    group = group.take(pa.array(at))
+    m, c, ids, start, times = (group.column(x).to_numpy() for x in ("m", "c", "doc_id", "start", "times"))
     parts = [np.frombuffer(x.as_py(), U) for x in group.column("words")]
     size = np.array([len(x) for x in parts])
     n = p.window
@@ -144,70 +140,90 @@ def shard_matches(group: pa.Table, p: Passages) -> pa.Table:
     earliest = np.minimum.reduceat(np.append(by_suffix, np.iinfo(np.int64).max), cuts)[::2] if len(cuts) else cuts
     own = whole[ends[hit] - n]
     told = hit[earliest[back] < own] if len(hit) else hit
-    # Runs of windows that follow each other become one stretch.
+    # Runs of windows that follow each other become one interval.
     lead = np.ones(len(told), bool)
     lead[1:] = (segment[told][1:] != segment[told][:-1]) | (offset[told][1:] != offset[told][:-1] + 1)
     a = told[lead]
     b = told[np.append(np.flatnonzero(lead)[1:] - 1, len(told) - 1)] if len(told) else told
+    cuts = np.searchsorted(segment[a], np.arange(len(size) + 1))
+    intervals = [[{"start": int(x), "stop": int(y)} for x, y in zip(offset[a[i:j]], offset[b[i:j]] + n)] for i, j in zip(cuts[:-1], cuts[1:])]
+    some = np.flatnonzero((np.diff(cuts) > 0) | (times > 1))
     release()
-    return pa.table({"doc_id": ids[segment[a]], "row": row[segment[a]], "start": (start[segment[a]] + offset[a]).astype(np.int32), "stop": (start[segment[a]] + offset[b] + n).astype(np.int32)})
+    return pa.table({"m": m[some], "c": c[some], "own": pa.array([intervals[k] for k in some], _INTERVALS)})
+
+
+_INTERVALS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _contents(segs: DataFrame) -> DataFrame:
+    """m, c, the first place (doc_id, start, row, n) and the times of each content whose anchor occurs twice or more."""
+    first = F.min(F.struct("doc_id", "start", "row", "n")).alias("first")
+    return segs.groupBy("m", "c").agg(first, F.count(F.lit(1)).alias("times"))
+
+
+def _searched(parts: DataFrame, p: Passages) -> DataFrame:
+    """shard_matches over m, c, doc_id, start, times, n_words and words, with shards of about shard_words."""
+    total = parts.agg(F.sum("n_words")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // p.shard_words)))).alias("shard")
+    return parts.drop("n_words").select("*", shard).groupBy("shard").applyInArrow(lambda g: shard_matches(g, p), "m long, c long, own array<struct<start:int,stop:int>>")
+
+
+def _stretches(segs: DataFrame, contents: DataFrame, reports: DataFrame, p: Passages) -> DataFrame:
+    """doc_id, row, start, stop: the reports at each place of the contents.  segs: doc_id, row, start, n, m, c."""
+    told = written(reports.join(contents.select("m", "c", "first"), ["m", "c"]))
+    at = _with_bound(segs, told, ["m", "c"], p.broadcast_rows)
+    all_of = F.array(F.struct(F.lit(0).alias("start"), (F.col("n") + (p.window - 1)).alias("stop")))
+    later = F.struct("doc_id", "start") > F.struct("first.doc_id", "first.start")
+    spans = at.select("doc_id", "row", "start", F.explode(F.when(later, all_of).otherwise(F.col("own"))).alias("s"))
+    return spans.select("doc_id", "row", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.stop")).alias("stop"))
 
 
 def repeated_stretches(rows: DataFrame, p: Passages) -> DataFrame:
-    """doc_id, row, start, stop: stretches of words to remove; they may overlap.  rows: doc_id (long, not null), text."""
+    """doc_id, row, start, stop: stretches of words to remove; they may overlap.  rows: doc_id (long, not null), row (a hash of the text), text."""
     n = p.window
     segs = written(found_segments(rows, p))
-    anchors = written(segs.where("not repeated").groupBy("m").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met"))
-    met = written(_with_bound(segs.where("not repeated"), anchors, ["m"], p.broadcast_rows).drop("repeated"))
-    firsts = met.groupBy("m", "c").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
-    at = F.struct("doc_id", "start")
-    contents = met.groupBy("m").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed")
-    known = met.join(firsts.where("times > 1").drop("times"), ["m", "c"], "left")
-    stop = (F.col("start") + F.col("n") + (n - 1)).alias("stop")
-    later = F.col("first").isNotNull() & (at > F.col("first"))
-    whole = segs.where("repeated").select("doc_id", "row", "start", stop).unionAll(known.where(later).select("doc_id", "row", "start", stop))
-
-    # First of their kind, with other content at their anchor: their words are needed.
-    mixed = written(known.where(~later).join(contents, "m", "left_semi").select("doc_id", "row", "start", "n", "m"))
-    per = mixed.groupBy("m").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("n") + n).alias("words"))
-    large = cut(per.where(F.col("contents") > p.max_contents).select("m", F.lit(True).alias("large")))
-    total = per.agg(F.sum("words")).first()[0] or 0
-    shards = max(1, -(-total // p.shard_words))
-    listed = mixed.join(F.broadcast(large) if large.count() <= p.broadcast_rows else large, "m", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    wanted = listed.groupBy(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row")).agg(F.collect_list(F.struct("start", "n", "m", "large")).alias("segs"))  # at most a text's own
-    wanted = written(wanted)
+    anchors = written(segs.groupBy("m").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met"))
+    met = written(_with_bound(segs, anchors, ["m"], p.broadcast_rows))
+    contents = written(_contents(met))
+    large = written(contents.groupBy("m").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > p.max_contents).select("m", F.lit(True).alias("large")))
+    listed = contents.join(F.broadcast(large) if large.count() <= p.broadcast_rows else large, "m", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    # The words of a content, from the text of its first place.
+    wanted = written(listed.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.row").alias("w_row")).agg(F.collect_list(F.struct("first.start", "first.n", "m", "c", "times", "large")).alias("segs")))  # at most a text's own
     ids = wanted.select("w_id").distinct()
     some = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("w_id"), "left_semi") if ids.count() <= p.broadcast_rows else rows
 
     def content(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         w, h = _texts(batch, "text")
-        hashes = _row_hash(w)
         out: list[tuple] = []
-        for i, (row, segs) in enumerate(zip(batch.column("w_row").to_pylist(), batch.column("segs").to_pylist())):
-            if hashes[i] != row:
-                continue
+        for i, (doc, row, segs) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_id", "row", "segs")))):
             for s in segs:
                 a = w.first[i] + s["start"]
                 words = h[a : a + s["n"] - 1 + n]
-                doc = batch.column("doc_id")[i].as_py()
-                if s["large"]:
-                    at, g = ngrams(words, np.array([0, len(words)]), n)
-                    out += [(-1, doc, row, s["start"] + int(x), s["m"], int(y), None) for x, y in zip(at, g.view(np.int64))]
-                else:
-                    out.append((int(mix(np.array([s["m"]]).view(U))[0] % U(shards)), doc, row, s["start"], s["m"], 0, words.tobytes()))
-        if not out:
-            return None
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["shard", "doc_id", "row", "start", "m", "window", "words"])
-
-    texts = some.join(wanted, F.col("doc_id") == F.col("w_id"))
-    parts = map_texts(texts.select("doc_id", "text", "w_row", "segs"), content, "shard int, doc_id long, row long, start int, m long, window long, words binary")
-    parts = written(parts)
-    matched = parts.where("shard >= 0").groupBy("shard").applyInArrow(lambda g: shard_matches(g, p), "doc_id long, row long, start int, stop int")
-    windows = parts.where("shard < 0").select("doc_id", "row", "start", "m", "window")
-    earliest = windows.groupBy("m", "window").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    hashed = windows.join(earliest, ["m", "window"]).where(at > F.col("first")).select("doc_id", "row", "start", (F.col("start") + n).alias("stop"))
-    return whole.unionAll(matched).unionAll(hashed)
+                if not s["large"]:
+                    out.append((False, s["m"], s["c"], doc, row, s["start"], s["times"], len(words), words.tobytes()))
+                    continue
+                # The windows at the anchor, by their outer words.
+                at, g = ngrams(words, np.array([0, len(words)]), n)
+                ends = mix(run_hashes(words, at, at + p.outer) * U(3) + run_hashes(words, at + n - p.outer, at + n))
+                m = mix(ends ^ np.array([s["m"]]).view(U)).view(np.int64)
+                out += [(True, int(x), int(y), doc, row, s["start"] + int(k), 1, n, words[k : k + n].tobytes()) for k, x, y in zip(at, m, g.view(np.int64))]
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["window", "m", "c", "doc_id", "row", "start", "times", "n_words", "words"]) if out else None
+
+    texts = some.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("row") == F.col("w_row")))
+    parts = written(map_texts(texts.select("doc_id", "row", "text", "segs"), content, "window boolean, m long, c long, doc_id long, row long, start int, times long, n_words int, words binary"))
+    usual = _searched(parts.where("not window").drop("window", "row"), p)
+    out = _stretches(met, contents, usual, p)
+    if large.isEmpty():
+        return out
+    copies = listed.where("large and times > 1").select("m", "c", F.array().cast("array<struct<start:int,stop:int>>").alias("own"))
+    windows = parts.where("window").withColumn("n", F.lit(1))
+    shared = windows.groupBy("m").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
+    windows = written(windows.join(shared, "m"))
+    apart = written(_contents(windows))
+    worded = windows.join(apart.select("m", "c", "first", F.col("times").alias("seen")), ["m", "c"]).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("row") == F.col("first.row")))
+    found = _searched(worded.select("m", "c", "doc_id", "start", F.col("seen").alias("times"), "n_words", "words"), p)
+    return out.unionAll(_stretches(met, contents, copies, p)).unionAll(_stretches(windows.select("doc_id", "row", "start", "n", "m", "c"), apart, found, p))
 
 
 def _kept(words: list[bytes], stretches: list[dict] | None) -> tuple[int, bytes]:
@@ -223,33 +239,29 @@ def _kept(words: list[bytes], stretches: list[dict] | None) -> tuple[int, bytes]
 
 def without_repeats(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) of each document."""
-    keyed = docs.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    gone = written(repeated_stretches(keyed.select("doc_id", "text"), p).groupBy(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row")).agg(F.collect_set(F.struct("start", "stop")).alias("stretches")))  # at most a text's own
+    keyed = docs.select(F.col("doc_id").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    gone = repeated_stretches(keyed.select("doc_id", "row", "text"), p).groupBy(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
+    gone = written(gone.agg(F.collect_set(F.struct("start", "stop")).alias("stretches")))  # at most a text's own
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = _row_hash(Words(*text_buffer(batch.column("text"))))
-        stretches = batch.column("stretches").to_pylist()
         out = []
-        for i, t in enumerate(batch.column("text").to_pylist()):
+        for t, stretches in zip(batch.column("text").to_pylist(), batch.column("stretches").to_pylist()):
             words = (t or "").encode().split()  # bytes split at these six characters only
-            own = [s["stretches"] for s in stretches[i] or [] if s["g_row"] == hashes[i]]
-            out.append((len(words), *_kept(words, own[0] if own else None)))
+            out.append((len(words), *_kept(words, stretches)))
         n, removed, kept = zip(*out)
         return pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept binary"
-    per_id = gone.groupBy("g_id").agg(F.collect_list(F.struct("g_row", "stretches")).alias("stretches"))
-    per_id = written(per_id)
-    ids = per_id.select("g_id")
-    none = F.lit(None).cast(per_id.schema["stretches"].dataType)
+    ids = gone.select("g_id").distinct()
+    columns = ["own_id", "text", "stretches"]
+    on = (F.col("doc_id") == F.col("g_id")) & (F.col("row") == F.col("g_row"))
     if ids.count() <= p.broadcast_rows:  # texts without repeats then need no shuffle
         some = F.broadcast(ids)
-        touched = keyed.join(some, F.col("doc_id") == F.col("g_id"), "left_semi").join(per_id, F.col("doc_id") == F.col("g_id"))
-        rest = keyed.join(some, F.col("doc_id") == F.col("g_id"), "left_anti").withColumn("stretches", none)
-        columns = ["own_id", "text", "stretches"]
+        touched = keyed.join(some, F.col("doc_id") == F.col("g_id"), "left_semi").join(gone, on, "left")
+        rest = keyed.join(some, F.col("doc_id") == F.col("g_id"), "left_anti").withColumn("stretches", F.lit(None).cast(gone.schema["stretches"].dataType))
         return map_texts(touched.select(columns), run, schema).unionAll(map_texts(rest.select(columns), run, schema))
-    return map_texts(keyed.join(per_id, F.col("doc_id") == F.col("g_id"), "left").select("own_id", "text", "stretches"), run, schema)
+    return map_texts(keyed.join(gone, on, "left").select(columns), run, schema)
 
 
 def substring_dedup(docs: DataFrame, p: Passages = Passages()) -> DataFrame:

@@ -85,6 +85,28 @@ def test_substrings(spark, rows, p):
     assert sorted(tuple(r) for r in substrings.substring_dedup(docs, p).collect()) == passages(rows)
 
 
+@pytest.mark.parametrize("max_contents", [1, 10_000])
+def test_substrings_at_a_shared_passage(spark, max_contents):
+    """A passage that all texts hold, within them and repeated in one; whole copies; words that are few."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(40)]
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 3, n)]
+    texts = [some(int(rng.integers(0, 30))) + passage + some(int(rng.integers(0, 30))) for _ in range(40)]
+    texts += [texts[3], passage + ["x"] + passage, texts[5][:30], some(200)]
+    rows = [(int(i), " ".join(t), None) for i, t in zip(rng.permutation(len(texts)), texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert sorted(tuple(r) for r in substrings.substring_dedup(docs, substrings.Passages(max_contents=max_contents)).collect()) == passages(rows)
+
+
+def test_substrings_without_ids(spark):
+    """Rows without an id meet by their text as well, not all with all."""
+    docs = spark.createDataFrame([(None, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(60)], "doc_id long, text string")
+    keyed = docs.select(F.lit(1).cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    assert substrings.repeated_stretches(keyed, substrings.Passages()).select("row").distinct().count() > 1
+    got = substrings.substring_dedup(docs).collect()
+    assert len(got) == 60 and all(r.n_words == 40 and r.n_removed <= 40 for r in got)
+
+
 def test_near_duplicates(spark, rows):
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := WORD.findall(t or "")) else frozenset() for i, t, _ in rows}
     parent = {i: i for i in sets}
