@@ -48,7 +48,7 @@ class Settings:
     bits_per_entry: int = 8
     probes: int = 4
     broadcast_bytes: int = 16 << 20
-    segment_bytes: int = 16 << 20
+    segment_bytes: int = 4 << 20
     segments: int = 16
     chunk_bytes: int = 6 << 20
 
@@ -351,6 +351,11 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     return map_texts(docs, run, f"{head}, {_OUT}")
 
 
+def _tasks(rows: DataFrame, groups: int) -> int:
+    """Tasks that grow with the number of groups, as AQE only makes fewer."""
+    return max(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def score_by_slices(rows: DataFrame, s: Settings, segments: int) -> DataFrame:
     """As score(), under the model of the rows that learn says, for a corpus of any size; rows: any columns, learn and text."""
     carry = [c for c in rows.columns if c not in ("text", "learn")]
@@ -377,7 +382,7 @@ def score_by_slices(rows: DataFrame, s: Settings, segments: int) -> DataFrame:
         return pa.table({k: pa.array(v, t) for k, (t, v) in told.items()})
 
     # A row for each chunk and segment, and one with the segment's sums.
-    found = written(sent(chunks, s, segments).groupBy("segment").applyInArrow(meet, "chunk long, segment int, levels array<binary>, c binary, tokens long, words long"))
+    found = written(sent(chunks, s, segments).repartition(_tasks(rows, segments), "segment").groupBy("segment").applyInArrow(meet, "chunk long, segment int, levels array<binary>, c binary, tokens long, words long"))
     n_tokens, n_words = (int(x or 0) for x in found.where("chunk is null").agg(F.sum("tokens"), F.sum("words")).first())
 
     def judge(of: pa.Table, told: pa.Table) -> pa.Table:
@@ -398,7 +403,8 @@ def score_by_slices(rows: DataFrame, s: Settings, segments: int) -> DataFrame:
         return pa.table([*(piece.column(x) for x in carry), *out], names=[*carry, *(x.split()[0] for x in _OUT.split(", "))])
 
     replies = found.where("chunk is not null").select("chunk", "segment", "levels", "c")
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(judge, f"{head}, {_OUT}")
+    n = _tasks(rows, chunks.count())
+    return chunks.repartition(n, "chunk").groupBy("chunk").cogroup(replies.repartition(n, "chunk").groupBy("chunk")).applyInArrow(judge, f"{head}, {_OUT}")
 
 
 def lm_scores(docs: DataFrame, s: Settings = Settings(), folds: int = 10) -> DataFrame:
