@@ -10,7 +10,7 @@ as its quota holds it whole, and of the rest the first blocks, which may end ins
 There are at most max_shards shards besides one for each source.  Up to max_sources sources, quotas
 are found on the driver, from one row for each source and shard, and broadcast.  Beyond that
 they stay a table: sums over it give the targets and the bound of the quotients, only the shards of sources
-with several come to the driver, and the quotas are joined by a shuffle.  Only light columns and the carried ones are
+with several come to the driver, and the quotas are joined by a shuffle.  Only light columns are
 shuffled, dealt by source and shard, so a source with a third of all documents is split over
 a third of the shards.
 
@@ -224,8 +224,8 @@ def _dealt(sizes: DataFrame, shards_of: DataFrame, m: Mix) -> DataFrame:
     )
 
 
-def apportion(sizes: DataFrame, m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, source and size of all documents: the numbers of shards of sources with several, and each shard's quota."""
+def apportion(sizes: DataFrame, m: Mix = Mix(), told: bool = False) -> tuple:
+    """From doc_id, source and size of all documents: the numbers of shards of sources with several, and each shard's quota; told: also whether the quotas are few."""
     spark = sizes.sparkSession
     per_source = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     total, n_sources = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -234,21 +234,25 @@ def apportion(sizes: DataFrame, m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     shards_of = spark.createDataFrame(shards_of, "s_source string, n_shards int")
     shards = _dealt(sizes, shards_of, m).groupBy("source", "shard").agg(F.sum("size").alias("size"))
     if n_sources > m.max_sources:
-        return shards_of, plan_table(cut(shards), m)
-    return shards_of, F.broadcast(plan(spark, [tuple(r) for r in shards.collect()], m))
+        return shards_of, plan_table(cut(shards), m), *[False][: told]
+    return shards_of, F.broadcast(plan(spark, [tuple(r) for r in shards.collect()], m)), *[True][: told]
 
 
-def take(sizes: DataFrame, shards_of: DataFrame, quotas: DataFrame, m: Mix = Mix()) -> DataFrame:
-    """sizes, which has doc_id, source and size, with source_size, target and taken."""
+def _laid(sizes: DataFrame, shards_of: DataFrame, quotas: DataFrame, m: Mix) -> DataFrame:
+    """sizes with the quota of its shard, full (how often it holds the whole line), rest (what is left of it) and before (the words ahead on the line)."""
     # A quota for each shard; where it is not broadcast, the join deals the rows as the window needs them.
     dealt = _dealt(sizes, shards_of, m).withColumn("key", _key(F.col("source")))
     joined = dealt.join(quotas, (F.col("key") == F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
     line = Window.partitionBy("key", "shard").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(line), F.lit(0))
     full = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
-    rest = F.col("quota") - full * F.col("shard_size")
-    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return joined.withColumn("taken", taken.cast("long")).drop("place", "key", "shard", "p_source", "p_shard", "quota", "shard_size")
+    laid = joined.withColumns({"before": F.coalesce(F.sum("size").over(line), F.lit(0)), "full": full})
+    return laid.withColumn("rest", F.col("quota") - F.col("full") * F.col("shard_size"))
+
+
+def take(sizes: DataFrame, shards_of: DataFrame, quotas: DataFrame, m: Mix = Mix()) -> DataFrame:
+    """sizes, which has doc_id, source and size, with source_size, target and taken."""
+    taken = F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return _laid(sizes, shards_of, quotas, m).withColumn("taken", taken.cast("long")).drop("place", "key", "shard", "p_source", "p_shard", "quota", "shard_size", "full", "rest", "before")
 
 
 def mixture(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
@@ -257,16 +261,33 @@ def mixture(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     return take(sizes, *apportion(sizes, m), m).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def ends(sizes: DataFrame, shards_of: DataFrame, quotas: DataFrame, m: Mix = Mix()) -> DataFrame:
+    """The quotas with the place on each shard's line where the rest of the quota ends, and end_words, those taken of each document at that place."""
+    laid = _laid(sizes, shards_of, quotas, m).where((F.col("size") > 0) & (F.col("rest") > 0))
+    at = laid.groupBy("key", "shard", "place").agg(F.min("before").alias("before"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("rest").alias("rest"))
+    at = at.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+    end = at.select(F.col("key").alias("e_key"), F.col("shard").alias("e_shard"), F.col("place").alias("end_place"), F.floor((F.col("rest") - F.col("before")) / F.col("rows")).alias("end_words"))
+    full = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
+    return quotas.join(end, (F.col("p_source") == F.col("e_key")) & (F.col("p_shard") == F.col("e_shard")), "left").withColumn("full", full).drop("e_key", "e_shard")
+
+
 def mix_documents(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
-    """The documents that the mix takes words of, in docs' columns, with mix_size, mix_target and mix_taken.
+    """The documents that the mix takes words of, in docs' columns, with mix_size, mix_target and mix_taken, which replace columns of these names.
 
-    The sizes are found first, alone; then whole rows are dealt over the shards once.
+    Light rows settle where each shard's quota ends; the quotas with that place are broadcast, and no text is shuffled (beyond
+    max_sources sources they are joined by a shuffle).  Rows with one doc_id and size have one place; where a quota ends
+    there they share what is left of it equally, rounded down.
     """
     columns = docs.columns
     names = [f"_{i}" for i in range(len(columns))]
     text, source, doc_id = (f"_{columns.index(c)}" for c in ("text", "source", "doc_id"))
     rows = docs.toDF(*names).select(*names, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"))
     sizes = cut(sized(rows.select("doc_id", "source", text), text))
-    heavy = take(sized(rows, text, keep_text=True), *apportion(sizes, m), m).where("taken > 0")
-    own = [F.col(n).alias(c) for n, c in zip(names, columns)]
+    shards_of, quotas, few = apportion(sizes, m, True)
+    last = cut(ends(sizes, shards_of, quotas, m))
+    dealt = _dealt(sized(rows, text, keep_text=True), shards_of, m).withColumn("key", _key(F.col("source")))
+    joined = dealt.join(F.broadcast(last) if few else last, (F.col("key") == F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
+    more = F.when(F.col("place") < F.col("end_place"), F.col("size")).when(F.col("place") == F.col("end_place"), F.least("size", "end_words")).otherwise(0)
+    heavy = joined.withColumn("taken", (F.col("full") * F.col("size") + more).cast("long")).where("taken > 0")
+    own = [F.col(n).alias(c) for n, c in zip(names, columns) if c not in ("mix_size", "mix_target", "mix_taken")]
     return heavy.select(*own, F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
