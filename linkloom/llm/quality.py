@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, written
 from linkloom.llm.tokens import Words, map_texts, mix, ngrams, span_hashes, sums_by, text_buffer
 
 _SYMBOL = np.zeros(256, bool)
@@ -181,7 +181,7 @@ def judge(measured: DataFrame, verdicts: DataFrame, rules: Rules = Rules(), host
 
 def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The verdict on each document, with the metrics it rests on."""
-    measured = measure(docs, rules)
+    measured = written(measure(docs, rules))  # light rows; the texts are measured once
     return judge(measured, host_verdicts(measured, rules), rules)
 
 
