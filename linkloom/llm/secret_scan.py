@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import let
 from linkloom.llm.common import cut
 
 # The base kinds, in the order in which spans with one start are listed.
@@ -47,25 +48,47 @@ class Scan:
     scope_chars: int = 512
 
 
-def spans_of(text: Column, pattern: str, kind: str, guard: Column, ok=None) -> Column:
-    """The array of (start, end, kind) of a pattern's matches, of which ok, if given, judges the matched strings."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # The pieces around the matches; the lengths before a match give its start.
-    lengths = F.transform(F.split(text, pattern, -1), F.length)
-    matched = F.transform(found, F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    steps = F.arrays_zip(F.slice(lengths, 1, F.size(matched)).alias("gap"), matched.alias("n"))
+def _running(steps: Column, at: Column) -> Column:
+    """The array of (start, end) of steps (gap before a match, its length n) from a position on."""
+    zero = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["n"]
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    where = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    if ok is not None:
-        where = F.transform(F.filter(F.arrays_zip(where.alias("w"), found.alias("m")), lambda x: ok(x["m"])), lambda x: x["w"])
-    made = F.transform(where, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(guard, made).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+
+def _positions(steps: Column) -> Column:
+    """_running() from 0 on, in chunks of as many steps as there are chunks, as each step copies what its chunk has so far."""
+
+    def chunked(s: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(s))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(s), size), lambda i: F.slice(s, i, size))
+        return let(parts, placed)
+
+    def placed(parts: Column) -> Column:
+        steps_of = F.transform(parts, lambda c: F.struct(F.lit(0).alias("gap"), F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["n"]).alias("n")))
+        return F.flatten(F.zip_with(parts, _running(steps_of, F.lit(0)), lambda c, o: _running(c, o["start"])))
+
+    return let(steps, lambda s: F.when(F.size(s) > 0, chunked(s)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+
+
+def spans_of(text: Column, pattern: str, kind: str, guard: Column, ok=None) -> Column:
+    """The array of (start, end, kind) of a pattern's matches, of which ok, if given, judges the matched strings."""
+
+    def made(found: Column) -> Column:
+        # The pieces around the matches; the lengths before a match give its start.
+        lengths = F.transform(F.split(text, pattern, -1), F.length)
+        steps = F.transform(F.arrays_zip(F.slice(lengths, 1, F.size(found)).alias("gap"), found.alias("m")), lambda x: F.struct(x["gap"].alias("gap"), F.length(x["m"]).alias("n")))
+        where = _positions(steps)
+        if ok is not None:
+            where = F.transform(F.filter(F.arrays_zip(where.alias("w"), found.alias("m")), lambda x: ok(x["m"])), lambda x: x["w"])
+        return F.transform(where, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(guard, let(found, made)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
