@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, and a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, and on a local master a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='linkloom-')}")
     return _own[0]

@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import shared_dir
+from linkloom.llm.tokens import pieces
 
 MAGIC = 0x184D2A5D  # fixed value: the skippable frame that holds a dictionary in .warc.zst
 _SHARES = 16
+_SLICE_BYTES = 4 << 20  # of html that become Python objects at once
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
         attempt = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         out, n, size, number = None, 0, 0, 0
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for piece in pieces(batch, "html", _SLICE_BYTES) for r in piece.to_pylist()):
                 if out is None:
                     name = f"{attempt}-{number:04d}"
                     out = store.open_output_stream(f"{top}/_{name}.tmp", compression=None)
