@@ -4,19 +4,19 @@ Validated numbers and dates are permuted, under a key, within their own format b
 equal values get equal pseudonyms in every document, so links survive, and the mapping can be
 undone with the key only.  What is kept of each kind:
 
-* card (13 to 19 digits that pass Luhn's test, parted by single spaces or hyphens or not at all):
+* card (13 to 19 digits that pass Luhn's test, unparted, or parted by single spaces or hyphens as 4-4-4-n or 4-6-n):
   length, separators and a valid check digit;
 * iban (country, valid check digits): country, length, character classes, valid check digits;
 * ssn (ddd-dd-dddd within the issued ranges): the form, and the issued ranges;
 * phone (an area code with its number, or an international form, of 10 to 15 digits): everything but the digits, and the country code;
-* ip (four numbers up to 255, or a full IPv6 address): the form; pseudonyms are valid addresses;
+* ip (four numbers up to 255, or an IPv6 address, whole or with :: for zeros and two groups or more, one with a digit): the form; pseudonyms are valid addresses;
 * date (a day that exists, years 1900 to 2099, as y-m-d, d.m.y, d/m/y or m/d/y): the form; pseudonyms exist;
 * email: letters and digits of the local part keep their class; the domain stays.
 
 What fails its kind's test stays as it is.
 
 Defined cases: a null text stays null and has no span; an empty text stays; repeated rows are each treated;
-values that differ in their digits differ in their pseudonyms, within a kind and length; a document id and
+values that differ in their digits differ in their pseudonyms, within a kind and length; without a key nothing runs; a document id and
 other columns are never changed.
 """
 
@@ -30,8 +30,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.tokens import map_texts
@@ -41,9 +43,26 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 
 @dataclass(frozen=True)
 class Pseudonyms:
-    key: bytes = b"a key of the deployment's own"
+    """key: the deployment's own secret; who has it can undo the pseudonyms."""
+
+    key: bytes
     rounds: int = 10
 
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("pseudonyms need a key")
+
+
+KEY_SETTING = "spark.linkloom.pii.key"
+
+
+def from_session(spark: SparkSession, otherwise: bytes | None = None) -> Pseudonyms:
+    """The key in the session's setting; without one, otherwise, and an error if that is None."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and otherwise is None:
+        raise ValueError(f"set {KEY_SETTING} to the deployment's secret")
+    return Pseudonyms(key.encode() if key else otherwise)
+
 
 def feistel(value: int, size: int, tweak: str, p: Pseudonyms, back: bool = False) -> int:
     """A keyed permutation of range(size): a balanced-as-can-be Feistel network over a * b >= size, walked until it falls in range."""
@@ -119,7 +138,12 @@ def _iban_check(country: str, body: str) -> str:
 
 
 def _iban(m: str, p: Pseudonyms, back: bool) -> str | None:
+    """A number that is followed by a word in capitals is found without it."""
     flat = m.replace(" ", "")
+    if " " in m and (not 15 <= len(flat) <= 34 or _iban_check(flat[:2], flat[4:]) != flat[2:4]):
+        head, _, last = m.rpartition(" ")
+        short = _iban(head, p, back) if len(last) < 4 else None
+        return None if short is None else f"{short} {last}"
     if not 15 <= len(flat) <= 34 or _iban_check(flat[:2], flat[4:]) != flat[2:4]:
         return None
     body = _by_class(flat[4:], "iban", p, back)
@@ -177,6 +201,14 @@ def _ip(m: str, p: Pseudonyms, back: bool) -> str | None:
     v = feistel(int(a), size, f"ip{a.version}", p, back)
     if a.version == 4:
         return str(ipaddress.IPv4Address(v))
+    if "::" in m:  # the groups that are written are permuted together
+        before, after = (x.split(":") if x else [] for x in m.split("::"))
+        k = len(before) + len(after)
+        if k < 2 or not re.search(r"\d", m):
+            return None
+        v = feistel(int("".join(g.zfill(4) for g in before + after), 16), 1 << 16 * k, f"ip6:{len(before)}", p, back)
+        new = [f"{v >> 16 * (k - 1 - i) & 0xFFFF:x}" for i in range(k)]
+        return ":".join(new[: len(before)]) + "::" + ":".join(new[len(before) :])
     wide = all(len(g) == 4 for g in m.split(":"))
     return ":".join(g if wide else f"{int(g, 16):x}" for g in ipaddress.IPv6Address(v).exploded.split(":"))
 
@@ -228,7 +260,7 @@ def _email(m: str, p: Pseudonyms, back: bool) -> str | None:
 FIND: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{3,5})(?![0-9A-Za-z])",
@@ -279,7 +311,7 @@ def pseudonymise(text: str, p: Pseudonyms, back: bool = False, memo: dict | None
     return "".join([*out, text[at:]]) if found else text, found
 
 
-def with_pseudonyms(docs: DataFrame, p: Pseudonyms = Pseudonyms(), text: str = "text", out: str = "pii") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, p: Pseudonyms, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with its text pseudonymised, and a column of what was found: spans of the given text and their kinds."""
     names = docs.columns
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -287,18 +319,23 @@ def with_pseudonyms(docs: DataFrame, p: Pseudonyms = Pseudonyms(), text: str = "
     memo: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, spans = [], []
-        for t in batch.column(text).to_pylist():
-            new, found = pseudonymise(t, p, False, memo) if t else (t, [])
+        given = batch.column(text).cast(pa.large_string())
+        spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        seeded = pc.fill_null(pc.match_substring_regex(given, _SEED.pattern), False)  # only these become Python strings
+        at = np.flatnonzero(seeded.to_numpy(zero_copy_only=False))
+        texts = []
+        for k, t in zip(at, given.take(pa.array(at)).to_pylist()):
+            new, found = pseudonymise(t, p, False, memo)
             texts.append(new)
-            spans.append([{"start": s, "end": e, "kind": k} for s, e, k, _ in found])
-        columns = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
+            spans[k] = [{"start": s, "end": e, "kind": kind} for s, e, kind, _ in found]
+        new = pc.replace_with_mask(given, seeded, pa.array(texts, pa.large_string())).cast(pa.string())
+        columns = [new if n == text else batch.column(n) for n in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], names=[*names, out])
 
     return map_texts(docs, run, f"{head}, `{out}` array<struct<start:int,end:int,kind:string>>", text)
 
 
-def pii_report(docs: DataFrame, p: Pseudonyms = Pseudonyms()) -> DataFrame:
+def pii_report(docs: DataFrame, p: Pseudonyms) -> DataFrame:
     """doc_id, text (pseudonymised), n_found, spans as kind:start:end by start, and the count of each kind."""
     x = with_pseudonyms(docs.select("doc_id", "text"), p)
     n = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -306,7 +343,7 @@ def pii_report(docs: DataFrame, p: Pseudonyms = Pseudonyms()) -> DataFrame:
     return x.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), listed.alias("spans"), *[n(k) for k in KINDS])
 
 
-def mask_documents(docs: DataFrame, p: Pseudonyms = Pseudonyms()) -> DataFrame:
+def mask_documents(docs: DataFrame, p: Pseudonyms) -> DataFrame:
     """docs, with pseudonyms in its texts."""
     columns = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(columns))])

@@ -11,7 +11,7 @@ from linkloom.llm.decontaminate import contaminated
 from linkloom.llm.lm import lm_scores
 from linkloom.llm.mixing import mixture
 from linkloom.llm.neardup import near_duplicates
-from linkloom.llm.pii import pii_report
+from linkloom.llm.pii import from_session, pii_report
 from linkloom.llm.quality import quality
 from linkloom.llm.secret_scan import secrets
 from linkloom.llm.substrings import substring_dedup
@@ -19,6 +19,10 @@ from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
 
 
+#: For the invented persons of the test tables; a deployment sets its own secret (see pii.KEY_SETTING).
+TABLES_KEY = b"not a secret"
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,7 +32,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_report(table(spark, sf_dir, "documents"))
+    return pii_report(table(spark, sf_dir, "documents"), from_session(spark, TABLES_KEY))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
