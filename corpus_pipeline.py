@@ -14,8 +14,9 @@ from linkloom.llm.common import table, written
 from linkloom.llm.decontaminate import drop_contaminated
 from linkloom.llm.mixing import mix_documents
 from linkloom.llm.neardup import keep_one
-from linkloom.llm.pii import mask_documents
+from linkloom.llm.pii import from_session, mask_documents
 from linkloom.llm.quality import keep_good
+from linkloom.llm.queries import TABLES_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With pseudonyms for personal data in the texts."""
-    return mask_documents(docs)
+    return mask_documents(docs, from_session(spark, TABLES_KEY))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
