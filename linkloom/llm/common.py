@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it."""
+    uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
+    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there: its lineage ends and its rows are computed once."""
     spark = df.sparkSession

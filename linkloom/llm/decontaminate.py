@@ -14,8 +14,12 @@ A retrieved item counts if its question and its answer both overlap with the pas
 word trigrams occur in it; those of an answer are all that hold a word of it.  Where items have no answer of their own, the last sentence is the answer, or the
 last third of the words of a single sentence.
 
-The index is broadcast in blocks of items of at most block_words words, one pass over the documents for each,
-so its size is bounded whatever the benchmark's.
+This is block-max WAND over sets: its bounds, maxima of terms and of blocks, prune many passages at once, in place of a
+pivot that moves through one query's postings.
+
+The index is built by tasks, in blocks of items of about block_words words, as files in the shared folder.  In one pass over the
+documents a worker holds one block at a time, so neither the driver nor a task holds more, whatever the benchmark's size.  Passages
+are as long as the block's longest item asks.
 
 Defined cases: null and empty texts, of documents or items, match nothing; an item without a term too; repeated rows are
 each reported; an item that repeats another is reported beside it; empty tables give no row; further columns are ignored.
@@ -23,15 +27,21 @@ each reported; an item that repeats another is reported beside it; empty tables
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from linkloom.llm.tokens import Words, map_texts, ngrams, text_buffer
+from linkloom.llm.common import open_store, shared_dir, written
+from linkloom.llm.tokens import CHUNK_BYTES, U, Words, map_texts, ngrams, pieces, text_buffer
 from linkloom.llm.toxicity import _BREAK
 
 
@@ -45,6 +55,7 @@ class Search:
     passage_words: int = 128
     block_items: int = 16
     block_words: int = 2_000_000
+    slice_bytes: int = 32 << 20
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -200,70 +211,114 @@ def search(text: pa.Array, index: Index, s: Search) -> dict[tuple[int, int], tup
     return found
 
 
-def indexes(items: DataFrame, s: Search) -> list[Index]:
-    """The index of all items, in blocks of at most block_words words (an item longer than that alone)."""
-    rows = items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    words = 0
-    for r in rows:
-        n = len((r.text or "").split())
-        if n == 0:
-            continue
-        if words + n > s.block_words and blocks[-1]:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((r.item_id, r.text))
-        words += n
-    if len(blocks) == 1:
-        return [Index([i for i, _ in b], [t for _, t in b], s) for b in blocks if b]
-    df: dict[int, int] = {}
-    total = count = 0
-    for b in blocks:  # term statistics are those of all items
-        for _, t in b:
-            h, _ = _terms([t])
-            total, count = total + len(h), count + 1
-            for v in np.unique(h):
-                df[int(v)] = df.get(int(v), 0) + 1
-    return [Index([i for i, _ in b], [t for _, t in b], s, df, count, total / count) for b in blocks]
+def build_index(items: DataFrame, s: Search) -> list[str]:
+    """Writes the index of all items to the shared folder, a file for each block of about block_words words, and returns the files.
+
+    Items are dealt to blocks by hash; term statistics are those of all items.  A task builds a block and renames its file
+    when it is whole, so an attempt that is lost leaves nothing that is read.
+    """
+    spark = items.sparkSession
+    size = F.size(F.split(F.trim("text"), r"\s+"))
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.trim("text") != "")
+    words = rows.agg(F.sum(size)).first()[0] or 0
+    if not words:
+        return []
+    n_blocks = -(-words // s.block_words)
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))))
+    folder = f"{shared_dir(spark)}/linkloom-index-{uuid.uuid4().hex}"
+    store, top = open_store(folder)
+    store.create_dir(top, recursive=True)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            h, first = _terms(batch.column("text").to_pylist())
+            item = np.repeat(np.arange(len(block)), np.diff(first))
+            pair = np.unique(np.stack([item.astype(U), h]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(block[pair[0].astype(np.int64)]), pa.array(pair[1].view(np.int64)), pa.array(np.ones(pair.shape[1], np.int64))], names=["block", "term", "df"])
+            lead, count = np.unique(block, return_counts=True)  # the rows of no term hold each block's sums
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.nulls(len(lead), pa.int64()), pa.array(np.bincount(np.searchsorted(lead, block), np.diff(first)).astype(np.int64))], names=["block", "term", "df"])
+
+    told = written(rows.mapInArrow(terms, "block long, term long, df long").groupBy("block", "term").agg(F.sum("df").alias("df")))
+    total = told.where("term is null").agg(F.sum("df")).first()[0] or 0
+    count = rows.count()
+    every = told.where("term is not null").groupBy("term").agg(F.sum("df").alias("all_df"))
+    known = told.where("term is not null").select("block", "term").join(every, "term")
+
+    def build(own: pa.Table, known: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"path": pa.array([], pa.string())})
+        own = own.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        df = dict(zip(known.column("term").to_numpy().view(U).tolist(), known.column("all_df").to_pylist()))
+        index = Index(own.column("item_id").to_pylist(), own.column("text").to_pylist(), s, df, count, max(1.0, total / count))
+        name = f"{own.column('block')[0].as_py():06d}"
+        store, top = open_store(folder)
+        attempt = f"{top}/_{name}-{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(attempt, compression=None) as out:
+            out.write(pickle.dumps(index, protocol=5))
+        store.move(attempt, f"{top}/{name}.index")
+        return pa.table({"path": [f"{folder}/{name}.index"]})
+
+    made = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(build, "path string")
+    return sorted(r.path for r in written(made).collect())  # a name for each block
+
+
+@lru_cache(1)
+def _load(path: str) -> Index:
+    """A block's index; a worker holds one at a time."""
+    store, at = open_store(path)
+    with store.open_input_stream(at, compression=None) as stream:
+        return pickle.loads(stream.read())
+
+
+def _searching(docs: DataFrame, paths: list[str], s: Search, text: str, run: Callable[[pa.RecordBatch, Iterator[tuple[Index, dict]]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """run over slices of docs with each block's index and what is found by it, in one pass over docs.
+
+    With several blocks slices are large, as a task reads every block for each of them.
+    """
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[Index, dict]]:
+        for path in paths:
+            index = _load(path)
+            out: dict = {}
+            at = 0
+            for piece in pieces(batch, text):
+                out |= {(at + k, item): v for (k, item), v in search(piece.column(text), index, s).items()}
+                at += piece.num_rows
+            yield index, out
+
+    return map_texts(docs, lambda batch: run(batch, found(batch)), schema, text, CHUNK_BYTES if len(paths) < 2 else s.slice_bytes)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, s: Search = Search(), text: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of each document and item with a verified passage."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", text)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in indexes(items, s):
-        shared = spark.sparkContext.broadcast(index)  # at most block_words words
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            found = sorted(search(batch.column(text), shared.value, s).items())
-            if not found:
-                return None
-            at = pa.array([k[0] for k, _ in found])
-            parts = [batch.column("doc_id").take(at), pa.array(shared.value.ids[[k[1] for k, _ in found]]), *(pa.array([v[i] for _, v in found]) for i in range(3))]
-            return pa.RecordBatch.from_arrays(parts, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def run(batch: pa.RecordBatch, blocks: Iterator[tuple[Index, dict]]) -> pa.RecordBatch | None:
+        at, ids, values = [], [], []
+        for index, found in blocks:
+            for (k, item), v in sorted(found.items()):
+                at.append(k)
+                ids.append(int(index.ids[item]))
+                values.append(v)
+        if not at:
+            return None
+        parts = [batch.column("doc_id").take(pa.array(at)), pa.array(ids, pa.int64()), *(pa.array([v[i] for v in values]) for i in range(3))]
+        return pa.RecordBatch.from_arrays(parts, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        hits = map_texts(rows, run, schema, text)
-        out = hits if out is None else out.unionAll(hits)
-    return spark.createDataFrame([], schema) if out is None else out
+    return _searching(rows, build_index(items, s), s, text, run, schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, s: Search = Search()) -> DataFrame:
     """The documents without a verified passage of any item, in docs' columns."""
-    spark = docs.sparkSession
     columns = docs.columns
-    out = docs.toDF(*[f"_{i}" for i in range(len(columns))])
-    text = f"_{columns.index('text')}"
-    schema = out.schema
-    for index in indexes(items, s):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[k for k, _ in search(batch.column(text), shared.value, s)]] = False
-            return batch.filter(pa.array(keep))
+    plain = docs.toDF(*[f"_{i}" for i in range(len(columns))])
 
-        out = map_texts(out, run, schema, text)
-    return out.toDF(*columns)
+    def run(batch: pa.RecordBatch, blocks: Iterator[tuple[Index, dict]]) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, bool)
+        for _, found in blocks:
+            keep[[k for k, _ in found]] = False
+        return batch.filter(pa.array(keep))
 
+    return _searching(plain, build_index(items, s), s, f"_{columns.index('text')}", run, plain.schema).toDF(*columns)

@@ -27,12 +27,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import shared_dir
+from linkloom.llm.common import open_store, shared_dir
 from linkloom.llm.tokens import pieces
 
 MAGIC = 0x184D2A5D  # fixed value: the skippable frame that holds a dictionary in .warc.zst
@@ -88,11 +87,6 @@ def train_dictionary(records: list[bytes], a: Archive) -> bytes:
         return b"".join(records)[: a.dictionary_bytes]
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
-
-
 def _dictionary(pages: DataFrame, a: Archive) -> bytes:
     """From sample_records pages, those with the least hash, each cut at sample_bytes for this purpose only.
 
@@ -131,11 +125,11 @@ def write_archives(pages: DataFrame, folder: str, a: Archive = Archive()) -> Dat
     """Writes the archives and returns (path, records, bytes) of each, as a DataFrame that is computed already."""
     spark = pages.sparkSession
     dictionary = spark.sparkContext.broadcast(_dictionary(pages, a))  # at most dictionary_bytes
-    store, top = _store(folder)
+    store, top = open_store(folder)
     store.create_dir(top, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _store(folder)
+        store, top = open_store(folder)
         given = dictionary.value
         packed = zstandard.ZstdCompressor(level=a.level).compress(given)
         compressor = zstandard.ZstdCompressor(level=a.level, dict_data=zstandard.ZstdCompressionDict(given) if given else None)
@@ -201,7 +195,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, at = _store(path)
+                store, at = open_store(path)
                 rows: list[dict] = []
                 with store.open_input_stream(at, compression=None) as stream:
                     for data in frames(stream):

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, fmindex, lm, mixing, neardup, pii, quality, queries, secret_scan, substrings, toxicity, warc
+from linkloom.llm import common, decontaminate, fmindex, lm, mixing, neardup, pii, quality, queries, secret_scan, substrings, toxicity, warc
 from linkloom.llm.tokens import Words, ngrams, span_hashes, text_buffer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -461,7 +461,7 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(archives) > 3 and sum(a.records for a in archives) == 300
     texts, ids = {}, []
     for a in archives:
-        store, at = warc._store(a.path)
+        store, at = common.open_store(a.path)
         with store.open_input_stream(at, compression=None) as stream:
             for record in warc.frames(stream, 64):
                 r = warc.parse(record)
