@@ -6,8 +6,8 @@ apostrophes and bytes above ASCII, with A-Z lowered, so punctuation doesn't part
 Training is online, with a learning rate for each coordinate and L1 and L2 penalties; L1 leaves few
 weights, so what is broadcast for scoring is small, and at most 2^bits weights.
 
-The classifier is fitted on the driver, on at most max_train_rows labelled rows, those with the
-least hash of their doc_id; everything else covers all rows.
+The classifier is fitted on the driver, on at most max_train_rows labelled rows with at most max_train_bytes of text
+(the first row apart), those with the least hash of doc_id and text; everything else covers all rows.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias; a doc_id with
 several labels is toxic if one of them says so; null labels are ignored; without labelled rows of
@@ -42,6 +42,7 @@ class Ftrl:
     epochs: int = 8
     positive_weight: float = 3.0
     max_train_rows: int = 10000
+    max_train_bytes: int = 64 << 20
     threshold: float = 0.7
 
 
@@ -85,15 +86,25 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, f: Ftrl) -> tuple[np.nd
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, f: Ftrl) -> DataFrame:
-    """doc_id and toxic of the labelled documents to learn from, at most max_train_rows."""
+    """doc_id and toxic of the labels to learn from, one for each id, at most max_train_rows."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(f.max_train_rows)
 
 
+def bounded(found: DataFrame, f: Ftrl, text: str) -> DataFrame:
+    """The rows of found to learn from: an id may have many rows, and a text any length."""
+    placed = found.withColumn("_place", F.xxhash64("l_id", text))
+    light = placed.select("_place", F.octet_length(text).alias("size")).orderBy("_place").limit(f.max_train_rows).collect()
+    sizes = np.cumsum([r["size"] or 0 for r in light])
+    n = max(1, int(np.searchsorted(sizes, f.max_train_bytes, "right")))
+    rows = placed.where(F.col("_place") <= light[n - 1]["_place"]) if light else placed
+    return rows.drop("_place").limit(f.max_train_rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, f: Ftrl = Ftrl(), text: str = "text") -> tuple[np.ndarray, float]:
     """A weight for each slot, and the bias."""
     chosen = F.broadcast(training_rows(docs, labels, f).withColumnRenamed("doc_id", "l_id"))  # at most max_train_rows rows
-    found = docs.select("doc_id", text).join(chosen, F.col("doc_id") == F.col("l_id")).select(text, "toxic")
+    found = docs.select("doc_id", text).join(chosen, F.col("doc_id") == F.col("l_id")).select("l_id", text, "toxic")
     bits = f.bits
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, f: Ftrl = Ftrl(), text: str = "tex
         low = (both & ((1 << bits) - 1)).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["toxic", "slots"])
 
-    rows = map_texts(found, run, "toxic int, slots binary", text).collect()
+    rows = map_texts(bounded(found, f, text), run, "toxic int, slots binary", text).collect()
     rows.sort(key=lambda r: (bytes(r.slots), r.toxic))  # the order of arrival must not matter
     y = np.array([min(1, max(0, r.toxic)) for r in rows], float)
     if not len(y) or y.min() == y.max():
