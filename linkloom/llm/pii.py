@@ -284,12 +284,14 @@ def replacements(text: str, p: Pseudonyms, back: bool = False, memo: dict | None
         if not ("@" in text if kind == "email" else digits):
             continue
         own = []
-        for m in _COMPILED[kind].finditer(left):
+        at = 0
+        while m := _COMPILED[kind].search(left, at):
             value = (kind, m[0])
             if value not in memo:
                 if len(memo) > 100_000:
                     memo.clear()
                 memo[value] = MAP[kind](m[0], p, back)
+            at = m.end() if memo[value] is not None else m.start() + 1  # a match that fails may hide a true one
             if memo[value] is not None:
                 own.append((m.start(), m.end(), kind, memo[value]))
         if own:
