@@ -171,7 +171,7 @@ def _searched(parts: DataFrame, p: Passages) -> DataFrame:
 def _stretches(segs: DataFrame, contents: DataFrame, reports: DataFrame, p: Passages) -> DataFrame:
     """doc_id, row, start, stop: the reports at each place of the contents.  segs: doc_id, row, start, n, m, c."""
     told = written(reports.join(contents.select("m", "c", "first"), ["m", "c"]))
-    at = _with_bound(segs, told, ["m", "c"], p.broadcast_rows)
+    at = _with_bound(segs, told, ["m", "c"], p.broadcast_rows // 8)  # rows of about 100 bytes
     all_of = F.array(F.struct(F.lit(0).alias("start"), (F.col("n") + (p.window - 1)).alias("stop")))
     later = F.struct("doc_id", "start") > F.struct("first.doc_id", "first.start")
     spans = at.select("doc_id", "row", "start", F.explode(F.when(later, all_of).otherwise(F.col("own"))).alias("s"))
