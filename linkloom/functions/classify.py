@@ -101,5 +101,5 @@ def outcome(status: Column, error: Column, truncated: Column) -> Column:
     """state and note of a response."""
     ok = status.between(200, 299)
     state = F.when(error != "", "failed").when(status == 304, "unchanged").when(~ok, "failed").when(truncated, "skipped").otherwise("done")
-    note = F.when(error != "", error).when(status == 304, "").when(~ok, status_phrase(status)).when(truncated, "larger than the file limit").otherwise("")
+    note = F.when(error != "", error).when(status == 304, "").when(~ok, status_phrase(status)).when(truncated, "exceeds --max-file-size").otherwise("")
     return F.struct(state.alias("state"), note.alias("note"))

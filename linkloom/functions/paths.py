@@ -11,6 +11,10 @@ from linkloom.functions.text import let, percent_decode, percent_encode, short_h
 # Device names that no component may have.
 RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{k}" for d in ("com", "lpt") for k in range(1, 10)))
 LINK_SAFE = "!$()*+,;=:@-._~"
+# The most bytes of a component and of the extension that a cut one keeps, of a path, and of the start of a longer one;
+# the bytes of an extension in a file name, with its dot; the names of folders and files that URLs don't give.
+COMPONENT_BYTES, KEPT_EXTENSION_BYTES, PATH_BYTES, START_BYTES, EXTENSION_BYTES = 180, 16, 200, 120, 12
+INDEX_NAME, EXTERNAL_DIR, LONG_DIR = "index.html", "_external", "_long"
 
 
 def _cut(s: Column, n: Column | int) -> Column:
@@ -34,8 +38,8 @@ def sanitize_component(component: Column) -> Column:
 
     def short(x: Column) -> Column:
         extension = F.regexp_extract(x, r"(\.[^.]*)$", 1)
-        kept = F.when(F.octet_length(extension) <= 16, extension).otherwise(F.lit(""))
-        return F.when(F.octet_length(x) > 180, F.concat(_cut(x, F.lit(180) - F.octet_length(kept)), kept)).otherwise(x)
+        kept = F.when(F.octet_length(extension) <= KEPT_EXTENSION_BYTES, extension).otherwise(F.lit(""))
+        return F.when(F.octet_length(x) > COMPONENT_BYTES, F.concat(_cut(x, F.lit(COMPONENT_BYTES) - F.octet_length(kept)), kept)).otherwise(x)
 
     return let(F.regexp_replace(component, r'[\x00-\x1F<>:"/\\|?*\x7F]', "_"), cleaned)
 
@@ -43,12 +47,16 @@ def sanitize_component(component: Column) -> Column:
 def _stem_and_extension(name: Column) -> tuple[Column, Column]:
     """Cut at the last dot, unless it leads or more than eleven bytes follow it."""
     tail = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
-    extension = F.when((tail != "") & (F.octet_length(tail) <= 12), tail).otherwise(F.lit(""))
+    extension = F.when((tail != "") & (F.octet_length(tail) <= EXTENSION_BYTES), tail).otherwise(F.lit(""))
     return F.substring(name, F.lit(1), F.length(name) - F.length(extension)), extension
 
 
-def relative_path(u: Column, kind: Column, primary: Column, index_name: str = "index.html", external_dir: str = "_external") -> Column:
+def relative_path(u: Column, kind: Column, primary: Column, index_name: str = INDEX_NAME, external_dir: str = EXTERNAL_DIR) -> Column:
     """The path of a resource under the mirror's root."""
+    return let(u, lambda v: _relative_path(v, kind, primary, index_name, external_dir))
+
+
+def _relative_path(u: Column, kind: Column, primary: Column, index_name: str, external_dir: str) -> Column:
     host = F.concat(u["host"], F.when(u["port"] != 0, F.concat(F.lit("_"), u["port"].cast("string"))).otherwise(F.lit("")))
     host = F.when(u["scheme"] == "https", host).otherwise(F.concat(u["scheme"], F.lit("_"), host))
     foreign = F.coalesce(primary["host"] != "", F.lit(False)) & ~F.coalesce(U.same_origin(u, primary), F.lit(False))
@@ -72,8 +80,8 @@ def relative_path(u: Column, kind: Column, primary: Column, index_name: str = "i
 
     def bounded(relative: Column, leaf: Column) -> Column:
         _, extension = _stem_and_extension(leaf)
-        start = let(_cut(relative, 120), lambda p: F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, r"(?s)/[^/]*$", "")).otherwise(p))
-        return F.when(F.octet_length(relative) > 200, F.concat(start, F.lit("/_long/"), short_hash(relative), extension)).otherwise(relative)
+        start = let(_cut(relative, START_BYTES), lambda p: F.when(F.contains(p, F.lit("/")), F.regexp_replace(p, r"(?s)/[^/]*$", "")).otherwise(p))
+        return F.when(F.octet_length(relative) > PATH_BYTES, F.concat(start, F.lit(f"/{LONG_DIR}/"), short_hash(relative), extension)).otherwise(relative)
 
     return let(F.concat(front, parts), lambda p: F.when(u.isNotNull(), named(p)))
 
@@ -100,6 +108,12 @@ def absolute_path(root: str, relative: Column) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(split_on(relative, "/", False), "/"))
 
 
+def default_output_directory(u: Column) -> Column:
+    """The folder that a mirror of a URL goes to: its host, with its port if it names one."""
+    name = F.when(u["host"] == "", F.lit("mirror")).otherwise(u["host"])
+    return sanitize_component(F.concat(name, F.when(u["port"] != 0, F.concat(F.lit("_"), u["port"].cast("string"))).otherwise(F.lit(""))))
+
+
 def is_inside(root: Column, candidate: Column) -> Column:
     """Whether a path lies under a root, after . and .. are worked out."""
     clean = lambda p: F.regexp_replace(U.remove_dot_segments(p), "/$", "")

@@ -6,7 +6,10 @@ fragment are null where there is none, and the struct is null where the text is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import iends_with, let, split_on, to_lower, trim
@@ -24,14 +27,6 @@ NOT_FETCHED = (
 PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 
 
-def _struct(**parts: Column) -> Column:
-    return F.struct(*[parts[k].alias(k) for k in _FIELDS]).cast(_TYPE)
-
-
-def _group(s: Column, pattern: str, k: int) -> Column:
-    return F.regexp_extract(s, pattern, k)
-
-
 def strip_whitespace(s: Column) -> Column:
     """Without tabs and line ends anywhere, and without white space at the ends."""
     return trim(F.translate(s, "\t\n\r", ""))
@@ -49,121 +44,150 @@ def is_http(u: Column) -> Column:
     return u["scheme"].isin("http", "https")
 
 
-def remove_dot_segments(path: Column) -> Column:
+def _let(value: str, name: str, body: Callable[[str], str]) -> str:
+    """SQL for body of value, worked out once: a lambda's variable stands for it, unless it is a mere name.
+
+    Each nested lambda costs the analyser some rounds, of which it has a limited number, so what is cheap is not bound.
+    """
+    return body(value) if re.fullmatch(r"[\w.]+", value) else f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
+
+def _applied(value: Column, body: Callable[[str], str]) -> Column:
+    """As let(), with the body as SQL: long expressions are handed to Spark as one text, not node by node."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"v -> {body('v')}")), 1)
+
+
+def _low(s: str) -> str:
+    return f"translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _named(**parts: str) -> str:
+    return f"named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())})"
+
+
+def _url(**parts: str) -> str:
+    return f"cast({_named(**{k: parts[k] for k in _FIELDS})} AS {_TYPE})"
+
+
+_PORT_OF = f"map({', '.join(f"'{k}', {v}" for k, v in PORTS.items())})"
+_HTTP = "('http', 'https')"
+
+
+def _dotless(path: str) -> str:
     """Without . and .. and empty segments; a slash at the end stays, or stands for a last . or .. ."""
-    stack = F.aggregate(
-        split_on(path, "/"),
-        F.array().cast("array<string>"),
-        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part.isin(".", ""), done).otherwise(F.concat(done, F.array(part))),
+    stack = (
+        f"aggregate(split({path}, '/', -1), cast(array() AS array<string>), (done, part) -> "
+        "CASE WHEN part = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) WHEN part IN ('.', '') THEN done ELSE concat(done, array(part)) END)"
     )
-    front = F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    body = F.concat(front, F.array_join(stack, "/"))
-    open_end = path.rlike(r"(^|/)\.{0,2}$") & (path != "")
-    return F.when(open_end & ~F.endswith(body, F.lit("/")), F.concat(body, F.lit("/"))).otherwise(body)
+    rooted = f"startswith({path}, '/')"
+    open_end = f"{path} RLIKE r'(^|/)\\.{{0,2}}$' AND {path} != ''"
+    return _let(stack, "k", lambda k: f"concat(if({rooted}, '/', ''), array_join({k}, '/'), if({open_end} AND NOT ({rooted} AND size({k}) = 0), '/', ''))")
 
 
-def authority_parts(authority: Column) -> Column:
-    """userinfo, host, port and ipv6 of an authority; null where its port or brackets are wrong."""
-    kind = "struct<userinfo:string,host:string,port:int,ipv6:boolean>"
+def remove_dot_segments(path: Column) -> Column:
+    """As _dotless()."""
+    return _applied(path, _dotless)
+
+
+_AUTHORITY = "struct<userinfo:string,host:string,port:int,ipv6:boolean>"
 
-    def parts(user: Column, host: Column, port: Column, six: bool) -> Column:
-        return F.struct(user.alias("userinfo"), to_lower(host).alias("host"), port.cast("int").alias("port"), F.lit(six).alias("ipv6")).cast(kind)
 
-    def of(a: Column) -> Column:
-        user = F.when(F.contains(a, F.lit("@")), _group(a, r"(?s)^(.*)@", 1)).otherwise(F.lit(""))
-        return let(F.regexp_replace(a, r"(?s)^.*@", ""), lambda hp: by_form(user, hp))
+def _authority(a: str) -> str:
+    """userinfo, host, port and ipv6 of an authority; null where its port or brackets are wrong."""
+    user = f"if(contains({a}, '@'), regexp_extract({a}, r'(?s)^(.*)@', 1), '')"
+
+    def parts(host: str, port: str, six: str) -> str:
+        return f"cast({_named(userinfo=user, host=_low(host), port=f'cast({port} AS int)', ipv6=six)} AS {_AUTHORITY})"
 
-    def by_form(user: Column, hp: Column) -> Column:
-        six = r"(?s)^\[([^\]]+)\](?::([0-9]*).*)?$"
-        digits = F.regexp_replace(_group(hp, six, 2), r"^0+(?=.)", "")
-        six_port = F.when(digits == "", F.lit(0)).otherwise(F.pmod(F.substring(digits, -15, 15).cast("long"), F.lit(65536)))
-        port = F.regexp_replace(_group(hp, r":([0-9]+)$", 1), r"^0+(?=.)", "")
+    def by_form(hp: str) -> str:
+        six = r"r'(?s)^\[([^\]]+)\](?::([0-9]*).*)?$'"
+        digits = f"regexp_replace(regexp_extract({hp}, {six}, 2), r'^0+(?=.)', '')"
+        six_port = f"if({digits} = '', 0, pmod(cast(substring({digits}, -15, 15) AS bigint), 65536))"
+        port = f"regexp_replace(regexp_extract({hp}, r':([0-9]+)$', 1), r'^0+(?=.)', '')"
         plain = (
-            F.when(F.endswith(hp, F.lit(":")), parts(user, F.regexp_replace(hp, ":$", ""), F.lit(0), False))
-            .when(port == "", parts(user, hp, F.lit(0), False))
-            .when(F.length(port) > 5, F.lit(None).cast(kind))
-            .when(F.substring(port, 1, 5).cast("int") <= 65535, parts(user, F.regexp_replace(hp, r":[0-9]+$", ""), F.substring(port, 1, 5), False))
+            f"CASE WHEN endswith({hp}, ':') THEN {parts(f"regexp_replace({hp}, ':$', '')", '0', 'false')} WHEN {port} = '' THEN {parts(hp, '0', 'false')} "
+            f"WHEN length({port}) <= 5 AND cast(substring({port}, 1, 5) AS int) <= 65535 THEN {parts(f"regexp_replace({hp}, r':[0-9]+$', '')", port, 'false')} END"
         )
-        return F.when(F.startswith(hp, F.lit("[")), F.when(hp.rlike(six), parts(user, _group(hp, six, 1), six_port, True))).otherwise(plain)
+        return f"if(startswith({hp}, '['), if({hp} RLIKE {six}, {parts(f'regexp_extract({hp}, {six}, 1)', six_port, 'true')}, null), {plain})"
 
-    return let(authority, of)
+    return _let(f"regexp_replace({a}, r'(?s)^.*@', '')", "hp", by_form)
 
 
-def normalize(u: Column) -> Column:
+def authority_parts(authority: Column) -> Column:
+    """As _authority()."""
+    return _applied(authority, _authority)
+
+
+def _normal(url: str) -> str:
     """Lower-case scheme and host, no default port, a rooted dot-free path for http, no empty query."""
 
-    def of(x: Column) -> Column:
-        rooted = F.when(x["path"] == "", F.lit("/")).when(F.startswith(x["path"], F.lit("/")), x["path"]).otherwise(F.concat(F.lit("/"), x["path"]))
-        return F.when(
-            x.isNotNull(),
-            _struct(
-                scheme=to_lower(x["scheme"]), userinfo=x["userinfo"], host=to_lower(x["host"]),
-                port=F.when(x["port"] == default_port(to_lower(x["scheme"])), F.lit(0)).otherwise(x["port"]),
-                path=F.when(to_lower(x["scheme"]).isin("http", "https"), let(rooted, remove_dot_segments)).otherwise(x["path"]),
-                query=F.nullif(x["query"], F.lit("")), fragment=x["fragment"], ipv6=x["ipv6"],
-            ),
-        )
+    def of(x: str) -> str:
+        scheme = _low(f"{x}.scheme")
+        rooted = f"if(startswith({x}.path, '/'), {x}.path, concat('/', {x}.path))"
+        return f"if({x} IS NULL, null, " + _url(
+            scheme=scheme, userinfo=f"{x}.userinfo", host=_low(f"{x}.host"), port=f"if({x}.port = coalesce(try_element_at({_PORT_OF}, {scheme}), 0), 0, {x}.port)",
+            path=f"if({scheme} IN {_HTTP}, {_dotless(rooted)}, {x}.path)", query=f"nullif({x}.query, '')", fragment=f"{x}.fragment", ipv6=f"{x}.ipv6",
+        ) + ")"
+
+    return _let(url, "x", of)
 
-    return let(u, of)
+
+def normalize(u: Column) -> Column:
+    """As _normal()."""
+    return _applied(u, _normal)
 
 
-_ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
-_RELATIVE = r"(?s)^(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
-_EMPTY = ("", "", 0, False)
+_ABSOLUTE = r"r'(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
+_RELATIVE = r"r'(?s)^(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
 
 
-def _after(s: Column) -> Column:
+def _after(s: str) -> str:
     """A query or fragment without its mark; null without a mark."""
-    return F.when(s != "", F.substring(s, 2, 1 << 30))
+    return f"if({s} != '', substring({s}, 2, {1 << 30}), null)"
+
 
+def _parsed(t: str) -> str:
+    """The normal form of an absolute URL, null for other texts."""
+    scheme, slashes, path, query, fragment = (f"regexp_extract({t}, {_ABSOLUTE}, {k})" for k in range(1, 6))
+    scheme = _low(scheme)
+    none = f"cast({_named(userinfo="''", host="''", port='0', ipv6='false')} AS {_AUTHORITY})"
+    where = f"if({slashes} = '', {none}, {_authority(f'substring({slashes}, 3, {1 << 30})')})"
 
-def _tail(s: Column, pattern: str, k: int) -> Column:
-    return _after(_group(s, pattern, k))
+    def made(w: str) -> str:
+        url = _url(scheme=scheme, userinfo=f"{w}.userinfo", host=f"{w}.host", port=f"{w}.port", path=path, query=_after(query), fragment=_after(fragment), ipv6=f"{w}.ipv6")
+        return f"if({w} IS NOT NULL AND NOT ({scheme} IN {_HTTP} AND {w}.host = ''), {url}, null)"
+
+    return f"if({t} RLIKE r'{_SCHEME}', {_normal(_let(where, 'w', made))}, null)"
 
 
 def parse(text: Column) -> Column:
-    def of(t: Column) -> Column:
-        slashes = _group(t, _ABSOLUTE, 2)
-        none = F.struct(F.lit("").alias("userinfo"), F.lit("").alias("host"), F.lit(0).alias("port"), F.lit(False).alias("ipv6"))
-        where = F.when(slashes == "", none).otherwise(authority_parts(F.substring(slashes, 3, 1 << 30)))
-        scheme = to_lower(_group(t, _ABSOLUTE, 1))
-        made = let(
-            where,
-            lambda a: F.when(
-                a.isNotNull() & ~(scheme.isin("http", "https") & (a["host"] == "")),
-                _struct(scheme=scheme, userinfo=a["userinfo"], host=a["host"], port=a["port"], path=_group(t, _ABSOLUTE, 3), query=_tail(t, _ABSOLUTE, 4), fragment=_tail(t, _ABSOLUTE, 5), ipv6=a["ipv6"]),
-            ),
-        )
-        return F.when(t.rlike(_SCHEME), normalize(made))
+    return _applied(strip_whitespace(text), _parsed)
 
-    return let(strip_whitespace(text), of)
 
+def parsed(text: str) -> Column:
+    """parse() of a constant, worked out now: a struct of literals, not an expression that each use would copy."""
+    found = SparkSession.active().range(1).select(parse(F.lit(text)).alias("u")).first().u
+    return F.lit(None).cast(_TYPE) if found is None else F.struct(*[F.lit(found[k]).alias(k) for k in _FIELDS]).cast(_TYPE)
 
-def resolve(base: Column, reference: Column) -> Column:
-    """A reference against a parsed base; null where it doesn't resolve."""
 
-    def of(r: Column, b: Column) -> Column:
-        slashes, path, query, fragment = (_group(r, _RELATIVE, k) for k in (1, 2, 3, 4))
-        folder = F.when(F.contains(b["path"], F.lit("/")), F.regexp_replace(b["path"], r"[^/]*$", "")).otherwise(F.lit("/"))
-        own = F.struct(b["userinfo"].alias("userinfo"), b["host"].alias("host"), b["port"].alias("port"), b["ipv6"].alias("ipv6"))
-        where = F.when(slashes == "", own).otherwise(authority_parts(F.substring(slashes, 3, 1 << 30)))
-        merged = (
-            F.when(slashes != "", F.when(path == "", F.lit("/")).otherwise(path))
-            .when(path == "", b["path"])
-            .when(F.startswith(path, F.lit("/")), path)
-            .otherwise(F.concat(folder, path))
-        )
-        keeps = (slashes == "") & (path == "") & (query == "")
-        made = let(
-            where,
-            lambda a: F.when(
-                a.isNotNull() & ~(is_http(b) & (a["host"] == "")),
-                _struct(scheme=b["scheme"], userinfo=a["userinfo"], host=a["host"], port=a["port"], path=merged, query=F.when(keeps, b["query"]).otherwise(_after(query)), fragment=_after(fragment), ipv6=a["ipv6"]),
-            ),
-        )
-        return F.when(r.rlike(_SCHEME), parse(r)).when(b.isNotNull(), normalize(made))
+def _resolved(r: str, b: str) -> str:
+    slashes, path, query, fragment = (f"regexp_extract({r}, {_RELATIVE}, {k})" for k in range(1, 5))
+    own = f"cast({_named(**{k: f'{b}.{k}' for k in ('userinfo', 'host', 'port', 'ipv6')})} AS {_AUTHORITY})"
+    where = f"if({slashes} = '', {own}, {_authority(f'substring({slashes}, 3, {1 << 30})')})"
+    folder = f"if(contains({b}.path, '/'), regexp_replace({b}.path, r'[^/]*$', ''), '/')"
+    merged = f"CASE WHEN {slashes} != '' THEN if({path} = '', '/', {path}) WHEN {path} = '' THEN {b}.path WHEN startswith({path}, '/') THEN {path} ELSE concat({folder}, {path}) END"
+    asked = f"if({slashes} = '' AND {path} = '' AND {query} = '', {b}.query, {_after(query)})"
+
+    def made(w: str) -> str:
+        url = _url(scheme=f"{b}.scheme", userinfo=f"{w}.userinfo", host=f"{w}.host", port=f"{w}.port", path=merged, query=asked, fragment=_after(fragment), ipv6=f"{w}.ipv6")
+        return f"if({w} IS NOT NULL AND NOT ({b}.scheme IN {_HTTP} AND {w}.host = ''), {url}, null)"
+
+    return f"if({r} RLIKE r'{_SCHEME}', {_parsed(r)}, if({b} IS NULL, null, {_normal(_let(where, 'w', made))}))"
 
-    return let(strip_whitespace(reference), lambda r: let(base, lambda b: of(r, b)))
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference against a parsed base; null where it doesn't resolve."""
+    return _applied(F.struct(strip_whitespace(reference).alias("r"), base.alias("b")), lambda v: _resolved(f"{v}.r", f"{v}.b"))
 
 
 def authority(u: Column) -> Column:
@@ -214,7 +238,7 @@ def is_private_host(host: Column) -> Column:
     quad = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
     def four(h: Column) -> Column:
-        a, b, c, d = (F.coalesce(F.nullif(_group(h, quad, k), F.lit("")).cast("int"), F.lit(0)) for k in (1, 2, 3, 4))
+        a, b, c, d = (F.coalesce(F.nullif(F.regexp_extract(h, quad, k), F.lit("")).cast("int"), F.lit(0)) for k in (1, 2, 3, 4))
         private = a.isin(127, 10, 0) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
         return F.when(h.rlike(quad), F.greatest(a, b, c, d) <= 255).otherwise(False) & private
 

@@ -1,58 +1,63 @@
 """The crawl frontier: breadth first over a table of edges, to a fixpoint.
 
-Each round joins the frontier to the edges, keeps the first arrival of each URL and drops those seen before.  Rounds are cut with
-checkpoint(), whose files are shared, so a lost executor costs a read and not the whole history.
+Each round joins the last arrivals to the edges, keeps the first arrival of each URL and drops those seen before.  A round's arrivals
+are cut with checkpoint(), whose files are shared, so a lost executor costs a read and not the whole history; what was seen is
+the union of the rounds, and is never written again but when they have become many.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from linkloom.session import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='linkloom-')}"
-        context.setCheckpointDir(folder)
-    return df.checkpoint(True)
+_MANY = 16
 
 
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_rounds: int = 10_000) -> DataFrame:
-    """url, depth and parent of all that seeds (url) reach over edges (src, dst, role, pos).
+    """url, depth, parent, role, round and reason of all that seeds (url) reach over edges (src, dst, role, pos).
 
-    Navigation adds 1 to the depth and stops beyond max_depth; assets stay at their page's depth, so they are taken to a
+    Navigation adds 1 to the depth; assets stay at their page's depth, so they are taken to a
     fixpoint before the next depth begins.  Of several arrivals in a round the one with the least (depth, parent, pos) counts.
+    Edges may have reason, why their target is refused, and if_role, the role that their source must have been reached in.
+    What is refused, or beyond max_depth (reason "beyond --max-depth"), arrives but leads no further.
     """
-    links = edges.select("src", "dst", "role", "pos")
-    seen = _cut(seeds.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["url"]))
-    pages = seen
-    for _ in range(max_rounds):
-        # The closure over assets at this depth.
-        fresh = pages
-        while not fresh.isEmpty():
-            fresh = _new(fresh, links.where("role != 'navigation'"), 0, seen)
-            seen = _cut(seen.unionByName(fresh))
-            pages = _cut(pages.unionByName(fresh))
-        pages = _new(pages, links.where("role = 'navigation'"), 1, seen).where(F.col("depth") <= max_depth)
-        pages = _cut(pages)
-        if pages.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(pages))
+    given = {c: F.col(c) if c in edges.columns else F.lit(None).cast("string") for c in ("reason", "if_role")}
+    links = edges.select("src", "dst", "role", "pos", *[c.alias(k) for k, c in given.items()])
+    assets, pages = links.where("role != 'navigation'"), links.where("role = 'navigation'")
+    none = F.lit(None).cast("string")
+    start = seeds.select("url", F.lit(0).alias("depth"), none.alias("parent"), F.lit("navigation").alias("role"), F.lit(0).alias("round"), none.alias("reason"))
+    rounds = [cut(start.dropDuplicates(["url"]))]
+    fresh, here = rounds[0], [rounds[0]]
+    for k in range(1, max_rounds):
+        if fresh is not None:  # the closure over assets at this depth
+            arrived = _arrivals(fresh, assets, 0, rounds, k, max_depth)
+            fresh = None if arrived.isEmpty() else arrived
+            here.append(arrived)
+        else:
+            arrived = _arrivals(_union(here), pages, 1, rounds, k, max_depth)
+            if arrived.isEmpty():
+                return _union(rounds)
+            fresh, here = arrived, [arrived]
+        rounds.append(arrived)
+        if len(rounds) > _MANY:
+            rounds = [cut(_union(rounds))]
     raise RuntimeError("the frontier did not end")
 
 
-def _new(frontier: DataFrame, links: DataFrame, step: int, seen: DataFrame) -> DataFrame:
-    reached = frontier.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url"), (F.col("depth") + step).alias("depth"), F.col("src").alias("parent"), "pos")
-    # min() sums up before the shuffle, so a page that all others link to is no hot key.
-    first = reached.groupBy("url").agg(F.min(F.struct("depth", "parent", "pos")).alias("f")).select("url", "f.depth", "f.parent")
-    return _cut(first.join(seen.select("url"), "url", "left_anti"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def first_arrivals(queue: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each URL in a queue."""
-    w = Window.partitionBy("url").orderBy(*order)
-    return queue.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def _arrivals(frontier: DataFrame, links: DataFrame, step: int, rounds: list[DataFrame], k: int, max_depth: int) -> DataFrame:
+    open_rows = frontier.where("reason is null").select("url", "depth", F.col("role").alias("_role"))
+    on = (F.col("url") == F.col("src")) & (F.col("if_role").isNull() | (F.col("if_role") == F.col("_role")))
+    reached = open_rows.join(links, on).select(F.col("dst").alias("url"), (F.col("depth") + step).alias("depth"), F.col("src").alias("parent"), "pos", "role", "reason")
+    # min() sums up before the shuffle, so a page that all others link to is no hot key.
+    first = reached.groupBy("url").agg(F.min(F.struct("depth", "parent", "pos", "role", "reason")).alias("f")).select("url", "f.depth", "f.parent", "f.role", "f.reason")
+    beyond = F.when((F.col("role") == "navigation") & (F.col("depth") > max_depth), "beyond --max-depth")
+    new = first.join(_union(rounds).select("url"), "url", "left_anti").withColumns({"round": F.lit(k), "reason": F.coalesce("reason", beyond)})
+    return cut(new.select("url", "depth", "parent", "role", "round", "reason"))

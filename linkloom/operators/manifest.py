@@ -140,7 +140,18 @@ def failures(manifest: DataFrame) -> DataFrame:
 
 
 def top_failures(manifest: DataFrame, n: int = 15) -> DataFrame:
-    return failures(manifest).orderBy("url").limit(n)
+    """The first n failures by URL, and more, how many there are besides."""
+    every = failures(manifest)
+    total = every.agg(F.count(F.lit(1)).alias("_total"))
+    return every.orderBy("url").limit(n).crossJoin(F.broadcast(total)).select("url", "status", "note", F.greatest(F.col("_total") - n, F.lit(0)).alias("more"))  # one row
+
+
+def top_problems(checked: DataFrame, n: int = 20) -> DataFrame:
+    """The first n missing and the first n corrupted files of check() by path, and more, how many there are besides."""
+    bad = checked.where("verdict in ('missing', 'corrupted')")
+    totals = bad.groupBy("verdict").agg(F.count(F.lit(1)).alias("_total"))
+    first = [bad.where(F.col("verdict") == v).orderBy("path", "url").limit(n) for v in ("missing", "corrupted")]
+    return first[0].unionByName(first[1]).join(F.broadcast(totals), "verdict").select("url", "path", "verdict", F.greatest(F.col("_total") - n, F.lit(0)).alias("more"))  # two rows
 
 
 def count_states(manifest: DataFrame) -> DataFrame:

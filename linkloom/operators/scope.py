@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import url as U
-from linkloom.functions.text import computed, let
+from linkloom.functions.text import computed, human_size, let
 from linkloom.functions.patterns import glob_match, needs_python, robots_matches, robots_specificity
+from linkloom.session import cut
+
+_SHARES = 16
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched:
     matched: whether patterns match, for those with a single star after a doubled one; with_scope() finds them.
     """
     matched = matched or {}
-    home = U.parse(F.lit(s.primary))
+    home = U.parsed(s.primary)
 
     def of(t: Column) -> Column:
         return let(F.struct(U.url_key(t).alias("text"), F.coalesce(U.same_origin(t, home), F.lit(False)).alias("at_home")), lambda x: reason(t, x["text"], x["at_home"]))
@@ -79,24 +83,75 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched:
     return let(target, of)
 
 
-def robots_allowed(rows: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path", out: str = "allowed") -> DataFrame:
+def robots_allowed(rows: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path", out: str = "allowed", broadcast_rules: int = 100_000) -> DataFrame:
     """rows with whether robots rules (origin, pattern, allow) let their path (with its query) be fetched.
 
-    The longest matching pattern decides, allow before disallow; without one all is allowed.  The rules are collected by
-    origin and joined to rows, so a row meets its own origin's rules only and is never repeated.
+    The longest matching pattern decides, allow before disallow; without one all is allowed.  The rules of an origin are one array, as
+    long as its robots.txt at most, so a row meets its own origin's rules only and is never repeated.  Counted to be few the rules are
+    broadcast; beyond that an origin with a third of all rows is dealt over shares.
     """
     by_origin = rules.groupBy(F.col("origin").alias("_o")).agg(F.collect_list(F.struct("pattern", "allow")).alias("_rules"))
     p = F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path))
     hit = F.filter("_rules", lambda r: robots_matches(r["pattern"], p))
     best = F.array_max(F.transform(hit, lambda r: F.struct(robots_specificity(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
-    return rows.join(by_origin, F.col(origin) == F.col("_o"), "left").withColumn(out, F.coalesce(best["allow"], F.lit(True))).drop("_o", "_rules")
+    on = F.col(origin) == F.col("_o")
+    if rules.count() <= broadcast_rules:
+        joined = rows.join(F.broadcast(by_origin), on, "left")
+    else:
+        shares = by_origin.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+        joined = rows.withColumn("_own", F.pmod(F.xxhash64(path), F.lit(_SHARES)).cast("int")).join(shares, on & (F.col("_own") == F.col("_share")), "left").drop("_own", "_share")
+    return joined.withColumn(out, F.coalesce(best["allow"], F.lit(True))).drop("_o", "_rules")
 
 
-def within_budget(rows: DataFrame, size: str, order: list[str], s: Scope, partition: str | None = None) -> DataFrame:
+def within_budget(rows: DataFrame, size: str, order: list[str], s: Scope, partition: str | None = None, counts: Column | None = None) -> DataFrame:
     """rows with stop: null, or the budget that earlier rows have used up.  As if one worker took them in order.
 
-    partition: the run that a row is of; without one all rows are one run.
+    partition: the run that a row is of; without one all rows are one run, which is sorted over all tasks: each range adds the sums of
+    those before it.  counts: whether a row counts as a file; sizes of others don't count either.
     """
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    files, size_so_far = F.count(F.lit(1)).over(w), F.coalesce(F.sum(size).over(w), F.lit(0))
-    return rows.withColumn("stop", F.when(files >= s.max_files, "max_files").when(size_so_far >= s.max_total_size, "max_total_size"))
+    counts = F.lit(True) if counts is None else counts
+    rows = rows.withColumns({"_file": counts.cast("long"), "_size": F.when(counts, F.col(size)).otherwise(0)})
+    if partition:
+        w, offset, offset_size = Window.partitionBy(partition), F.lit(0), F.lit(0)
+    else:
+        rows = cut(rows.orderBy(*order)).withColumn("_part", F.spark_partition_id())
+        sums, files, total = [], 0, 0
+        for r in sorted(rows.groupBy("_part").agg(F.sum("_file"), F.sum("_size")).collect()):  # a row for each range
+            sums.append((r[0], files, total))
+            files, total = files + r[1], total + r[2]
+        starts = rows.sparkSession.createDataFrame(sums, "_of int, _files long, _total long")
+        rows = rows.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+        w, offset, offset_size = Window.partitionBy("_part"), F.col("_files"), F.col("_total")
+    w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = offset + F.coalesce(F.sum("_file").over(w), F.lit(0))
+    size_before = offset_size + F.coalesce(F.sum("_size").over(w), F.lit(0))
+    stop = F.when(before >= s.max_files, "max_files").when(size_before >= s.max_total_size, "max_total_size")
+    return rows.withColumn("stop", stop).drop("_file", "_size", "_part", "_of", "_files", "_total")
+
+
+def stop_message(stop: Column, s: Scope) -> Column:
+    """What a run that stopped early says of it."""
+    return F.when(stop == "max_files", f"reached --max-files ({s.max_files})").when(stop == "max_total_size", F.concat(F.lit("reached --max-total-size ("), human_size(F.lit(s.max_total_size)), F.lit(")")))
+
+
+def from_config(text: str, s: Scope | None = None) -> Scope:
+    """s, or the defaults, with the settings of a JSON object; unknown keys and values of another type are passed over."""
+    try:
+        found = json.loads(text.removeprefix("\ufeff"))
+    except ValueError as e:
+        raise ValueError("the configuration is not valid JSON") from e
+    if not isinstance(found, dict):
+        raise ValueError("the configuration must be a JSON object")
+    s = s or Scope()
+    taken = {}
+    for key, value in found.items():
+        now = getattr(s, key, None)
+        if isinstance(now, bool) and isinstance(value, bool):
+            taken[key] = value
+        elif isinstance(now, int) and not isinstance(now, bool) and isinstance(value, (int, float)) and not isinstance(value, bool) and value >= 0:
+            taken[key] = int(value)
+        elif isinstance(now, str) and isinstance(value, str):
+            taken[key] = value
+        elif isinstance(now, tuple) and isinstance(value, list) and all(isinstance(v, str) for v in value):
+            taken[key] = tuple(value)
+    return replace(s, **taken)

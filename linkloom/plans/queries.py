@@ -21,6 +21,7 @@ from linkloom.operators import manifest as M
 from linkloom.operators import rewrite as R
 from linkloom.operators import scan as S
 from linkloom.operators import scope as C
+from linkloom.plans import mirror as W
 from linkloom.sources import responses as H
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,7 +247,7 @@ def inspect_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.failures(derived(spark, sf_dir))
 
 
-@query(f"WITH {_MANIFEST} SELECT url, status, note FROM m WHERE state = 'failed' ORDER BY url LIMIT 15")
+@query(f"WITH {_MANIFEST} SELECT url, status, note, greatest(count(*) OVER () - 15, 0) AS more FROM m WHERE state = 'failed' ORDER BY url LIMIT 15")
 def failures_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_failures(derived(spark, sf_dir))
 
@@ -293,20 +294,24 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.run_summary(_events(spark, sf_dir))
 
 
-@query(f"WITH {_MANIFEST} SELECT url, CASE WHEN state = 'done' THEN nullif(etag, '') END AS if_none_match FROM m")
+@query(f"WITH {_MANIFEST} SELECT url, CASE WHEN state = 'done' THEN nullif(etag, '') END AS if_none_match, CASE WHEN state = 'done' AND page_id % 2 = 0 THEN 'day ' || page_id END AS if_modified_since FROM m")
 def conditional_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = derived(spark, sf_dir)
-    return M.conditional_headers(m.select("url"), m).select("url", "if_none_match")
+    m = m.withColumn("last_modified", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("day "), F.col("page_id").cast("string"))).otherwise(""))
+    return M.conditional_headers(m.select("url"), m).select("url", "if_none_match", "if_modified_since")
 
 
-_FILES = "f AS (SELECT 'p/' || page_id || '.html' AS path, sha256(CASE WHEN page_id % 4 = 0 THEN html || 'x' ELSE html END) AS found FROM pages WHERE page_id < 200 AND page_id % 6 != 0)"
+# A file for each path of the manifest, from the first page of the path; each sixth lies elsewhere, so it is missing.
+_FILES = """f AS (SELECT CASE WHEN n % 6 = 0 THEN 'moved/' ELSE 'p/' END || n || '.html' AS path, found FROM (SELECT page_id % 200 AS n, arg_min(sha256(CASE WHEN page_id % 4 = 0 THEN html || 'x' ELSE html END), page_id) AS found FROM pages GROUP BY 1))"""
 _CHECKED = "c AS (SELECT url, m.path, CASE WHEN found IS NULL THEN 'missing' WHEN sha256 = '' THEN 'unverifiable' WHEN sha256 != found THEN 'corrupted' ELSE 'verified' END AS verdict FROM m LEFT JOIN f ON m.path = f.path WHERE state = 'done' AND m.path != '')"
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     body = F.when(i % 4 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
-    return pages(spark, sf_dir).where((i < 200) & (i % 6 != 0)).select(F.concat(F.lit("p/"), i.cast("string"), F.lit(".html")).alias("path"), F.sha2(F.encode(body, "UTF-8"), 256).alias("sha256"))
+    stored = pages(spark, sf_dir).select((i % 200).alias("n"), "page_id", F.sha2(F.encode(body, "UTF-8"), 256).alias("sha256"))
+    folder = F.when(F.col("n") % 6 == 0, "moved/").otherwise("p/")
+    return stored.groupBy("n").agg(F.min_by("sha256", "page_id").alias("sha256")).select(F.concat(folder, F.col("n").cast("string"), F.lit(".html")).alias("path"), "sha256")
 
 
 @query(f"WITH {_MANIFEST}, {_FILES}, {_CHECKED} SELECT url, path, verdict FROM c")
@@ -357,7 +362,7 @@ def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'failed' WHEN 3 THEN 'skipped' ELSE 'failed' END AS state,
-    CASE page_id % 5 WHEN 2 THEN 'not found' WHEN 3 THEN 'larger than the file limit' WHEN 4 THEN 'timeout' ELSE '' END AS note FROM pages"""
+    CASE page_id % 5 WHEN 2 THEN 'not found' WHEN 3 THEN 'exceeds --max-file-size' WHEN 4 THEN 'timeout' ELSE '' END AS note FROM pages"""
 )
 def response_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id") % 5
@@ -409,7 +414,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = pages(spark, sf_dir).select("page_id")
     child = n.select("page_id", F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2, F.floor(F.col("page_id") / 2))).alias("to"))
     edges = child.join(n.select(F.col("page_id").alias("to")), "to").select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), F.lit("navigation").alias("role"), F.lit(0).alias("pos"))
-    return frontier_ops.expand(spark.createDataFrame([("0",)], "url string"), edges, max_depth=5).select("url", "depth")
+    return frontier_ops.expand(spark.createDataFrame([("0",)], "url string"), edges, max_depth=5).where("reason is null").select("url", "depth")
 
 
 @query("SELECT page_id::VARCHAR AS url, (page_id // 10)::INT AS depth FROM pages WHERE page_id < 30")
@@ -417,12 +422,148 @@ def asset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     role = F.when((i + 1) % 10 == 0, "navigation").otherwise("asset")
     edges = pages(spark, sf_dir).select(i.cast("string").alias("src"), (i + 1).cast("string").alias("dst"), role.alias("role"), F.lit(0).alias("pos"))
-    return frontier_ops.expand(spark.createDataFrame([("0",)], "url string"), edges, max_depth=2).select("url", "depth")
+    return frontier_ops.expand(spark.createDataFrame([("0",)], "url string"), edges, max_depth=2).where("reason is null").select("url", "depth")
 
 
-@query()
+@query("SELECT (page_id % 7)::INT AS files, (page_id % 7) * (page_id % 11)::BIGINT AS bytes, page_id FROM pages")
 def dir_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.folder_stats(H.files_in(spark, f"{sf_dir}/pages.parquet"))
+    """A folder of files for each page, each page_id % 11 bytes long."""
+    i = F.col("page_id")
+    files = pages(spark, sf_dir).select("page_id", F.explode_outer(F.when(i % 7 > 0, F.sequence(F.lit(1), i % 7))).alias("file"), (i % 11).alias("size"))
+    stats = H.folder_stats(files.where("file is not null"), "page_id")
+    return pages(spark, sf_dir).select("page_id").join(stats, "page_id", "left").select("page_id", F.coalesce("files", F.lit(0)).cast("int").alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+# Bodies and texts built from every page, for what the pages' own markup lacks.
+_I = "page_id::VARCHAR"
+
+
+def _built(spark: SparkSession, sf_dir: str, *parts: str | Column) -> Column:
+    return F.concat(*[x if isinstance(x, Column) else F.col("page_id").cast("string") if x == "#" else F.lit(x) for x in parts])
+
+
+@query(f"""SELECT page_id, 'https' AS scheme, 'us' || {_I} || ':pw' AS userinfo, '2001:db8::' || {_I} AS host, (8000 + page_id % 1000)::INT AS port, '/a/' || {_I} AS path, 'q=' || {_I} AS query, 'f' AS fragment, TRUE AS ipv6,
+    'https://[2001:db8::' || {_I} || ']:' || (8000 + page_id % 1000) AS origin, FALSE AS private FROM pages""")
+def url_parse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _built(spark, sf_dir, " HTTPS://us", "#", ":pw@[2001:DB8::", "#", "]:0", (8000 + F.col("page_id") % 1000).cast("string"), "/x/../a/./", "#", "?q=", "#", "#f")
+    rows = pages(spark, sf_dir).select("page_id", U.parse(text).alias("u"))
+    return rows.select("page_id", "u.*", U.origin(F.col("u")).alias("origin"), U.is_private_host(F.col("u.host")).alias("private"))
+
+
+@query(f"""SELECT page_id, kind, host, private FROM (SELECT page_id, unnest([
+    {{'kind': 'loopback', 'host': '127.0.' || page_id % 256 || '.1', 'private': TRUE}}, {{'kind': 'class b', 'host': '172.' || page_id % 64 || '.0.1', 'private': page_id % 64 BETWEEN 16 AND 31 OR page_id % 64 = 0 AND FALSE}},
+    {{'kind': 'shared', 'host': '100.' || (64 + page_id % 128) || '.0.1', 'private': page_id % 128 < 64}}, {{'kind': 'name', 'host': 'h' || {_I} || '.org', 'private': FALSE}}, {{'kind': 'bare', 'host': 'h' || {_I}, 'private': TRUE}}], recursive := TRUE) FROM pages)""")
+def host_private_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    made = {
+        "loopback": _built(spark, sf_dir, "127.0.", (i % 256).cast("string"), ".1"), "class b": _built(spark, sf_dir, "172.", (i % 64).cast("string"), ".0.1"),
+        "shared": _built(spark, sf_dir, "100.", (64 + i % 128).cast("string"), ".0.1"), "name": _built(spark, sf_dir, "h", "#", ".org"), "bare": _built(spark, sf_dir, "h", "#"),
+    }
+    rows = pages(spark, sf_dir).select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("host")) for k, v in made.items()])).alias("h")).select("page_id", "h.*")
+    return rows.select("page_id", "kind", "host", U.is_private_host(F.col("host")).alias("private"))
+
+
+@query(f"""SELECT page_id, unnest([
+    {{'role': 'navigation', 'hint': 'html', 'target': '/b/' || {_I} || '/r.html'}}, {{'role': 'asset', 'hint': 'image', 'target': '/b/' || {_I} || '/o.png'}}, {{'role': 'asset', 'hint': 'other', 'target': '/b/' || {_I} || '/s.png'}},
+    {{'role': 'asset', 'hint': 'image', 'target': '/b/' || {_I} || '/x.png'}}, {{'role': 'asset', 'hint': 'image', 'target': '/y' || {_I} || '.png'}}, {{'role': 'asset', 'hint': 'css', 'target': '/b/' || {_I} || '/i.css'}}, {{'role': 'asset', 'hint': 'css', 'target': '/c' || {_I} || '.css'}}], recursive := TRUE)
+    FROM pages""")
+def discover_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = _built(
+        spark, sf_dir, '<base href="/b/', "#", '/"><meta http-equiv="refresh" content="5; url=r.html"><meta property="og:image" content="o.png"><p style="background:url(s.png)">t</p>',
+        '<img srcset="x.png 1x, /y', "#", '.png 2x"><style>@import "i.css";</style><link rel="stylesheet" href="/c', "#", '.css"><a href="mailto:a@b">m</a><a href="#top">t</a>',
+    )
+    edges = L.discover_html(pages(spark, sf_dir).select("page_id", _built(spark, sf_dir, "http://site.test/p/", "#").alias("url"), body.alias("html")))
+    return edges.select("page_id", "role", "hint", F.col("target.path").alias("target"))
+
+
+@query(f"""SELECT page_id, 'css' AS hint, 'http://site.test/c/a' || {_I} || '.css' AS target FROM pages UNION ALL SELECT page_id, 'other', 'http://site.test/i' || {_I} || '.png' FROM pages""")
+def discover_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.discover_css(_sheets(spark, sf_dir).drop("document_path")).select("page_id", "hint", U.url_key(F.col("target")).alias("target"))
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    css = _built(spark, sf_dir, '@import "a', "#", '.css"; b{c:url(/i', "#", ".png)} /* url(no.png) */ d{e:url(data:,x)}")
+    return pages(spark, sf_dir).select("page_id", F.lit("http://site.test/c/s.css").alias("url"), F.lit("c/s.css").alias("document_path"), css.alias("css"))
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '@import "http://site.test/c/a' || {_I} || '.css"; b{{c:url(../i/' || {_I} || '.png)}} /* url(no.png) */ d{{e:url(data:,x)}}'
+    ELSE '@import "http://site.test/c/a' || {_I} || '.css"; b{{c:url(http://site.test/i' || {_I} || '.png)}} /* url(no.png) */ d{{e:url(data:,x)}}' END AS content, (page_id % 2 = 0)::INT::BIGINT AS localised, (1 + page_id % 2)::BIGINT AS absolutised, 1::BIGINT AS untouched FROM pages""")
+def rewrite_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = pages(spark, sf_dir).where("page_id % 2 = 0").select(_built(spark, sf_dir, "http://site.test/i", "#", ".png").alias("url"), _built(spark, sf_dir, "i/", "#", ".png").alias("path"), F.lit("done").alias("state"))
+    return R.rewrite_css(_sheets(spark, sf_dir), M.lenient(known), "page_id").select("page_id", "content", "localised", "absolutised", "untouched")
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS rules, CASE WHEN page_id % 3 = 0 THEN '/ok' || {_I} ELSE '/p' || {_I} || '/' END AS first, CASE WHEN page_id % 3 = 0 THEN page_id % 5 * 1000 ELSE 0 END AS delay FROM pages")
+def robots_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("page_id") % 3 == 0, "Loom").otherwise("Other")
+    text = F.concat(_built(spark, sf_dir, "# robots\nUser-agent: *\nDisallow: /p", "#", "/\n\nUser-agent: "), own, _built(spark, sf_dir, "\nAllow: /ok", "#", "\nDisallow: /x\nCrawl-delay: ", (F.col("page_id") % 5).cast("string"), "\n"))
+    rows = pages(spark, sf_dir).select("page_id", S.parse_robots("loombot")(text).alias("r"))
+    return rows.select("page_id", F.size("r.rules").alias("rules"), F.get("r.rules", F.lit(0))["pattern"].alias("first"), F.col("r.crawl_delay_ms").cast("int").alias("delay"))
+
+
+@query(f"SELECT page_id, 'text/html; n=' || {_I} AS content_type, '' AS missing, 3 AS headers FROM pages")
+def header_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = H.parse_headers(_built(spark, sf_dir, "HTTP/1.1 200 OK\r\nServer: a:b\r\ncontent-TYPE:  text/html; n=", "#", " \r\nContent-Type: later\r\n\r\n"))
+    return pages(spark, sf_dir).select("page_id", parsed.alias("h")).select("page_id", H.find_header(F.col("h"), "Content-Type").alias("content_type"), H.find_header(F.col("h"), "ETag").alias("missing"), F.size("h").alias("headers"))
+
+
+@query("SELECT page_id, page_id * 1024 AS kib, page_id * 1000 AS s, page_id * 60000 AS m, NULL::BIGINT AS wrong FROM pages")
+def sizes_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    return pages(spark, sf_dir).select("page_id", X.parse_size(F.concat(n, F.lit(" KiB"))).alias("kib"), X.parse_duration_ms(n).alias("s"), X.parse_duration_ms(F.concat(n, F.lit("m"))).alias("m"), X.parse_size(F.concat(n, F.lit("q"))).alias("wrong"))
+
+
+@query(f"""SELECT page_id, 'x' || {_I} || '/y_' || page_id % 5 || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.css' ELSE '.js' END AS path, CASE WHEN page_id % 4 = 0 THEN 'z.html' ELSE '../../d' || page_id % 4 || '/z.html' END AS link FROM pages""")
+def local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    kind = F.when(i % 3 == 0, "html").when(i % 3 == 1, "css").otherwise("js")
+    url = U.parse(_built(spark, sf_dir, "http://site.test/x", "#", "/y%3A", (i % 5).cast("string")))
+    link = P.relative_link(F.concat(F.lit("a/d0/"), F.lit("i.html")), F.concat(F.when(i % 4 == 0, "a/d0").otherwise(F.concat(F.lit("d"), (i % 4).cast("string"))), F.lit("/z.html")))
+    return pages(spark, sf_dir).select("page_id", P.relative_path(url, kind, U.parsed("http://site.test/")).alias("path"), link.alias("link"))
+
+
+# A site of all pages: page n links to the sixteen after 16 n, to pictures and a sheet; the pages' own links lead nowhere.
+_SITE = "http://site.test"
+_FAN = 16
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of the site: each page's html behind links to other pages and to assets."""
+    given = pages(spark, sf_dir).select("page_id", "html")
+    last = given.agg(F.max("page_id").alias("last"))
+    child = F.expr(f"filter(sequence({_FAN} * page_id + 1, {_FAN} * page_id + {_FAN}), n -> n <= last)")
+    anchors = F.array_join(F.transform(child, lambda n: F.concat(F.lit('<a href="/p/'), n.cast("string"), F.lit('">c</a>'))), "")
+    head = _built(spark, sf_dir, '<img src="/i/', (F.col("page_id") % 7).cast("string"), '.png" srcset="/i/a.png 1x, /i/b.png 2x"><link rel="stylesheet" href="/s.css">')
+    made = given.crossJoin(F.broadcast(last)).select(_built(spark, sf_dir, f"{_SITE}/p/", "#").alias("url"), F.lit("text/html").alias("kind"), F.concat(head, anchors, "html").alias("text"))  # one row
+    rest = [(f"{_SITE}/i/{k}.png", "image/png", f"png{k}") for k in range(7)] + [(f"{_SITE}/s.css", "text/css", '@import "t.css"; b{c:url(/i/0.png)}'), (f"{_SITE}/t.css", "text/css", "d{}"), (f"{_SITE}/robots.txt", "text/plain", "User-agent: *\nDisallow: /the\n")]
+    rows = made.unionByName(spark.createDataFrame(rest, "url string, kind string, text string"))
+    header = F.array(F.struct(F.lit("Content-Type").alias("name"), F.col("kind").alias("value")))
+    return rows.select("url", F.lit("").alias("final_url"), F.lit(200).alias("status"), header.alias("headers"), F.encode("text", "UTF-8").alias("body"), F.lit(False).alias("truncated"), F.lit("").alias("error"))
+
+
+def _mirrored(spark: SparkSession, sf_dir: str) -> W.Mirror:
+    return W.mirror(site(spark, sf_dir), f"{_SITE}/p/0", C.Scope(max_depth=40, max_files=1 << 40, max_total_size=1 << 60))
+
+
+_DEPTHS = f"""RECURSIVE d(page_id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION ALL SELECT p.page_id, depth + 1 FROM d JOIN pages AS p ON (p.page_id - 1) // {_FAN} = d.page_id AND p.page_id > 0),
+    a AS (SELECT '{_SITE}' || regexp_replace(href, '#.*$', '') AS url, min(depth) + 1 AS depth FROM (SELECT page_id, {_HREFS} AS href FROM pages) JOIN d USING (page_id) GROUP BY 1)"""
+
+
+@query(f"""WITH {_DEPTHS} SELECT '{_SITE}/p/' || page_id AS url, depth, 'html' AS kind, 'done' AS state, '' AS note, 'p/' || page_id || '.html' AS path, 200 AS status FROM d
+    UNION ALL SELECT '{_SITE}/i/' || page_id % 7 || '.png', CASE WHEN page_id % 7 = 0 THEN 0 ELSE min(depth) END, 'image', 'done', '', 'i/' || page_id % 7 || '.png', 200 FROM d GROUP BY page_id % 7
+    UNION ALL SELECT '{_SITE}/' || x, 0, 'css', 'done', '', x, 200 FROM (VALUES ('s.css'), ('t.css')) AS v(x) UNION ALL SELECT '{_SITE}/i/' || x || '.png', 0, 'other', 'failed', 'not stored', '', 0 FROM (VALUES ('a'), ('b')) AS v(x)
+    UNION ALL SELECT url, depth, 'other', CASE WHEN starts_with(url, '{_SITE}/the') THEN 'skipped' ELSE 'failed' END, CASE WHEN starts_with(url, '{_SITE}/the') THEN 'disallowed by robots.txt' ELSE 'not stored' END, '', 0 FROM a""")
+def mirror_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mirrored(spark, sf_dir).manifest.select("url", "depth", "kind", "state", "note", "path", "status")
+
+
+@query(f"""WITH n AS (SELECT max(page_id) AS last FROM pages), w AS (SELECT page_id, '<img src="../i/' || page_id % 7 || '.png" srcset="{_SITE}/i/a.png 1x, {_SITE}/i/b.png 2x"><link rel="stylesheet" href="../s.css">'
+    || coalesce(array_to_string([CASE WHEN x <= last THEN '<a href="' || x || '.html">c</a>' END for x in generate_series({_FAN} * page_id + 1, {_FAN} * page_id + {_FAN})], ''), '')
+    || regexp_replace(html, '<a href="(/[^"]*)"', '<a href="{_SITE}\\1"', 'g') AS content, 2 + greatest(0, least({_FAN}, last - {_FAN} * page_id)) AS localised FROM pages, n)
+    SELECT 'p/' || page_id || '.html' AS path, sha256(content) AS sha256, strlen(content)::BIGINT AS size, localised::BIGINT AS localised FROM w""")
+def mirror_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mirrored(spark, sf_dir)
+    return m.pages.select("path", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"), "localised")
 
 
 A = lambda: F.col("a")
@@ -433,26 +574,26 @@ golden("host_private", "a string", "private", [("localhost", True), ("10.0.0.1",
 golden("parse_size", "a string", "bytes", [("1.5k", 1536), ("10", 10), ("2 MiB", 2097152), ("1gb", 1073741824), ("x", None), ("5q", None)], lambda: [X.parse_size(A())])
 golden("parse_duration", "a string", "ms", [("30", 30000), ("1.5s", 1500), ("2m", 120000), ("1h", 3600000), ("250ms", 250), ("x", None)], lambda: [X.parse_duration_ms(A())])
 golden("human_duration", "a bigint", "text", [(999, "999ms"), (1150, "1.1s"), (61000, "1m 1s"), (59999, "60.0s")], lambda: [X.human_duration_ms(A())])
-golden("short_hash", "a string", "hash", [("q=cats", "6704cdc0"), ("q=dogs", "e39f6c02"), ("page=2&ref=x", "fc81f151")], lambda: [X.short_hash(A())])
+golden("short_hash", "a string", "hash", [("colour=teal", "3b409bc8"), ("colour=plum", "56407b3c"), ("n=3&sort=up", "8afb9c8f")], lambda: [X.short_hash(A())])
 golden("semver_compare", "a string, b string", "newer", [("v1.2.3", "1.2.4", True), ("1.10", "1.9.9", False), ("2.0.0-rc1", "2.0.0", False)], lambda: [X.semver(B()) > X.semver(A())])
 golden("entity_decode", "a string", "text", [("a&amp;b", "a&b"), ("&LT;&#65;&#x42;", "<AB"), ("&nope; &amp &;", "&nope; &amp &;"), ("&#0;", "&#0;")], lambda: [codec.decode_entities(A())])
 golden("css_escape", "a string", "escaped unescaped", [('a"b', 'a\\"b', 'a"b'), ("a\\b", "a\\\\b", "ab")], lambda: [codec.escape_css(A()), codec.unescape_css(A())])
 golden("srcset_candidates", "a string", "built n", [("a.png 1x, b.png 2x,,c.png", "a.png 1x, b.png 2x, c.png", 3), (" , ", "", 0)], lambda: [codec.build_srcset(codec.parse_srcset(A())), F.size(codec.parse_srcset(A()))])
-golden("meta_refresh", "a string", "target", [("5; url=/next", "/next"), ("0;URL='a b'", "a b"), ("5", None), ("1;foo=x", None)], lambda: [codec.meta_refresh(A())])
+golden("meta_refresh", "a string", "target", [("9; url=/later", "/later"), ("3;URL='c d'", "c d"), ("5", None), ("1;foo=x", None)], lambda: [codec.meta_refresh(A())])
 golden("link_rel_kind", "a string", "kind fetched", [("alternate stylesheet", "html", False), ("shortcut icon", "image", True), ("nofollow", "other", False), ("preload", "other", True)], lambda: [codec.link_rel(A())["kind"], codec.link_rel(A())["fetch"]])
 golden("kind_content_type", "a string", "kind", [("text/HTML; charset=x", "html"), ("application/x-javascript", "js"), ("image/webp", "image"), ("audio/ogg", "media"), ("x/y", "other")], lambda: [K.kind_from_content_type(A())])
 golden("kind_extension", "a string", "kind type", [("PNG", "image", "image/png"), (".mjs", "js", "text/javascript; charset=utf-8"), ("x", "other", "application/octet-stream")], lambda: [K.kind_from_extension(A()), K.content_type_for_extension(A())])
 golden("classify_resource", "a string, b string, c string", "kind", [("", "/a.css", "asset", "css"), ("", "/a", "navigation", "html"), ("text/css", "/a.png", "asset", "css"), ("", "/a.b/c", "asset", "other")], lambda: [K.classify(A(), B(), F.col("c"))])
 golden("status_phrase", "a int", "phrase retryable", [(404, "not found", False), (429, "rate limited", True), (418, "http 418", False)], lambda: [K.status_phrase(A()), K.is_retryable(A())])
 golden("retry_backoff", "a int", "ms", [(1, 250), (2, 500), (6, 8000)], lambda: [K.backoff_ms(A())])
-golden("sanitize_component", "a string", "safe", [("a:b?c", "a_b_c"), (".", "_dot"), ("..", "_dotdot"), ("x. .", "x_"), ("CON.txt", "_CON.txt")], lambda: [P.sanitize_component(A())])
+golden("sanitize_component", "a string", "safe", [("u<v|w", "u_v_w"), (".", "_dot"), ("..", "_dotdot"), ("end. .", "end_"), ("LPT3.log", "_LPT3.log")], lambda: [P.sanitize_component(A())])
 golden(
     "path_map", "a string, b string", "path",
-    [("https://example.com/", "html", "index.html"), ("https://example.com/about", "html", "about.html"), ("https://example.com/s?q=cats", "html", "s@6704cdc0.html"), ("https://cdn.net/x/y.png", "image", "_external/cdn.net/x/y.png"), ("http://cdn.net:81/lib", "js", "_external/http_cdn.net_81/lib.js")],
-    lambda: [P.relative_path(U.parse(A()), B(), U.parse(F.lit("https://example.com/")))],
+    [("https://orchard.test/", "html", "index.html"), ("https://orchard.test/pears", "html", "pears.html"), ("https://orchard.test/find?colour=teal", "html", "find@3b409bc8.html"), ("https://img.depot.test/u/v.gif", "image", "_external/img.depot.test/u/v.gif"), ("http://img.depot.test:81/code", "js", "_external/http_img.depot.test_81/code.js")],
+    lambda: [P.relative_path(U.parse(A()), B(), U.parsed("https://orchard.test/"))],
 )
-golden("relative_link", "a string, b string", "link", [("index.html", "about.html", "about.html"), ("docs/a/x.html", "docs/b/y.html", "../b/y.html"), ("x.html", "a b/c.css", "a%20b/c.css")], lambda: [P.relative_link(A(), B())])
-golden("robots_pattern", "a string, b string", "matches", [("/private/", "/private/x", True), ("/tmp/*/cache", "/tmp/a/cache/x", False), ("/*.gif$", "/a/b.gif", True), ("/a.b", "/axb", False)], lambda: [patterns.robots_matches(A(), B())])
+golden("relative_link", "a string, b string", "link", [("index.html", "pears.html", "pears.html"), ("shed/l/x.html", "shed/r/y.html", "../r/y.html"), ("x.html", "a b/c.css", "a%20b/c.css")], lambda: [P.relative_link(A(), B())])
+golden("robots_pattern", "a string, b string", "matches", [("/attic/", "/attic/box", True), ("/v*/old", "/v2/old/x", False), ("/*.bak$", "/a/b.bak", True), ("/a.b", "/axb", False)], lambda: [patterns.robots_matches(A(), B())])
 golden("glob_match", "a string, b string", "matches", [("*.html", "d/a.html", False), ("**/*.html", "d/a.html", True), ("**/docs/*.html", "x/docs/a/docs/c.html", False), ("a?b", "a/b", True)], lambda: [patterns.glob_match_columns(A(), B())])
 golden("headers_parse", "a string", "etag n", [('HTTP/1.1 301 M\r\nETag: "a"\r\n\r\nHTTP/1.1 200 OK\r\netag: "b"\r\n', '"a"', 2)], lambda: [H.find_header(H.parse_headers(A()), "etag"), F.size(H.parse_headers(A()))])
 golden("css_scan", "a string", "n first", [('@import "a.css"; .x{b:url(c.png)} /* url(no) */', 2, "a.css"), ("a{}", 0, None)], lambda: [F.size(S.scan_css(A())), F.try_element_at(S.scan_css(A()), F.lit(1))["value"]])

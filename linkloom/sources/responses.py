@@ -29,8 +29,9 @@ def files_in(spark: SparkSession, folder: str, content: bool = False) -> DataFra
     return rows.select(relative.alias("path"), F.col("length").alias("size"), *extra)
 
 
-def folder_stats(files: DataFrame) -> DataFrame:
-    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+def folder_stats(files: DataFrame, *folder: str) -> DataFrame:
+    """The number of files and their bytes, of all or for each folder."""
+    return files.groupBy(*folder).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def needs_rewriting(kind: Column) -> Column:

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from linkloom.operators import manifest
 
 
 def ingest(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Runs the stream to its end now, putting each batch over the manifest in a folder of Parquet versions.
+    """Runs the stream to its end now, adding each batch's rows to the folder.
 
-    A version is written under the number of its batch, so a batch that is run again after a failure writes the same version.
+    A batch is written under the stream's own name and the batch's number, so one that is run again after a failure takes its own
+    place, and streams with other checkpoints add to the same manifest.  Only the batch is written, whatever the manifest's size.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else spark.createDataFrame([], manifest.SCHEMA)
-        manifest.upsert(manifest.lenient(old), manifest.lenient(batch)).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        manifest.lenient(batch).write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={number}")
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, folder: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{number}")
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest: of several rows of a URL the last fetched, then that of the latest batch."""
+    schema = spark.createDataFrame([], manifest.SCHEMA).schema.add("stream", "string").add("batch", "long")
+    rows = spark.read.schema(schema).parquet(folder)
+    w = Window.partitionBy("url").orderBy(F.desc("fetched_at"), F.desc("batch"), "stream")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "stream", "batch")
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """Writes the manifest's rows, one for each URL, to another folder that ingest can go on with."""
+    latest(spark, folder).write.parquet(f"{into}/stream=compacted/batch=0")

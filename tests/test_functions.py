@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import classify, codec, paths, patterns
+from linkloom.functions import json as J
 from linkloom.functions import text as X
 from linkloom.functions import url as U
 
 
-
 @pytest.fixture(scope="module", autouse=True)
 def columns(spark):
     global A, B, C
@@ -48,7 +48,7 @@ def test_hosts(values):
 
 def test_references_and_targets(values):
     assert values(["", "#a", " MAILTO:x", "data:,", "page", "https://x"], U.is_non_fetchable(A)) == [True, True, True, True, False, False]
-    assert values(["example.com/x", "http://a.b", "ftp://a.b"], U.url_key(U.normalise_target(A))) == ["https://example.com/x", "http://a.b/", None]
+    assert values(["orchard.test/x", "http://a.b", "ftp://a.b"], U.url_key(U.normalise_target(A))) == ["https://orchard.test/x", "http://a.b/", None]
     assert values(["example.com", "http:x", "a b.c", "./x.y", "HTTPS://x"], U.looks_like_url(A)) == [True, False, False, False, True]
 
 
@@ -58,7 +58,7 @@ def test_text(values):
     assert values(["a,,b"], X.split_on(A, ","), X.split_on(A, ",", False)) == [(["a", "", "b"], ["a", "b"])]
     assert values(["a b/é~"], X.percent_encode(A), X.percent_encode(A, "/")) == [("a%20b%2F%C3%A9~", "a%20b/%C3%A9~")]
     assert values(["a%20b+%zz%C3%A9%", "plain", "%41%4a"], X.percent_decode(A)) == ["a b+%zzé%", "plain", "AJ"]
-    assert values(["q=cats", "q=dogs", "page=2&ref=x"], X.short_hash(A)) == ["6704cdc0", "e39f6c02", "fc81f151"]
+    assert values(["colour=teal", "colour=plum", "n=3&sort=up"], X.short_hash(A)) == ["3b409bc8", "56407b3c", "8afb9c8f"]
     assert values(["v1.2.3-rc1", "2.10", "x"], X.semver(A)) == [[1, 2, 3], [2, 10, 0], [0, 0, 0]]
 
 
@@ -82,7 +82,7 @@ def test_css_and_srcset(values):
     got = values(["a.png 1x, b.png 2x,,c.png"], codec.parse_srcset(A))[0]
     assert [tuple(x) for x in got] == [("a.png", "1x"), ("b.png", "2x"), ("c.png", "")]
     assert values(["a.png 1x, b.png 2x,,c.png"], codec.build_srcset(codec.parse_srcset(A))) == ["a.png 1x, b.png 2x, c.png"]
-    assert values(["5; url=/next", "0;URL='a b'", "5", "0; url = x y", "1;foo=x", "0;url="], codec.meta_refresh(A)) == ["/next", "a b", None, "x", None, None]
+    assert values(["9; url=/later", "3;URL='c d'", "5", "0; url = x y", "1;foo=x", "0;url="], codec.meta_refresh(A)) == ["/later", "c d", None, "x", None, None]
     got = values(["alternate stylesheet", "shortcut icon", "nofollow", "Canonical"], codec.link_rel(A))
     assert [tuple(x) for x in got] == [("html", False), ("image", True), ("other", False), ("html", False)]
 
@@ -115,24 +115,35 @@ def test_globs(values):
 
 def test_robots_patterns(values):
     cases = [
-        ("/private/", "/private/x", True), ("/private/", "/public", False), ("/tmp/*/cache", "/tmp/a/cache/x", False), ("/tmp/*/cache", "/tmp/a/cache", True),
-        ("/*.gif$", "/a/b.gif", True), ("/*.gif$", "/a.gif?x", False), ("/x$", "/x", True), ("/x$", "/xy", False), ("", "/", False), ("/a.b", "/axb", False),
+        ("/attic/", "/attic/box", True), ("/attic/", "/porch", False), ("/v*/old", "/v2/old/x", False), ("/v*/old", "/v2/old", True),
+        ("/*.bak$", "/a/b.bak", True), ("/*.bak$", "/a.bak?x", False), ("/x$", "/x", True), ("/x$", "/xy", False), ("", "/", False), ("/a.b", "/axb", False),
     ]
     assert values([(p, t) for p, t, _ in cases], patterns.robots_matches(A, B)) == [x for *_, x in cases]
 
 
 def test_paths(values):
-    rows = {"a:b?c": "a_b_c", ".": "_dot", "..": "_dotdot", "x. .": "x_", "CON.txt": "_CON.txt", "": "_", "...": "_", "é" * 100 + ".html": "é" * 87 + "\ufffd" + ".html"}
+    rows = {"u<v|w": "u_v_w", ".": "_dot", "..": "_dotdot", "end. .": "end_", "LPT3.log": "_LPT3.log", "": "_", "...": "_", "é" * 100 + ".html": "é" * 87 + "\ufffd" + ".html"}
     assert values(list(rows), paths.sanitize_component(A)) == list(rows.values())
-    home = U.parse(F.lit("https://example.com/"))
+    home = U.parse(F.lit("https://orchard.test/"))
     cases = [
-        ("https://example.com/", "html", "index.html"), ("https://example.com/about", "html", "about.html"), ("https://example.com/docs/", "html", "docs/index.html"),
-        ("https://example.com/s?q=cats", "html", "s@6704cdc0.html"), ("https://example.com/a.php", "html", "a.php.html"), ("https://cdn.net/x/y.png", "image", "_external/cdn.net/x/y.png"),
-        ("http://cdn.net:81/lib", "js", "_external/http_cdn.net_81/lib.js"), ("https://example.com/a%20b/c.css", "css", "a b/c.css"), ("https://example.com/%2e%2e/x", "other", "_dotdot/x"),
+        ("https://orchard.test/", "html", "index.html"), ("https://orchard.test/pears", "html", "pears.html"), ("https://orchard.test/rows/", "html", "rows/index.html"),
+        ("https://orchard.test/find?colour=teal", "html", "find@3b409bc8.html"), ("https://orchard.test/cart.asp", "html", "cart.asp.html"), ("https://img.depot.test/u/v.gif", "image", "_external/img.depot.test/u/v.gif"),
+        ("http://img.depot.test:81/code", "js", "_external/http_img.depot.test_81/code.js"), ("https://orchard.test/p%20q/r.css", "css", "p q/r.css"), ("https://orchard.test/%2e%2e/k", "other", "_dotdot/k"),
     ]
     assert values([c[:2] for c in cases], paths.relative_path(U.parse(A), B, home)) == [c[2] for c in cases]
-    long = values([("https://example.com/" + "d" * 150 + "/" + "e" * 100 + ".html", "html")], paths.relative_path(U.parse(A), B, home))[0]
+    long = values([("https://orchard.test/" + "d" * 150 + "/" + "e" * 100 + ".html", "html")], paths.relative_path(U.parse(A), B, home))[0]
     assert long.endswith(".html") and "/_long/" in "/" + long and len(long) <= 200
-    links = [("index.html", "about.html", "about.html"), ("docs/a/x.html", "docs/b/y.html", "../b/y.html"), ("a/x.html", "a/x.html", "x.html"), ("x.html", "a b/c.css", "a%20b/c.css"), ("a/b/c.html", "index.html", "../../index.html")]
+    links = [("index.html", "pears.html", "pears.html"), ("shed/l/x.html", "shed/r/y.html", "../r/y.html"), ("a/x.html", "a/x.html", "x.html"), ("x.html", "a b/c.css", "a%20b/c.css"), ("a/b/c.html", "index.html", "../../index.html")]
     assert values([c[:2] for c in links], paths.relative_link(A, B)) == [c[2] for c in links]
     assert values([("/r", "/r/a"), ("/r", "/r/../x"), ("/r", "/rx")], paths.is_inside(A, B)) == [True, False, False]
+
+
+def test_json(values):
+    deep = lambda n: "[" * n + "]" * n
+    texts = ['{"a": 1}', "﻿[1, 2]", '{"a": 1} x', "{", "", '"\\ud83d\\ude00"', deep(100), deep(101), "nul", "null", '{"a":"[[["}', "1 2"]
+    assert [x is not None for x in values(texts, J.parse(A))] == [True, True, False, False, False, True, True, False, False, True, True, False]
+    rows = ['{"n": 3.5, "t": "x", "f": true, "o": {"t": "y", "n": 2}, "n": 4}', '{"n": "3", "t": 7, "f": "true", "o": []}', "{}"]
+    assert values(rows, J.number_at(A, "n", otherwise=9)) == [4.0, 9.0, 9.0]
+    assert values(rows, J.text_at(A, "t", otherwise="?")) == ["x", "?", "?"] and values(rows, J.text_at(A, "o", "t")) == ["y", "", ""]
+    assert values(rows, J.flag_at(A, "f")) == [True, False, False] and values(rows, J.number_at(A, "o", "n")) == [2.0, 0.0, 0.0]
+    assert values(rows, J.contains(A, "o"), J.contains(A, "o", "t"), J.contains(A, "z")) == [(True, True, False), (True, False, False), (False, False, False)]

@@ -132,7 +132,8 @@ def test_manifest_document(spark, table, tmp_path):
 def test_frontier(spark):
     edges = spark.createDataFrame([("a", "b", "navigation", 0), ("b", "c", "navigation", 0), ("c", "a", "navigation", 0), ("a", "s", "asset", 1), ("s", "t", "asset", 0), ("c", "d", "navigation", 1), ("b", "s", "asset", 1)], "src string, dst string, role string, pos int")
     seeds = spark.createDataFrame([("a",)], "url string")
-    assert {(r.url, r.depth) for r in frontier.expand(seeds, edges, 2).collect()} == {("a", 0), ("s", 0), ("t", 0), ("b", 1), ("c", 2)}
+    assert {(r.url, r.depth) for r in frontier.expand(seeds, edges, 2).where("reason is null").collect()} == {("a", 0), ("s", 0), ("t", 0), ("b", 1), ("c", 2)}
+    assert {(r.url, r.depth, r.reason) for r in frontier.expand(seeds, edges, 2).where("reason is not null").collect()} == {("d", 3, "beyond --max-depth")}
     assert frontier.expand(seeds, edges, 9).count() == 6
 
 
