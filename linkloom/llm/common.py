@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from linkloom.session import cut, shared_dir
+
 _tables: list[str] = []
 
 
@@ -18,34 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, and on a local master a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='linkloom-')}")
-    return _own[0]
-
-
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path in the shared folder, and the path in it."""
-    uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there: its lineage ends and its rows are computed once."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(True)
-
-
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """As cut(), as a compressed Parquet table."""
     spark = df.sparkSession

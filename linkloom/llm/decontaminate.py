@@ -40,9 +40,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import open_store, shared_dir, written
+from linkloom.llm.common import written
 from linkloom.llm.tokens import CHUNK_BYTES, U, Words, map_texts, ngrams, pieces, text_buffer
 from linkloom.llm.toxicity import _BREAK
+from linkloom.session import shared_dir
+from linkloom.sources.files import open_store
 
 
 @dataclass(frozen=True)

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkloom.llm.common import cut, numbered
+from linkloom.llm.common import numbered
 from linkloom.llm.tokens import Words, map_texts, text_buffer
+from linkloom.session import cut
 
 
 @dataclass(frozen=True)

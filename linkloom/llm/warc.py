@@ -31,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import open_store, shared_dir
 from linkloom.llm.tokens import pieces
+from linkloom.session import shared_dir
+from linkloom.sources.files import open_store
 
 MAGIC = 0x184D2A5D  # fixed value: the skippable frame that holds a dictionary in .warc.zst
 _SHARES = 16
