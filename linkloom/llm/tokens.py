@@ -12,6 +12,7 @@ about v*v / 3.7e19.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,9 +165,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         at = to
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
 def release() -> None:
-    """Gives memory that Arrow keeps for later back to the system; executors count it."""
+    """Gives memory that Arrow and the C library keep for later back to the system; a worker lives on idle between stages, and executors count it."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
