@@ -14,6 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     In a round each vertex is merged into its least neighbour, or itself; ids must be hashes, so that a
     constant share of the vertices goes away in a round.  Minima are summed up before the
     shuffle; the joins leave skew to adaptive execution.
+
+    Defined cases: loops (a = b) and repeated edges count for nothing, so a vertex with loops alone is not listed; edges with a
+    null end are left out; no edges give no rows; further columns are ignored.
     """
     both = edges.where("a != b").select("a", "b")
     e = cut(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

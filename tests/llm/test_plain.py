@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import decontaminate, mixing, neardup, pii, queries, secret_scan, toxicity
+from linkloom.llm import decontaminate, mixing, neardup, pii, quality, queries, secret_scan, toxicity, warc
 from linkloom.llm.common import written
+from linkloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY = pii.Pseudonyms(key=b"test")
@@ -321,6 +322,40 @@ def test_a_similarity_at_the_threshold(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
 
 
+# Ties and long texts of op4 and op7
+
+
+def test_limits_of_quality_are_met_exactly():
+    words = [f"w{k}" for k in range(44)]
+    text = " ".join([*words, *words[:8], *[f"x{k}" for k in range(2)]])  # 16 of 54 words in a window that is found twice: less than 30 %
+    exact = " ".join([*words[:8], *words[:8], *words[8:], *[f"y{k}" for k in range(1)]])
+    m = quality.text_metrics(pa.array([text, exact]))
+    assert m["n_repeat_words"].tolist() == [16, 16] and m["n_words"].tolist() == [54, 53]
+
+
+def test_a_repeated_share_at_the_limit_is_kept(spark):
+    own = [f"a{k}" for k in range(12)]
+    at = " ".join([*own, *own, *[f"b{k}" for k in range(56)]])  # 24 of 80: 30 %
+    over = " ".join([*own, *own, *[f"b{k}" for k in range(55)]])
+    short, enough = " ".join("c" + str(k) for k in range(19)), " ".join("long" + str(k) for k in range(20))
+    docs = spark.createDataFrame(list(enumerate([at, over, short, enough])), "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert {r.doc_id: r.base_failed for r in quality.quality(docs).collect()} == {0: False, 1: True, 2: True, 3: False}
+
+
+def test_very_long_pages(spark):
+    pages = [(k, f"u{k}", f"<p>{k % 2}</p>" + "lorem ipsum " * 300_000) for k in range(4)] + [(9, "v", "x")]
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_pages(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    n = len(pages[0][2])
+    assert got == {(0, "response", None, n), (1, "response", None, n), (2, "revisit", 0, n), (3, "revisit", 1, n), (9, "response", None, 1)}
+
+
+def test_components_cases(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (2, 5), (None, 7), (8, 9)], "a long, b long").withColumn("m", F.lit(1))
+    got = {r.vertex: r.root for r in components(edges).collect()}
+    assert got.keys() == {1, 2, 5, 8, 9} and got[1] == got[2] == got[5] != got[8] == got[9]
+    assert components(edges.limit(0)).count() == 0
+
+
 # The pipeline
 
 
