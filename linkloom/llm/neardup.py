@@ -50,7 +50,8 @@ class Forest:
     depth: int = 6
     target_recall: float = 0.999
     evidence: int = 1000
-    block_docs: int = 256
+    node_docs: int = 256
+    block_docs: int = 128
     block_shingles: int = 500_000
     broadcast_rows: int = 500_000
 
@@ -194,7 +195,7 @@ def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: C
     mates: vertex, tree, n, paths and the columns to carry.  A node of many texts is cut into pairs of blocks.
     """
     rows = mates.withColumn("prefix", F.shiftright(F.get("paths", F.col("tree")), _BITS * (f.depth - depth)))
-    blocks = F.ceil(F.count(F.lit(1)) / f.block_docs).cast("int").alias("blocks")
+    blocks = F.ceil(F.count(F.lit(1)) / f.node_docs).cast("int").alias("blocks")
     nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), blocks).where("met > 1").drop("met")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     dealt = rows.join(nodes, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -141,7 +141,7 @@ def test_near_duplicate_blocks_lose_no_link(spark):
             w[k] = f"x{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = ({r.doc_id: tuple(r) for r in neardup.near_duplicates(docs, f).collect()} for f in (neardup.Forest(), neardup.Forest(block_docs=8, broadcast_rows=0)))
+    one, many = ({r.doc_id: tuple(r) for r in neardup.near_duplicates(docs, f).collect()} for f in (neardup.Forest(), neardup.Forest(block_docs=8, node_docs=8, broadcast_rows=0)))
     assert one == many and sum(r[2] for r in one.values()) > 150
 
 
