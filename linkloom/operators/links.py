@@ -12,7 +12,8 @@ from linkloom.operators.scan import scan_css, scan_references
 
 def effective_base(document: Column, base_href: Column) -> Column:
     """A parsed document URL, or the base it declares if that resolves to http."""
-    return let(F.when(F.coalesce(base_href, F.lit("")) != "", U.resolve(document, base_href)), lambda b: F.when(b.isNotNull() & U.is_http(b), b).otherwise(document))
+    declared = lambda d: F.when(F.coalesce(base_href, F.lit("")) != "", U.resolve(d, base_href))
+    return let(document, lambda d: let(declared(d), lambda b: F.when(b.isNotNull() & U.is_http(b), b).otherwise(d)))
 
 
 def html_references(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
@@ -21,10 +22,11 @@ def html_references(pages: DataFrame, url: str = "url", body: str = "html") -> D
     Each page is scanned once; its body goes no further.
     """
     keep = [c for c in pages.columns if c != body]
-    scanned = pages.select(*keep, scan_references(F.col(body)).alias("_scan"))
-    based = computed(scanned, "_base", effective_base(U.parse(F.col(url)), F.col("_scan.base_href")))
+    # Fields of their own: for a generator over a field of the struct Spark loses the other one where the URL is a constant.
+    scanned = pages.select(*keep, scan_references(F.col(body)).alias("_scan")).select(*keep, F.col("_scan.base_href").alias("_href"), F.col("_scan.refs").alias("_refs"))
+    based = computed(scanned, "_base", effective_base(U.parse(F.col(url)), F.col("_href")))
     # An outer explode: for an inner one Spark puts a test of the array's size below it, and scans each page twice.
-    rows = based.select(*keep, "_base", F.explode_outer("_scan.refs").alias("_r")).where("_r is not null").select(*keep, "_base", "_r.*")
+    rows = based.select(*keep, "_base", F.explode_outer("_refs").alias("_r")).where("_r is not null").select(*keep, "_base", "_r.*")
     target = F.when(~U.is_non_fetchable(F.col("ref")), U.resolve(F.col("_base"), F.col("ref")))
     return computed(rows, "target", let(target, lambda t: F.when(t.isNotNull() & U.is_http(t), t))).drop("_base")
 

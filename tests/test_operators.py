@@ -159,3 +159,8 @@ def test_headers_and_files(spark, values, tmp_path):
     (tmp_path / "y.bin").write_bytes(b"12345")
     files = responses.files_in(spark, str(tmp_path))
     assert {(r.path, r.size) for r in files.collect()} == {("d/x.txt", 3), ("y.bin", 5)} and tuple(responses.folder_stats(files).first()) == (2, 8)
+
+
+def test_links_of_a_constant_url(spark):
+    rows = spark.createDataFrame([(1, '<base href="/b/"><a href="x">y</a>'), (2, "<p>")], "id long, html string").withColumn("url", F.lit("http://a.b/c"))
+    assert [(r.id, r.target.path) for r in links.discover_html(rows).collect()] == [(1, "/b/x")]
