@@ -51,7 +51,7 @@ class Forest:
     target_recall: float = 0.999
     evidence: int = 1000
     node_docs: int = 256
-    block_docs: int = 128
+    block_docs: int = 256
     block_shingles: int = 500_000
     broadcast_rows: int = 500_000
 
@@ -323,12 +323,15 @@ def block_tasks(mates: DataFrame, cluster: DataFrame, sets: DataFrame, f: Forest
 
     def judge(t: pa.Table, texts: Signed, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
         root, block, vertex = (t.column(x).to_numpy() for x in ("root", "block", "vertex"))
-        low, high = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
-        row = np.unique(np.concatenate([np.stack([root[x], low, high, block[x], vertex[x]]).astype(np.int64) for x in (a, b)], 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(row[k].astype(np.int32)) for k in (1, 2, 3)), pa.array(row[4])], names=["root", "i", "j", "own", "vertex"])
-
-    told = in_nodes(mates.join(ranked, "vertex"), f, depth, ["root", "block"], judge, "root long, i int, j int, own int, vertex long")
-    return small.unionByName(told.distinct())
+        met = np.unique(np.stack([np.concatenate([a, b]), block[np.concatenate([b, a])]]).astype(np.int64), axis=1)
+        text, start = np.unique(met[0], return_index=True)
+        partners = pa.ListArray.from_arrays(pa.array(np.append(start, met.shape[1]).astype(np.int32)), pa.array(met[1].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(root[text]), pa.array(block[text].astype(np.int32)), pa.array(vertex[text]), partners], names=["root", "own", "vertex", "partners"])
+
+    # A row for each text of a node, with the blocks of its partners there; at most trees of them meet for each text.
+    told = in_nodes(mates.join(ranked, "vertex"), f, depth, ["root", "block"], judge, "root long, own int, vertex long, partners array<int>")
+    told = told.groupBy("root", "own", "vertex").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).withColumn("other", F.explode("partners"))
+    return small.unionByName(told.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex"))
 
 
 def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
