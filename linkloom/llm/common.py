@@ -37,6 +37,15 @@ def drop_tables(spark: SparkSession) -> int:
     return gone
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the table of written() that df is; nothing may read it any more."""
+    spark, names = df.sparkSession, {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    for at in [t for t in _tables if t.rpartition("/")[2] in names]:
+        _tables.remove(at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with each row's place, from 0, in an order of all rows."""
     rows = cut(df.orderBy(*order)).withColumns({"_part": F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})

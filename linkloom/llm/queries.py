@@ -1,4 +1,4 @@
-"""The ten registered queries over the tables, and SQL for those that SQL can express."""
+"""The registered queries over the tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.common import table
 from linkloom.llm.decontaminate import contaminated
+from linkloom.llm.kmeans import clustered
 from linkloom.llm.lm import lm_scores
+from linkloom.llm.merkle import manifest
 from linkloom.llm.mixing import mixture
 from linkloom.llm.neardup import near_duplicates
 from linkloom.llm.pii import from_session, pii_report
 from linkloom.llm.quality import quality
 from linkloom.llm.secret_scan import secrets
+from linkloom.llm.simhash import simhash_groups
 from linkloom.llm.substrings import substring_dedup
 from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
@@ -65,13 +68,79 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join)}
+    every = (
+        op1_toxicity, op2_substring_dedup, op3_pii, op4_warc, op5_mixture, op6_secret_links, op7_host_quality, op8_decontaminate, op9_lm_score, op10_jaccard_join,
+        op11_merkle_manifest, op12_clusters, op13_simhash,
+    )
+    return {f.__name__: f for f in every}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _merkle(documents: int = 6, sources: int = 4) -> str:
+    """SQL for trees of at most 16 to the given powers of leaves; k is the source, null first."""
+    out = [
+        "t AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)",
+        f"d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 'x' || source END AS k, {_LEAF('text')} AS leaf, CASE WHEN {_CRC32} % 5 = 0 THEN {_LEAF('low')} ELSE {_LEAF('text')} END AS claimed FROM t)",
+        "e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d)",
+        "a0 AS (SELECT k, i, leaf AS h, n FROM e)",
+    ]
+
+    def tree(name: str, levels: int) -> None:
+        for j in range(levels):
+            w = "OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN"
+            out.append(f"{name}s{j} AS (SELECT k, i, n, coalesce(string_agg(h, '') {w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{j})")
+            out.append(f"{name}{j + 1} AS (SELECT k, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + 15) // 16 AS n FROM {name}{j} GROUP BY k, i // 16)")
+
+    tree("a", documents)
+    out.append(f"b0 AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, count(*) OVER () AS n, k AS source FROM a{documents})")
+    tree("b", sources)
+    out.append("f0 AS (SELECT doc_id, e.k, e.i, leaf, claimed AS f, '' AS p, b0.h AS subroot, b0.i AS rank FROM e JOIN b0 ON b0.source = e.k)")
+    for j in range(documents + sources):
+        at, k, i, power = (f"as{j}", "g.k", "g.i", j) if j < documents else (f"bs{j - documents}", "''", "g.rank", j - documents)
+        out.append(f"f{j + 1} AS (SELECT doc_id, g.k, g.i, leaf, CASE WHEN s.n > 1 THEN sha256(s.l || f || s.r) ELSE f END AS f, p || s.l || s.r AS p, subroot, rank FROM f{j} AS g JOIN {at} AS s ON s.k = {k} AND s.i = {i} // {16**power})")
+    last = f"f{documents + sources}"
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, z.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = z.h AS verified FROM {last}, b{sources} AS z"
+
+
+def _clusters(rounds: int = 10) -> str:
+    """SQL for the rounds; vectors and centroids with a row for each component."""
+    out = [
+        "e AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS j, unnest(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS x FROM e)",
+        "s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM e ORDER BY c LIMIT 8)",
+        "c0 AS MATERIALIZED (SELECT c, j, x FROM s JOIN v USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, c, sum((v.x - k.x) * (v.x - k.x)) AS d FROM v JOIN c{r} AS k USING (j) GROUP BY vec_id, c) GROUP BY vec_id)")
+        if r < rounds:
+            out.append(f"m{r} AS (SELECT c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM a{r} JOIN v USING (vec_id) GROUP BY c, j)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c, j, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c, j))")
+    out.append(f"z AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS name FROM c{rounds} GROUP BY c)")
+    return f"WITH {', '.join(out)} SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, name AS centroid_sha256 FROM a{rounds} JOIN z USING (c)"
+
+
 SQL = {
+    "op11_merkle_manifest": _merkle(),
+    "op12_clusters": _clusters(),
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
