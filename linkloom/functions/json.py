@@ -48,10 +48,8 @@ def _at(json: Column, keys: tuple[str, ...], kind: str) -> Column:
 
 def text_at(json: Column, *keys: str, otherwise: str = "") -> Column:
     """The string under the keys; otherwise without one, or where it is of another type."""
-    raw = F.get_json_object(json, "$" + "".join(f"['{k}']" for k in keys[:-1]))
-    kind = F.json_object_keys(raw)
-    quoted = raw.rlike(r'"' + "".join("\\" + c if not c.isalnum() else c for c in keys[-1]) + r'"\s*:\s*"')
-    return F.when(F.array_contains(kind, keys[-1]) & quoted, F.coalesce(_at(json, keys, "string"), F.lit(otherwise))).otherwise(F.lit(otherwise))
+    value = _at(json, keys, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(otherwise))).otherwise(F.lit(otherwise))
 
 
 def number_at(json: Column, *keys: str, otherwise: float = 0.0) -> Column:

@@ -56,20 +56,27 @@ def _quoted(literal: str) -> str:
     return "".join("." if c == "?" else c if c.isalnum() or c in "_/" else f"\\{c}" if c.isascii() else c for c in literal)
 
 
-def glob_match(pattern: str, text: Column) -> Column:
-    """Whether texts match a pattern.
+def glob_regex(pattern: str) -> str | None:
+    """A regular expression for whole texts that agrees with a pattern; None if there is none.
 
-    A regular expression agrees unless a single star comes after a doubled one: before that, the least a star can take
-    leaves most to the rest, so nothing is to be reconsidered.
+    It agrees unless a single star comes after a doubled one: before that, the least a star can take leaves most to the rest, so nothing is
+    to be reconsidered.
     """
-    if pattern and not needs_python(pattern):
-        parts = re.split(r"(\*\*?)", pattern)
-        stars = parts[1::2]
-        out = [_quoted(parts[0])]
-        for star, literal in zip(stars, parts[2::2]):
-            folders = star == "**" and literal.startswith("/")
-            out.append(("(?:.*/)?" if folders else ".*" if star == "**" else "[^/]*") + _quoted(literal[folders:]))
-        return text.rlike(f"(?s)^{''.join(out)}\\z")
+    if not pattern or needs_python(pattern):
+        return None
+    parts = re.split(r"(\*\*?)", pattern)
+    out = [_quoted(parts[0])]
+    for star, literal in zip(parts[1::2], parts[2::2]):
+        folders = star == "**" and literal.startswith("/")
+        out.append(("(?:.*/)?" if folders else ".*" if star == "**" else "[^/]*") + _quoted(literal[folders:]))
+    return f"(?s)^{''.join(out)}\\z"
+
+
+def glob_match(pattern: str, text: Column) -> Column:
+    """Whether texts match a pattern, by a regular expression if one agrees."""
+    regex = glob_regex(pattern)
+    if regex is not None:
+        return text.rlike(regex)
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else glob_text(pattern, x)), T.BooleanType())(text)
 
 

@@ -23,13 +23,14 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_rounds: i
     Navigation adds 1 to the depth; assets stay at their page's depth, so they are taken to a
     fixpoint before the next depth begins.  Of several arrivals in a round the one with the least (depth, parent, pos) counts.
     Edges may have reason, why their target is refused, and if_role, the role that their source must have been reached in.
-    What is refused, or beyond max_depth (reason "beyond --max-depth"), arrives but leads no further.
+    Seeds may have a reason as well.  What is refused, or beyond max_depth (reason "beyond --max-depth"), arrives but leads no further.
     """
     given = {c: F.col(c) if c in edges.columns else F.lit(None).cast("string") for c in ("reason", "if_role")}
     links = edges.select("src", "dst", "role", "pos", *[c.alias(k) for k, c in given.items()])
     assets, pages = links.where("role != 'navigation'"), links.where("role = 'navigation'")
     none = F.lit(None).cast("string")
-    start = seeds.select("url", F.lit(0).alias("depth"), none.alias("parent"), F.lit("navigation").alias("role"), F.lit(0).alias("round"), none.alias("reason"))
+    refused = F.col("reason") if "reason" in seeds.columns else none.alias("reason")
+    start = seeds.select("url", F.lit(0).alias("depth"), none.alias("parent"), F.lit("navigation").alias("role"), F.lit(0).alias("round"), refused)
     rounds = [cut(start.dropDuplicates(["url"]))]
     fresh, here = rounds[0], [rounds[0]]
     for k in range(1, max_rounds):

@@ -12,9 +12,13 @@ from pyspark.sql.window import Window
 from linkloom.functions import url as U
 from linkloom.functions.text import computed, human_size, let
 from linkloom.functions.patterns import glob_match, needs_python, robots_matches, robots_specificity
+from linkloom.operators.globs import first_glob
+from linkloom.operators.robots import allowed_by_trie
 from linkloom.session import cut
 
 _SHARES = 16
+#: Beyond so many globs they are sought by an automaton, and beyond so many rules of an origin by a join on their literals.
+MANY_GLOBS, MANY_RULES = 32, 200
 
 
 @dataclass(frozen=True)
@@ -37,19 +41,24 @@ class Scope:
 
 
 def with_scope(rows: DataFrame, target: str, role: str, depth: str, s: Scope, out: str = "reason") -> DataFrame:
-    """rows with why their target is out of scope; null if it is in.  Takes any patterns."""
+    """rows with why their target is out of scope; null if it is in.  Takes any patterns, and any number of them."""
+    found = computed(rows, "_text", U.url_key(F.col(target)))
+    if len(s.exclude) + len(s.include) > MANY_GLOBS:
+        found = found.withColumns({"_excluded": first_glob(F.col("_text"), s.exclude), "_included": first_glob(F.col("_text"), s.include)})
+        reason = scope_reason(F.col(target), F.col(role), F.col(depth), s, first=(F.col("_excluded"), F.col("_included")))
+        return computed(found, out, reason).drop("_text", "_excluded", "_included")
     quirky = list(dict.fromkeys(p for p in (*s.exclude, *s.include) if needs_python(p)))
     matched = {p: f"_glob{k}" for k, p in enumerate(quirky)}
-    found = computed(rows, "_text", U.url_key(F.col(target)))
     found = found.withColumns({name: glob_match(p, F.col("_text")) for p, name in matched.items()}) if matched else found
     reason = scope_reason(F.col(target), F.col(role), F.col(depth), s, {p: F.col(name) for p, name in matched.items()})
     return computed(found, out, reason).drop("_text", *matched.values())
 
 
-def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched: dict[str, Column] | None = None) -> Column:
+def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched: dict[str, Column] | None = None, first: tuple[Column, Column] | None = None) -> Column:
     """Why a target is out of scope, by the first rule that says so; null if it is in.
 
-    matched: whether patterns match, for those with a single star after a doubled one; with_scope() finds them.
+    matched: whether patterns match, for those with a single star after a doubled one; first: the first pattern of exclude and of
+    include that matches.  with_scope() finds them.
     """
     matched = matched or {}
     home = U.parsed(s.primary)
@@ -61,9 +70,13 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched:
         out = F.when(~U.is_http(t), "unsupported scheme")
         if not s.allow_private_hosts:
             out = out.when(U.is_private_host(t["host"]), "private or loopback host")
-        for p in s.exclude:
+        if first is not None:
+            out = out.when(first[0].isNotNull(), F.concat(F.lit("matched --exclude "), first[0]))
+        for p in s.exclude if first is None else ():
             out = out.when(matched[p] if p in matched else glob_match(p, text), f"matched --exclude {p}")
-        if s.include:
+        if s.include and first is not None:
+            out = out.when(first[1].isNull(), "did not match any --include pattern")
+        elif s.include:
             out = out.when(~F.greatest(*[matched[p] if p in matched else glob_match(p, text) for p in s.include], F.lit(False)), "did not match any --include pattern")
         page = role == "navigation"
         if not s.recursive:
@@ -77,7 +90,7 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched:
             out = out.when(~page & ~at_home, "third-party asset")
         return out
 
-    missing = [p for p in (*s.exclude, *s.include) if needs_python(p) and p not in matched]
+    missing = [p for p in (*s.exclude, *s.include) if first is None and needs_python(p) and p not in matched]
     if missing:
         raise ValueError(f"patterns that with_scope() must match first: {missing}")
     return let(target, of)
@@ -86,10 +99,13 @@ def scope_reason(target: Column, role: Column, depth: Column, s: Scope, matched:
 def robots_allowed(rows: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path", out: str = "allowed", broadcast_rules: int = 100_000) -> DataFrame:
     """rows with whether robots rules (origin, pattern, allow) let their path (with its query) be fetched.
 
-    The longest matching pattern decides, allow before disallow; without one all is allowed.  The rules of an origin are one array, as
-    long as its robots.txt at most, so a row meets its own origin's rules only and is never repeated.  Counted to be few the rules are
-    broadcast; beyond that an origin with a third of all rows is dealt over shares.
+    The longest matching pattern decides, allow before disallow; without one all is allowed.  While no origin has over MANY_RULES, its rules are one
+    array, so a row meets its own origin's rules only and is never repeated; beyond that paths meet rules by their literals (allowed_by_trie).
+    Counted to be few the rules are broadcast; beyond that an origin with a third of all rows is dealt over shares.
     """
+    most = rules.groupBy("origin").count().agg(F.max("count")).first()[0] or 0
+    if most > MANY_RULES:
+        return allowed_by_trie(rows, rules, origin, path, out, broadcast_rules)
     by_origin = rules.groupBy(F.col("origin").alias("_o")).agg(F.collect_list(F.struct("pattern", "allow")).alias("_rules"))
     p = F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path))
     hit = F.filter("_rules", lambda r: robots_matches(r["pattern"], p))

@@ -109,16 +109,24 @@ def edges_of(taken: DataFrame) -> DataFrame:
     return both.select(F.col("url").alias("src"), U.url_key(F.col("target")).alias("dst"), "target", "role", (F.col("link") * 1000 + F.col("part")).alias("pos"), "if_role")
 
 
+def refused(rows: DataFrame, rules: DataFrame | None, s: scope.Scope) -> DataFrame:
+    """rows (target, role, _depth) with the reason for which their target isn't taken, by scope and robots rules."""
+    rows = scope.with_scope(rows, "target", "role", "_depth", s)
+    if rules is None:
+        return rows
+    rows = rows.withColumns({"origin": U.origin(F.col("target")), "path": F.concat("target.path", F.coalesce(F.concat(F.lit("?"), "target.query"), F.lit("")))})
+    rows = scope.robots_allowed(rows, rules)
+    return rows.withColumn("reason", F.coalesce("reason", F.when(~F.col("allowed"), "disallowed by robots.txt")))
+
+
 def reach(taken: DataFrame, responses: DataFrame, start: str, s: scope.Scope, agent: str) -> DataFrame:
-    """What the start leads to, as frontier.expand gives it; refused URLs have the reason."""
-    # Depth is left to the frontier, and the start itself is taken as it is.
-    edges = scope.with_scope(edges_of(taken).withColumn("_depth", F.lit(1)), "target", "role", "_depth", s)
-    edges = edges.withColumns({"origin": U.origin(F.col("target")), "path": F.concat("target.path", F.coalesce(F.concat(F.lit("?"), "target.query"), F.lit("")))})
-    if s.respect_robots:
-        edges = scope.robots_allowed(edges, robots_rules(responses, agent))
-        edges = edges.withColumn("reason", F.coalesce("reason", F.when(~F.col("allowed"), "disallowed by robots.txt")))
+    """What the start leads to, as frontier.expand gives it; refused URLs, the start among them, have the reason."""
+    rules = cut(robots_rules(responses, agent)) if s.respect_robots else None
+    # Depth is left to the frontier.
+    edges = refused(edges_of(taken).withColumn("_depth", F.lit(1)), rules, s)
     edges = cut(edges.select("src", "dst", "role", "pos", "if_role", "reason"))
-    seed = taken.sparkSession.createDataFrame([(start,)], "raw string").select(U.url_key(U.normalise_target(F.col("raw"))).alias("url"))
+    seed = taken.sparkSession.createDataFrame([(start,)], "raw string").select(U.normalise_target(F.col("raw")).alias("target"), F.lit("navigation").alias("role"), F.lit(0).alias("_depth"))
+    seed = refused(seed, rules, s).select(U.url_key(F.col("target")).alias("url"), "reason")
     return frontier.expand(seed, edges, s.max_depth if s.recursive else 0)
 
 

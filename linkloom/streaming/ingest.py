@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from linkloom.operators import manifest
+from linkloom.sources.store import ManifestStore
 
 
 def ingest(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -26,6 +27,19 @@ def ingest(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(changes: DataFrame, store: ManifestStore, checkpoint: str) -> StreamingQuery:
+    """Runs the stream to its end now, merging each batch into the store once, also if it is run again after a failure.
+
+    Several streams, with other checkpoints, may merge into one store.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.merge(batch, once=(stream, number))
+
+    return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest: of several rows of a URL the last fetched, then that of the latest batch."""
     schema = spark.createDataFrame([], manifest.SCHEMA).schema.add("stream", "string").add("batch", "long")

@@ -144,6 +144,8 @@ def test_json(values):
     assert [x is not None for x in values(texts, J.parse(A))] == [True, True, False, False, False, True, True, False, False, True, True, False]
     rows = ['{"n": 3.5, "t": "x", "f": true, "o": {"t": "y", "n": 2}, "n": 4}', '{"n": "3", "t": 7, "f": "true", "o": []}', "{}"]
     assert values(rows, J.number_at(A, "n", otherwise=9)) == [4.0, 9.0, 9.0]
+    tricky = ['{"a":{"t":"x"},"t":5}', '{"t":"first","t":"last"}', '{"t":null}', '{"t":{"u":"v"}}', '{"t":"\\"t\\": \\"q"}', "no"]
+    assert values(tricky, J.text_at(A, "t", otherwise="?")) == ["?", "last", "?", "?", '"t": "q', "?"]
     assert values(rows, J.text_at(A, "t", otherwise="?")) == ["x", "?", "?"] and values(rows, J.text_at(A, "o", "t")) == ["y", "", ""]
     assert values(rows, J.flag_at(A, "f")) == [True, False, False] and values(rows, J.number_at(A, "o", "n")) == [2.0, 0.0, 0.0]
     assert values(rows, J.contains(A, "o"), J.contains(A, "o", "t"), J.contains(A, "z")) == [(True, True, False), (True, False, False), (False, False, False)]
