@@ -26,6 +26,7 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,12 +57,18 @@ class Pseudonyms:
 KEY_SETTING = "spark.linkloom.pii.key"
 
 
-def from_session(spark: SparkSession, otherwise: bytes | None = None) -> Pseudonyms:
-    """The key in the session's setting; without one, otherwise, and an error if that is None."""
+_made: dict[str, bytes] = {}
+
+
+def from_session(spark: SparkSession, make: bool = False) -> Pseudonyms:
+    """The key in the session's setting; an error without one, or, if asked for, a random secret that the application's later calls share.
+
+    With such a secret equal values are linked within the application's results and nobody can undo it; set the key to link those of several.
+    """
     key = spark.conf.get(KEY_SETTING, None)
-    if not key and otherwise is None:
+    if not key and not make:
         raise ValueError(f"set {KEY_SETTING} to the deployment's secret")
-    return Pseudonyms(key.encode() if key else otherwise)
+    return Pseudonyms(key.encode() if key else _made.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32)))
 
 
 def feistel(value: int, size: int, tweak: str, p: Pseudonyms, back: bool = False) -> int:

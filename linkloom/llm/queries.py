@@ -22,10 +22,6 @@ from linkloom.llm.toxicity import toxicity
 from linkloom.llm.warc import archive_pages
 
 
-#: For the invented persons of the test tables; a deployment sets its own secret (see pii.KEY_SETTING).
-TABLES_KEY = b"not a secret"
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +31,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_report(table(spark, sf_dir, "documents"), from_session(spark, TABLES_KEY))
+    return pii_report(table(spark, sf_dir, "documents"), from_session(spark, make=True))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
