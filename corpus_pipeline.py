@@ -16,7 +16,6 @@ from linkloom.llm.mixing import mix_documents
 from linkloom.llm.neardup import keep_one
 from linkloom.llm.pii import from_session, mask_documents
 from linkloom.llm.quality import keep_good
-from linkloom.llm.queries import TABLES_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -46,11 +45,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With pseudonyms for personal data in the texts; the key is the session's (pii.KEY_SETTING), or that of the test tables.
+    """With pseudonyms for personal data in the texts; the key is the session's (pii.KEY_SETTING), or a random one of the application.
 
     A null text stays null; texts without personal data stay as they are; equal values get equal pseudonyms in all rows.
     """
-    return mask_documents(docs, from_session(spark, TABLES_KEY))
+    return mask_documents(docs, from_session(spark, make=True))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
