@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,33 @@ def document_text(manifest: DataFrame, source: str, created_at: int = 0) -> Data
     return lines.select(F.to_json(made, {"pretty": "true"}).alias("value"))
 
 
+def save_document(manifest: DataFrame, file: str, source: str, created_at: int, updated_at: int) -> None:
+    """Writes the document of document_text() as one file, sorted over all tasks: each writes its range's entries, and the files are joined behind a head.
+
+    No task holds more than its range; rows of one URL are an error of the caller's, as keys would repeat.
+    """
+    from linkloom.session import shared_dir
+    from linkloom.sources.files import join_files, remove_folder, write_parts
+
+    spark, entry = manifest.sparkSession, T.StructType([f for f in SCHEMA if f.name != "url"])
+    pretty = {"pretty": "true"}
+    rows = to_json(manifest).select("url", F.from_json("entry", entry).alias("e"))
+    whole = F.to_json(F.struct(F.create_map("url", "e").alias("entries")), pretty)
+    opening, closing = '{\n  "entries" : {\n', "\n  }\n}"
+    each = F.substring(whole, len(opening) + 1, F.length(whole) - len(opening) - len(closing))
+    first = manifest.agg(F.min("url")).first()[0]
+    lines = rows.select("url", F.concat(F.when(F.col("url") == F.lit(first), "").otherwise(",\n"), each).alias("value")).sort("url")
+    made = F.struct(F.lit(FORMAT).alias("format"), F.lit(source).alias("source"), F.lit(created_at).alias("created_at"), F.lit(updated_at).alias("updated_at"), F.from_json(F.lit("{}"), T.MapType(T.StringType(), entry)).alias("entries"))
+    empty = spark.range(1).select(F.to_json(made, pretty)).first()[0]
+    if first is None:
+        return join_files(spark, "", [], file, empty, "")
+    folder = f"{shared_dir(spark)}/document-{uuid4().hex}"
+    names = write_parts(lines, folder)
+    join_files(spark, folder, names, file, empty[: empty.rindex("{") + 1] + "\n", closing)
+    remove_folder(spark, folder)
+    return None
+
+
 def upsert(manifest: DataFrame, changes: DataFrame) -> DataFrame:
     """manifest with changes put over it; the later of several changes to one URL (by fetched_at) wins."""
     both = manifest.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))

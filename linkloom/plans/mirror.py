@@ -17,7 +17,7 @@ from linkloom.functions import url as U
 from linkloom.operators import frontier, links, manifest, rewrite, scope
 from linkloom.operators.scan import parse_robots
 from linkloom.session import cut
-from linkloom.sources.files import inside, read_files, write_files
+from linkloom.sources.files import hash_files, inside, list_files, read_files, write_files
 from linkloom.sources.responses import find_header, needs_rewriting, route_bodies
 
 MANIFEST, RAW = ".mirror/manifest", ".mirror/raw"
@@ -194,3 +194,25 @@ def read_mirror(spark: SparkSession, folder: str) -> Stored:
     at = folder.rstrip("/")
     raw = read_files(spark, f"{at}/{RAW}", content=True).select(F.concat(F.lit(f"{RAW}/"), "path").alias("raw_path"), "body")
     return Stored(cut(manifest.load_json(spark, f"{at}/{MANIFEST}")), raw, read_files(spark, folder).select("path"))
+
+
+def check_mirror(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What became of the files of a mirror's folder: url, path and verdict of each, hashed where they lie; and one row with the counts and ok.
+
+    An error without a manifest there, as nothing can be checked.
+    """
+    entries = manifest.load_json(spark, f"{folder.rstrip('/')}/{MANIFEST}")
+    checked = cut(manifest.check(entries, hash_files(spark, folder)))
+    return checked, manifest.check_summary(checked)
+
+
+def inspect_mirror(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a mirror's folder holds: files and bytes by kind; one row of entries, skipped, failed, files_on_disk and bytes_on_disk; and the failures.
+
+    Files on disk include the manifest's and the unrewritten bodies, as a walk over the folder finds them.
+    """
+    entries = cut(manifest.load_json(spark, f"{folder.rstrip('/')}/{MANIFEST}"))
+    disk = list_files(spark, folder, hidden=True).agg(F.count(F.lit(1)).alias("files_on_disk"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_on_disk"))
+    n = lambda state: F.count_if(F.col("state") == state).alias(state)
+    counts = entries.agg(F.count(F.lit(1)).alias("entries"), n("skipped"), n("failed"))
+    return manifest.by_kind(entries), counts.crossJoin(F.broadcast(disk)), manifest.failures(entries)  # one row

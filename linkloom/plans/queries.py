@@ -1,6 +1,6 @@
 """The registered queries of the library, each with SQL for the same rows where SQL can express them.
 
-Golden queries run over constant rows; their SQL lists the known answers.  The others read whole tables.
+All read whole tables.  Golden queries give every page one of some cases, whose answers their SQL lists.
 """
 
 from __future__ import annotations
@@ -44,17 +44,19 @@ def _literal(x: object) -> str:
 
 
 def golden(name: str, inputs: str, outputs: str, rows: list[tuple], make: Callable[[], list[Column]]) -> None:
-    """A query over constant rows of inputs (name and kind, by commas) whose outputs are known: rows hold both."""
+    """A query that gives every page one of some cases, by its number: rows hold inputs (name and kind, by commas) and the known outputs."""
     n = len(inputs.split(","))
     names = [x.split()[0] for x in inputs.split(",")] + outputs.split()
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = [c.alias(a) for c, a in zip(make(), outputs.split())]
-        return spark.createDataFrame([r[:n] for r in rows], inputs).select(*names[:n], *made)
+        cases = spark.createDataFrame([(k, *r[:n]) for k, r in enumerate(rows)], f"_case int, {inputs}")
+        given = pages(spark, sf_dir).select("page_id", (F.col("page_id") % len(rows)).cast("int").alias("_case"))
+        return given.join(F.broadcast(cases), "_case").select("page_id", *names[:n], *made)  # some cases
 
     QUERIES[name] = run
-    values = ", ".join("(" + ", ".join(_literal(x) for x in r) + ")" for r in rows)
-    SQL[name] = f"SELECT * FROM (VALUES {values}) AS t({', '.join(names)})"
+    values = ", ".join("(" + ", ".join(_literal(x) for x in (k, *r)) + ")" for k, r in enumerate(rows))
+    SQL[name] = f"SELECT page_id, {', '.join(names)} FROM pages JOIN (VALUES {values}) AS t(i, {', '.join(names)}) ON page_id % {len(rows)} = i"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,16 +602,17 @@ golden("css_scan", "a string", "n first", [('@import "a.css"; .x{b:url(c.png)} /
 golden("robots_parse", "a string", "rules delay", [("User-agent: *\nDisallow: /p/\n\nUser-agent: Loom\nAllow: /p/ok\nCrawl-delay: 1.5\n", 1, 1500), ("", 0, 0)], lambda: [F.size(S.parse_robots("loombot")(A())["rules"]), S.parse_robots("loombot")(A())["crawl_delay_ms"]])
 
 
-def _css_case(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "http://h.com/b/s.css", "b/s.css", "@import \"x.css\"; a{b:url(y.png)} c{d:url(data:,x)}")], "sheet_id int, url string, document_path string, css string")
+def _css_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    css = "@import \"x.css\"; a{b:url(y.png)} c{d:url(data:,x)}"
+    return pages(spark, sf_dir).select("page_id", F.lit("http://h.com/b/s.css").alias("url"), F.lit("b/s.css").alias("document_path"), F.lit(css).alias("css"))
 
 
-@query("SELECT * FROM (VALUES ('http://h.com/b/x.css', 'css'), ('http://h.com/b/y.png', 'other')) AS t(target, hint)")
+@query("SELECT page_id, target, hint FROM pages, (VALUES ('http://h.com/b/x.css', 'css'), ('http://h.com/b/y.png', 'other')) AS t(target, hint)")
 def discover_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.discover_css(_css_case(spark).drop("document_path")).select(U.url_key(F.col("target")).alias("target"), "hint")
+    return L.discover_css(_css_case(spark, sf_dir).drop("document_path")).select("page_id", U.url_key(F.col("target")).alias("target"), "hint")
 
 
-@query("SELECT '@import \"http://h.com/b/x.css\"; a{b:url(y.png)} c{d:url(data:,x)}' AS content, 1::BIGINT AS localised, 1::BIGINT AS absolutised, 1::BIGINT AS untouched")
+@query("SELECT page_id, '@import \"http://h.com/b/x.css\"; a{b:url(y.png)} c{d:url(data:,x)}' AS content, 1::BIGINT AS localised, 1::BIGINT AS absolutised, 1::BIGINT AS untouched FROM pages")
 def rewrite_css(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = M.lenient(spark.createDataFrame([("http://h.com/b/y.png", "b/y.png", "done")], "url string, path string, state string"))
-    return R.rewrite_css(_css_case(spark), known).select("content", "localised", "absolutised", "untouched")
+    return R.rewrite_css(_css_case(spark, sf_dir), known, "page_id").select("page_id", "content", "localised", "absolutised", "untouched")

@@ -13,8 +13,10 @@ from linkloom.operators import manifest as M
 from linkloom.operators import scope as C
 from linkloom.operators.asof import asof_join
 from linkloom.operators.robots import allowed_by_trie
+from linkloom.plans import mirror as W
 from linkloom.plans.queries import _HREFS, _KEY, _MANIFEST, _ORIGIN, _PATH, _QUERY, derived, pages, query
 from linkloom.session import cut, shared_dir
+from linkloom.sources.files import remove_folder, write_files
 from linkloom.sources.store import ManifestStore, Version
 from linkloom.streaming import tracker
 
@@ -130,3 +132,48 @@ def scope_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under thousands of patterns."""
     rows = pages(spark, sf_dir).select("page_id", U.parse(F.col("url")).alias("target"), F.lit("asset").alias("role"), F.lit(0).alias("depth"))
     return C.with_scope(rows, "target", "role", "depth", C.Scope(primary="http://a.example/", exclude=_GLOBS)).select("page_id", "reason")
+
+
+# A mirror's folder with a file for each page, of which some are changed, some cut short and some are gone.
+_DAMAGE = """m AS (SELECT page_id, 'http://site.test/' || page_id AS url, 'd' || page_id % 20 || '/e' || page_id % 3 || '/' || page_id || '.html' AS path, CASE WHEN page_id % 13 = 0 THEN '' ELSE sha256(html) END AS sha256,
+    CASE WHEN page_id % 7 = 1 THEN NULL WHEN page_id % 7 = 2 THEN html || 'x' WHEN page_id % 7 = 3 THEN left(html, 10) ELSE html END AS body, html, page_id % 11 = 5 AS failed FROM pages),
+    c AS (SELECT url, path, CASE WHEN body IS NULL THEN 'missing' WHEN sha256 = '' THEN 'unverifiable' WHEN body != html THEN 'corrupted' ELSE 'verified' END AS verdict FROM m WHERE NOT failed)"""
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> str:
+    i = F.col("page_id")
+    path = F.concat(F.lit("d"), (i % 20).cast("string"), F.lit("/e"), (i % 3).cast("string"), F.lit("/"), i.cast("string"), F.lit(".html"))
+    body = F.when(i % 7 == 2, F.concat("html", F.lit("x"))).when(i % 7 == 3, F.substring("html", 1, 10)).otherwise(F.col("html"))
+    rows = pages(spark, sf_dir).select("page_id", F.concat(F.lit("http://site.test/"), i.cast("string")).alias("url"), path.alias("path"), "html", F.encode(body, "UTF-8").alias("body"))
+    folder = _folder(spark, "mirror")
+    write_files(rows.where("page_id % 7 != 1"), folder)
+    entries = rows.select(
+        "url", "path", F.when(i % 13 == 0, "").otherwise(F.sha2(F.encode("html", "UTF-8"), 256)).alias("sha256"), F.octet_length("html").cast("long").alias("size"),
+        F.when(i % 11 == 5, "failed").otherwise("done").alias("state"), F.lit("html").alias("kind"),
+    )
+    M.save_json(M.lenient(entries), f"{folder}/{W.MANIFEST}")
+    return folder
+
+
+@query(f"WITH {_DAMAGE} SELECT url, path, verdict FROM c")
+def folder_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.check_mirror(spark, _damaged(spark, sf_dir))[0]
+
+
+@query(f"""WITH {_DAMAGE} SELECT count_if(verdict = 'verified')::BIGINT AS verified, count_if(verdict = 'missing')::BIGINT AS missing, count_if(verdict = 'corrupted')::BIGINT AS corrupted,
+    count_if(verdict = 'unverifiable')::BIGINT AS unverifiable, count_if(verdict IN ('missing', 'corrupted')) = 0 AS ok FROM c""")
+def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.check_mirror(spark, _damaged(spark, sf_dir))[1]
+
+
+@query(f"""WITH {_DAMAGE} SELECT count(*) AS entries, 0::BIGINT AS skipped, count_if(failed)::BIGINT AS failed, count_if(NOT failed)::BIGINT AS files, (sum(strlen(html)) FILTER (NOT failed))::BIGINT AS bytes,
+    count(body)::BIGINT AS files_on_disk, sum(strlen(body))::BIGINT AS bytes_on_disk FROM m""")
+def folder_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mirror's entries and files by a walk over its folder, without the library's own notes."""
+    folder = _damaged(spark, sf_dir)
+    kinds, counts, _ = W.inspect_mirror(spark, folder)
+    own = W.list_files(spark, f"{folder}/.mirror", hidden=True).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    both = counts.crossJoin(F.broadcast(kinds.select("files", "bytes"))).crossJoin(F.broadcast(own))  # one row each
+    out = cut(both.select("entries", "skipped", "failed", "files", "bytes", (F.col("files_on_disk") - F.col("n")).alias("files_on_disk"), (F.col("bytes_on_disk") - F.col("b")).alias("bytes_on_disk")))
+    remove_folder(spark, folder)
+    return out
