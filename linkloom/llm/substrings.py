@@ -14,8 +14,8 @@ anchor.  So a repeated window can only be found among segments of one anchor:
   against it: backward search over a wavelet matrix gives matching statistics, and ranges at or above the threshold are looked up
   for their earliest place.  It reports the intervals that repeat at the content's first place; at its later places all of it does;
 * an anchor with more than `max_contents` contents, such as that at the edge of a passage that a third of all texts hold, would
-  make a shard too large.  Its windows are dealt once more, by their outer words, and go to shards of
-  their own as contents of one window each, after those whose outer words occur once are let go.
+  make a shard too large.  Its windows are contents of their own then; those whose outer words, or whose
+  words, occur once are let go, and the others are dealt by all their words, so a shard has no group that grows.
 
 Equality is that of 64-bit word hashes and of 128 bits for contents.
 
@@ -161,10 +161,10 @@ def _contents(segs: DataFrame) -> DataFrame:
     return segs.groupBy("m", "c").agg(first, F.count(F.lit(1)).alias("times"))
 
 
-def _searched(parts: DataFrame, p: Passages) -> DataFrame:
-    """shard_matches over m, c, doc_id, start, times, n_words and words, with shards of about shard_words."""
+def _searched(parts: DataFrame, p: Passages, *by: str) -> DataFrame:
+    """shard_matches over m, c, doc_id, start, times, n_words and words, with shards of about shard_words, dealt by some of these."""
     total = parts.agg(F.sum("n_words")).first()[0] or 0
-    shard = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-total // p.shard_words)))).alias("shard")
+    shard = F.pmod(F.xxhash64(*by), F.lit(max(1, -(-total // p.shard_words)))).alias("shard")
     return parts.drop("n_words").select("*", shard).groupBy("shard").applyInArrow(lambda g: shard_matches(g, p), "m long, c long, own array<struct<start:int,stop:int>>")
 
 
@@ -212,7 +212,7 @@ def repeated_stretches(rows: DataFrame, p: Passages) -> DataFrame:
 
     texts = some.join(wanted, (F.col("doc_id") == F.col("w_id")) & (F.col("row") == F.col("w_row")))
     parts = written(map_texts(texts.select("doc_id", "row", "text", "segs"), content, "window boolean, m long, c long, doc_id long, row long, start int, times long, n_words int, words binary"))
-    usual = _searched(parts.where("not window").drop("window", "row"), p)
+    usual = _searched(parts.where("not window").drop("window", "row"), p, "m")
     out = _stretches(met, contents, usual, p)
     if large.isEmpty():
         return out
@@ -220,9 +220,10 @@ def repeated_stretches(rows: DataFrame, p: Passages) -> DataFrame:
     windows = parts.where("window").withColumn("n", F.lit(1))
     shared = windows.groupBy("m").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
     windows = written(windows.join(shared, "m"))
-    apart = written(_contents(windows))
+    # A window that occurs once matches nothing; others are dealt each by itself, so that no outer words bring many together.
+    apart = written(_contents(windows).where("times > 1"))
     worded = windows.join(apart.select("m", "c", "first", F.col("times").alias("seen")), ["m", "c"]).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("row") == F.col("first.row")))
-    found = _searched(worded.select("m", "c", "doc_id", "start", F.col("seen").alias("times"), "n_words", "words"), p)
+    found = _searched(worded.select("m", "c", "doc_id", "start", F.col("seen").alias("times"), "n_words", "words"), p, "m", "c")
     return out.unionAll(_stretches(met, contents, copies, p)).unionAll(_stretches(windows.select("doc_id", "row", "start", "n", "m", "c"), apart, found, p))
 
 

@@ -99,6 +99,25 @@ def test_substrings_at_a_shared_passage(spark, max_contents):
     assert sorted(tuple(r) for r in substrings.substring_dedup(docs, substrings.Passages(max_contents=max_contents)).collect()) == passages(rows)
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_a_line_with_a_name_in_it_fills_no_shard(spark, monkeypatch, copies):
+    before, after = " ".join(f"a{k}" for k in range(30)), " ".join(f"z{k}" for k in range(30))
+    rows = [(k * copies + j, f"u{k}_{j} {before} name{k} {after} v{k}_{j}", None) for k in range(150) for j in range(copies)]
+    p, largest = substrings.Passages(max_contents=5, shard_words=400), []
+    searched = substrings._searched
+
+    def watched(parts, p, *by):
+        shards = max(1, -(-(parts.agg(F.sum("n_words")).first()[0] or 0) // p.shard_words))
+        dealt = parts.groupBy(F.pmod(F.xxhash64(*by), F.lit(shards)).alias("shard")).agg(F.sum("n_words").alias("n"))
+        largest.append(dealt.agg(F.max("n")).first()[0] or 0)
+        return searched(parts, p, *by)
+
+    monkeypatch.setattr(substrings, "_searched", watched)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in substrings.substring_dedup(df, p).collect()) == passages(rows)
+    assert len(largest) == 2 and largest[1] < 2 * p.shard_words
+
+
 def test_substrings_without_ids(spark):
     """Rows without an id meet by their text as well, not all with all."""
     docs = spark.createDataFrame([(None, " ".join(f"w{k}" for k in range(i, i + 40))) for i in range(60)], "doc_id long, text string")
