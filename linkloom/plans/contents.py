@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +128,8 @@ def mirror_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts that robots.txt and scope refuse, and one that is taken, with how many pages it leads to in one step."""
     given = cut(site(spark, sf_dir))
     s = C.Scope(max_depth=1, exclude=("**/p/1",), max_files=1 << 40, max_total_size=1 << 60, download_assets=False)
-    reached = [W.reach(W.resources(given, s), given, f"{_SITE}{at}", s, "linkloom") for at in ("/the/first", "/p/1")]
+    taken = W.resources(given, s)
+    reached = [W.reach(taken, given, at, replace(s, primary=at), "linkloom") for at in (f"{_SITE}/the/first", f"{_SITE}/p/1")]
     told = [r.select(F.col("url").alias("start"), "depth", F.when(F.col("reason").isNull(), "done").otherwise("skipped").alias("state"), F.col("reason").alias("note")) for r in reached]
     listed = W.list_urls(given, f"{_SITE}/p/2", s).where(f"url like '{_SITE}/p/%' and url != '{_SITE}/p/2'")
     n = listed.agg(F.count(F.lit(1)).cast("string").alias("note"))
