@@ -13,6 +13,7 @@ from linkloom.operators import manifest as M
 from linkloom.operators import scope as C
 from linkloom.operators.asof import asof_join
 from linkloom.operators.robots import allowed_by_trie
+from linkloom.operators.seen import Seen
 from linkloom.plans import mirror as W
 from linkloom.plans.queries import _HREFS, _KEY, _MANIFEST, _ORIGIN, _PATH, _QUERY, derived, pages, query
 from linkloom.session import cut, shared_dir
@@ -177,3 +178,13 @@ def folder_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut(both.select("entries", "skipped", "failed", "files", "bytes", (F.col("files_on_disk") - F.col("n")).alias("files_on_disk"), (F.col("bytes_on_disk") - F.col("b")).alias("bytes_on_disk")))
     remove_folder(spark, folder)
     return out
+
+
+@query("SELECT url FROM pages GROUP BY url HAVING bool_and(page_id % 4 > 1)")
+def seen_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a third round over all pages' URLs finds new behind two that took half of the pages, met through the filter."""
+    given = pages(spark, sf_dir).select("url", "page_id")
+    took = lambda n: cut(given.where(F.col("page_id") % 4 < n).select("url").distinct())
+    seen = Seen(took(1), filter_from=0)
+    seen.add(cut(seen.new(took(2))))
+    return seen.new(took(4))
