@@ -193,7 +193,7 @@ def read_mirror(spark: SparkSession, folder: str) -> Stored:
     """What write_mirror left in a folder."""
     at = folder.rstrip("/")
     raw = read_files(spark, f"{at}/{RAW}", content=True).select(F.concat(F.lit(f"{RAW}/"), "path").alias("raw_path"), "body")
-    return Stored(cut(manifest.load_json(spark, f"{at}/{MANIFEST}")), raw, read_files(spark, folder).select("path"))
+    return Stored(cut(manifest.load_json(spark, f"{at}/{MANIFEST}")), raw, list_files(spark, folder).select("path"))
 
 
 def check_mirror(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -12,10 +12,11 @@ from linkloom.operators import links as L
 from linkloom.operators import manifest as M
 from linkloom.operators import scope as C
 from linkloom.operators.asof import asof_join
+from linkloom.operators.chunks import chunk_references, discover_chunks, split_bodies
 from linkloom.operators.robots import allowed_by_trie
 from linkloom.operators.seen import Seen
 from linkloom.plans import mirror as W
-from linkloom.plans.queries import _HREFS, _KEY, _MANIFEST, _ORIGIN, _PATH, _QUERY, derived, pages, query
+from linkloom.plans.queries import _HREFS, _KEY, _MANIFEST, _ORIGIN, _PATH, _QUERY, SQL, derived, pages, query
 from linkloom.session import cut, shared_dir
 from linkloom.sources.files import remove_folder, write_files
 from linkloom.sources.store import ManifestStore, Version
@@ -188,3 +189,22 @@ def seen_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = Seen(took(1), filter_from=0)
     seen.add(cut(seen.new(took(2))))
     return seen.new(took(4))
+
+
+@query(f"SELECT DISTINCT url, target, role, hint FROM (SELECT p.url, t.* EXCLUDE page_id FROM ({SQL['discover_links']}) AS t JOIN pages AS p USING (page_id))")
+def discover_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages out of chunks of 60 to 159 bytes, whose cuts fall anywhere: in tags, values and characters."""
+    first = pages(spark, sf_dir).groupBy("url").agg(F.min_by("html", "page_id").alias("body"))
+    edges = discover_chunks(split_bodies(first, 60 + F.pmod(F.xxhash64("url"), F.lit(100))))
+    return edges.select("url", U.url_key(F.col("target")).alias("target"), "role", "hint").distinct()
+
+
+@query("""WITH s AS (SELECT page_id, encode('@import "i' || page_id || '.css"; /* ' || url || ' */ b { background: url( p' || page_id || '.png ) }') AS css FROM pages)
+    SELECT page_id, 9::BIGINT AS starts, strlen(page_id::VARCHAR) + 5 AS n_bytes, 'css' AS hint, 'i' || page_id || '.css' AS ref FROM s
+    UNION ALL SELECT page_id, octet_length(css) - strlen(page_id::VARCHAR) - 9, strlen(page_id::VARCHAR) + 5, 'other', 'p' || page_id || '.png' FROM s""")
+def sheet_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style sheets made of all pages' numbers and URLs, in chunks of seven bytes; offsets are those of the whole sheet."""
+    i = F.col("page_id").cast("string")
+    css = F.concat(F.lit('@import "i'), i, F.lit('.css"; /* '), F.col("url"), F.lit(" */ b { background: url( p"), i, F.lit(".png ) }"))
+    found = chunk_references(split_bodies(pages(spark, sf_dir).select("page_id", css.alias("body")), 7), "page_id", sheets=True)
+    return found.select("page_id", F.col("offset").alias("starts"), F.col("length").alias("n_bytes"), "hint", "ref")

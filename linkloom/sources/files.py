@@ -177,6 +177,32 @@ def hash_files(spark: SparkSession, folder: str, hidden: bool = False, tasks: in
     return listed.repartition(tasks, "path").mapInArrow(run, "path string, size long, sha256 string")
 
 
+def read_chunks(spark: SparkSession, folder: str, size: int = 1 << 20, hidden: bool = False, tasks: int = 64) -> DataFrame:
+    """path, chunk and bytes of all files under a folder, in chunks of up to size bytes that tasks read one at a time.
+
+    An empty file is one empty chunk; a file that is gone by then is left out.
+    """
+    store, root = _hadoop(spark, folder)
+    top_uri = store.makeQualified(root).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = open_store(top_uri)
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                try:
+                    stream = files.open_input_stream(f"{top}/{name}", compression=None)
+                except FileNotFoundError:
+                    continue
+                with stream as f:
+                    n, chunk = 0, f.read(size)
+                    while chunk or not n:
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int32()), pa.array([chunk], pa.binary())], names=["path", "chunk", "bytes"])
+                        n, chunk = n + 1, f.read(size)
+
+    listed = list_files(spark, folder, hidden, tasks).select("path")
+    return listed.repartition(tasks, "path").mapInArrow(run, "path string, chunk int, bytes binary")
+
+
 def sorted_files(files: DataFrame) -> DataFrame:
     """Files in the order of their paths."""
     return files.orderBy("path")
