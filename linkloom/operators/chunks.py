@@ -16,6 +16,7 @@ from linkloom.functions import url as U
 from linkloom.functions.text import computed, let
 from linkloom.operators.links import effective_base
 from linkloom.operators.scan import CssScanner, HtmlScanner, nested
+from linkloom.session import cut
 
 _FIELDS = "link int, offset long, length long, role string, hint string, part int, at int, size int, ref string, descriptor string"
 _ROWS = 4096
@@ -26,8 +27,8 @@ def split_bodies(rows: DataFrame, size: int | Column, body: str = "body") -> Dat
     keep = [c for c in rows.columns if c != body]
     whole, step = F.encode(F.col(body), "UTF-8") if dict(rows.dtypes)[body] == "string" else F.col(body), (F.lit(size) if isinstance(size, int) else size).cast("int")
     last = F.floor(F.greatest(F.octet_length("_whole") - 1, F.lit(0)) / F.col("_step")).cast("int")
-    cut = rows.select(*keep, whole.alias("_whole"), step.alias("_step")).where("_whole is not null")
-    dealt = cut.select(*keep, "_whole", "_step", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    given = rows.select(*keep, whole.alias("_whole"), step.alias("_step")).where("_whole is not null")
+    dealt = given.select(*keep, "_whole", "_step", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     return dealt.select(*keep, "chunk", F.substring("_whole", F.col("chunk") * F.col("_step") + 1, F.col("_step")).alias("bytes"))
 
 
@@ -103,6 +104,8 @@ def discover_chunks(chunks: DataFrame, sheets: bool = False) -> DataFrame:
     chunks: url, chunk and bytes.  References come out before a page's base is known, so they meet it by url.
     """
     found = chunk_references(chunks, "url", sheets)
+    if not sheets:
+        found = cut(found)  # read twice; light rows, where a second scan would read all bodies
     page = U.parse(F.col("url"))
     if sheets:
         based = computed(found, "_base", page)
