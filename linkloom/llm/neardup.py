@@ -4,12 +4,18 @@ Texts are sets of five-word shingles (a shorter text is one shingle).  Equal set
 `trees` sequences of `depth` MinHash values, each a path in one prefix trie; a path is packed into a long, so that order is
 the trie's order and a prefix is a shift.
 
-The search begins at whole paths.  In each node, a run of the sorted trie, every two texts that meet there are held against
+Every text's search begins at whole paths.  In each node, a run of the sorted trie, the texts that meet there are held against
 each other by size and by the agreement of their whole signatures, each pair in the first tree where it meets.  From the
-similarities that the signatures show, the recall of this prefix length is measured: a pair of similarity s meets with
-probability p = 1 - (1 - s^d)^trees, so each found pair stands for 1 / p pairs.  Prefixes are shortened a level at a time until
-the mean recall over linked texts reaches the target; with links of fewer than `evidence` texts, or short of the target, they
-are shortened to the length at which even pairs at the threshold meet with the target's probability.
+similarities that the signatures show, a text's own recall is measured: a pair of similarity s meets with probability
+p = 1 - (1 - s^d)^trees, so each found pair stands for 1 / p pairs, and one more text at the threshold is taken to be there to be
+missed.  A text ends at the prefix where its recall reaches the target; all others go on with prefixes shorter by a level,
+against all texts, until even pairs at the threshold meet with the target's probability.  A pair is found if it meets at the
+shorter of its texts' last prefixes.
+
+Texts that meet more than `node_docs` others in a node may be of one template.  Their shingles are counted: a text of which more
+than about a ninth is in no other such text is closed.  Of two closed texts neither has enough shingles to share for the
+threshold, whatever their sizes, so only pairs with an open text are listed, and texts of a template with parts of their own
+cost no square.  This loses no link: a text outside of such nodes is open.
 
 Pairs that pass are plausible; components of them are the clusters, whose texts' shingles are brought together.  A cluster
 of more than `block_docs` texts is cut by rank into blocks, and a text goes only to those pairs of blocks in which it has a plausible
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -49,11 +56,12 @@ class Forest:
     trees: int = 16
     depth: int = 6
     target_recall: float = 0.999
-    evidence: int = 1000
     node_docs: int = 256
     block_docs: int = 256
     block_shingles: int = 500_000
+    count_shingles: int = 1_000_000
     broadcast_rows: int = 500_000
+    broadcast_bytes: int = 64 << 20
 
     @property
     def shortest(self) -> int:
@@ -138,11 +146,10 @@ def signed(docs: DataFrame, f: Forest, text: str = "text", doc_id: str = "doc_id
 
 
 class Signed:
-    """Texts of a task, by their signatures."""
+    """Texts of a task, by their signatures; last: the length of the last prefix of each."""
 
-    def __init__(self, paths: np.ndarray, n: np.ndarray, f: Forest, depth: int):
-        self.f, self.n, self.depth = f, n, depth
-        self.prefix = paths >> (_BITS * (f.depth - depth))
+    def __init__(self, paths: np.ndarray, n: np.ndarray, f: Forest, last: np.ndarray):
+        self.f, self.n, self.paths, self.last = f, n, paths, last
         steps = _BITS * np.arange(f.depth)
         self.values = ((paths[:, :, None] >> steps) & ((1 << _BITS) - 1)).astype(np.uint16).reshape(len(paths), -1)
 
@@ -150,7 +157,8 @@ class Signed:
         """Which pairs meet, first in that tree if one is given, with sizes and signatures that let them reach the threshold; and the agreement of those."""
         p = self.f.threshold_percent
         keep = np.flatnonzero((100 * self.n[a] >= p * self.n[b]) & (100 * self.n[b] >= p * self.n[a]))
-        met = self.prefix[a[keep]] == self.prefix[b[keep]]
+        rest = _BITS * (self.f.depth - np.minimum(self.last[a[keep]], self.last[b[keep]]))
+        met = (self.paths[a[keep]] ^ self.paths[b[keep]]) >> rest[:, None] == 0
         keep = keep[met.any(1) if tree is None else met.argmax(1) == tree[keep]]
         agree = (self.values[a[keep]] == self.values[b[keep]]).sum(1)
         good = agree >= self.f.agreement
@@ -190,16 +198,25 @@ _NODE = ["tree", "prefix", "i", "j"]
 
 
 def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: Callable[[pa.Table, Signed, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """judge over the plausible pairs of the forest at a depth: it gets the texts of whole nodes, and the pairs with their agreement.
+    """judge over the plausible pairs of the forest at a depth that have an asking and an open text: it gets the texts of whole nodes, and the pairs with their agreement.
 
-    mates: vertex, tree, n, paths and the columns to carry.  A node of many texts is cut into pairs of blocks.
+    mates: vertex, tree, n, paths, closed, asking and the columns to carry.  The texts of a node of many are cut into blocks by their kind,
+    and only blocks that have pairs to list meet.
     """
-    rows = mates.withColumn("prefix", F.shiftright(F.get("paths", F.col("tree")), _BITS * (f.depth - depth)))
-    blocks = F.ceil(F.count(F.lit(1)) / f.node_docs).cast("int").alias("blocks")
-    nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), blocks).where("met > 1").drop("met")
-    own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
-    dealt = rows.join(nodes, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex", "n", "paths", *carry)
+    # Kinds in an order in which the kinds that each meets are neighbours: open ones that don't ask, open and asking, closed and asking, closed ones that don't ask.
+    kind = F.when(F.col("closed"), F.when(F.col("asking"), 2).otherwise(3)).otherwise(F.when(F.col("asking"), 1).otherwise(0))
+    rows = mates.withColumns({"prefix": F.shiftright(F.get("paths", F.col("tree")), _BITS * (f.depth - depth)), "kind": kind})
+    sizes = [F.ceil(F.count_if(F.col("kind") == k) / f.node_docs).cast("int") for k in range(4)]
+    ends = F.array(*[sum(sizes[:k], F.lit(0)) for k in range(5)]).alias("ends")
+    some = (F.count_if(F.col("kind") == 1) > 0) | ((F.count_if(F.col("kind") == 0) > 0) & (F.count_if(F.col("kind") == 2) > 0))
+    nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), some.alias("some"), ends).where("met > 1 and some").select("tree", "prefix", "ends", (F.col("met") > f.node_docs).alias("large"))
+    start, stop = F.get("ends", F.col("kind")), F.get("ends", F.col("kind") + 1)
+    own = F.when(F.col("large"), start + F.pmod(F.xxhash64("vertex"), stop - start)).otherwise(0).cast("int")
+    low = F.element_at(F.expr("array(ends[1], 0, 0, ends[1])"), F.col("kind") + 1)
+    high = F.element_at(F.expr("array(ends[3], ends[4], ends[2], ends[2])"), F.col("kind") + 1)
+    others = F.when(~F.col("large"), F.array(F.lit(0))).when(high > low, F.sequence(low, high - 1))
+    dealt = rows.join(nodes, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "kind", "vertex", "n", "paths", *carry)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,11 +238,13 @@ def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: C
             keys = np.stack([t.column(k).to_numpy() for k in _NODE])
             group = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])
             paths = t.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)
-            texts = Signed(paths, t.column("n").to_numpy(), f, depth)
-            own = t.column("own").to_numpy()
+            texts = Signed(paths, t.column("n").to_numpy(), f, np.full(len(paths), depth))
+            own, kind = t.column("own").to_numpy(), t.column("kind").to_numpy()
+            closed, idle = kind > 1, (kind == 0) | (kind == 3)
             found = []
             for a, b in pairs_within(group):
                 across = (keys[2][a] == keys[3][a]) | (own[a] != own[b])
+                across &= ~(closed[a] & closed[b]) & ~(idle[a] & idle[b])
                 a, b = a[across], b[across]
                 at, agree = texts.plausible(a, b, keys[0][a])
                 found.append((a[at], b[at], agree))
@@ -238,8 +257,14 @@ def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: C
     return dealt.repartition(*_NODE).sortWithinPartitions(*_NODE).mapInArrow(run, schema)
 
 
-def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, int]:
-    """Edges that hold clusters of plausible pairs together, and the depth at which the forest reached the target."""
+def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, DataFrame]:
+    """Edges that hold clusters of plausible pairs together, and the last prefix (vertex, last) of every text that ended before the shortest.
+
+    mates: vertex, tree, n, paths and closed; without closed all are open.
+    """
+    spark = mates.sparkSession
+    if "closed" not in mates.columns:
+        mates = mates.withColumn("closed", F.lit(False))
 
     def judge(t: pa.Table, texts: Signed, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
         vertex = t.column("vertex").to_numpy()
@@ -247,7 +272,7 @@ def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, int]:
         a, b = at[a], at[b]
         s = agree / texts.values.shape[1]
         likely = s >= f.threshold_percent / 100
-        weight = likely / meeting(s, texts.depth, f)
+        weight = likely / meeting(s, int(texts.last[0]), f)
         n = len(names)
         found = np.bincount(a, likely, n) + np.bincount(b, likely, n)
         stands = np.bincount(a, weight, n) + np.bincount(b, weight, n)
@@ -255,16 +280,44 @@ def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, int]:
         some = np.unique(np.concatenate([a, b]))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[some], names[root[some]], found[some], stands[some])], names=["vertex", "other", "found", "stands"])
 
-    depth = f.depth
-    while True:
-        edges = written(in_nodes(mates, f, depth, [], judge, "vertex long, other long, found double, stands double"))
-        if depth <= f.shortest:
-            return edges, depth
-        texts = edges.groupBy("vertex").agg(F.sum("found").alias("found"), F.sum("stands").alias("stands")).where("found > 0")
-        n, recall = texts.agg(F.count(F.lit(1)), F.avg(F.col("found") / F.col("stands"))).first()
-        if n >= f.evidence and recall >= f.target_recall:
-            return edges, depth
-        depth -= 1
+    edges, ended = [], []
+    ends = spark.createDataFrame([], "vertex long, last int")
+    for depth in range(f.depth, f.shortest - 1, -1):
+        asking = mates.join(ends, "vertex", "left").withColumn("asking", F.col("last").isNull()) if ended else mates.withColumn("asking", F.lit(True))
+        edges.append(written(in_nodes(asking, f, depth, [], judge, "vertex long, other long, found double, stands double")))
+        if depth > f.shortest:
+            missed = 1 / meeting(f.threshold_percent / 100, depth, f) - 1
+            own = edges[-1].groupBy("vertex").agg(F.sum("found").alias("found"), F.sum("stands").alias("stands")).where(F.col("found") >= f.target_recall * (F.col("stands") + missed)).where("found > 0")
+            ended.append(written(own.join(ends, "vertex", "left_anti").select("vertex", F.lit(depth).alias("last"))))
+            ends = reduce(DataFrame.unionAll, ended)
+    return reduce(DataFrame.unionAll, edges).select("vertex", "other"), ends
+
+
+def closed_texts(crowded: DataFrame, content: Callable[[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch], str], DataFrame], text: str, f: Forest) -> DataFrame:
+    """vertex of the crowded texts (vertex, n) that have too many shingles of their own to be linked with each other.
+
+    Linked texts of sizes x and y share at least p (x + y) / (100 + p) shingles, so one of them shares 2 p / (100 + p) of its own.
+    content: the documents of texts, run through a function.
+    """
+    total = crowded.agg(F.sum("n")).first()[0]
+    segments = -(-total // f.count_shingles)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        g, first = shingle_sets(batch.column(text), f.shingle)
+        vertex, _ = set_hashes(g, first)
+        doc = np.repeat(np.arange(len(vertex)), np.diff(first))
+        segment = ((g >> U(32)) * U(segments) >> U(32)).astype(np.int32)  # ascending in a text, as its shingles are
+        lead = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1])])) if len(g) else np.zeros(0, np.int64)
+        runs = pa.ListArray.from_arrays(pa.array(np.append(lead, len(g)).astype(np.int32)), pa.array(g.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(vertex[doc[lead]]), pa.array(segment[lead]), runs], names=["holder", "segment", "shingles"])
+
+    # One shuffle of the hashes, in runs; they are counted where they lie.  Texts that come along by an equal id only make shingles count as shared.
+    tasks = max(segments, int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = content(crowded, run, "holder long, segment int, shingles array<long>").repartition(tasks, "segment").select("segment", "holder", F.explode("shingles").alias("shingle"))
+    alone = rows.groupBy("segment", "shingle").agg(F.min("holder").alias("holder"), F.max("holder").alias("most")).where("holder = most")
+    own = alone.groupBy("holder").agg(F.count(F.lit(1)).alias("own"))
+    p = f.threshold_percent
+    return crowded.join(own, F.col("vertex") == F.col("holder")).where((100 + p) * (F.col("n") - F.col("own")) < 2 * p * F.col("n")).select("vertex")
 
 
 def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int, met: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +359,7 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, percent: int, met: Callab
     return links, joined(n, a, b)
 
 
-def block_tasks(mates: DataFrame, cluster: DataFrame, sets: DataFrame, f: Forest, depth: int) -> DataFrame:
+def block_tasks(mates: DataFrame, cluster: DataFrame, sets: DataFrame, f: Forest, ends: DataFrame) -> DataFrame:
     """root, i, j, own and vertex: the texts of each pair of blocks of each cluster; clusters of one block have i = j = 0."""
     member = cluster.join(sets.select(F.col("h1").alias("vertex"), "n"), "vertex")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / f.block_docs), F.ceil(F.sum("n") / f.block_shingles)).cast("int")
@@ -329,7 +382,11 @@ def block_tasks(mates: DataFrame, cluster: DataFrame, sets: DataFrame, f: Forest
         return pa.RecordBatch.from_arrays([pa.array(root[text]), pa.array(block[text].astype(np.int32)), pa.array(vertex[text]), partners], names=["root", "own", "vertex", "partners"])
 
     # A row for each text of a node, with the blocks of its partners there; at most trees of them meet for each text.
-    told = in_nodes(mates.join(ranked, "vertex"), f, depth, ["root", "block"], judge, "root long, own int, vertex long, partners array<int>")
+    members = mates.join(ranked, "vertex").join(ends, "vertex", "left").withColumn("last", F.coalesce("last", F.lit(f.shortest)))
+    told = reduce(DataFrame.unionAll, [
+        in_nodes(members.where(F.col("last") >= d).withColumn("asking", F.col("last") == d), f, d, ["root", "block"], judge, "root long, own int, vertex long, partners array<int>")
+        for d in range(f.depth, f.shortest - 1, -1)
+    ])
     told = told.groupBy("root", "own", "vertex").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).withColumn("other", F.explode("partners"))
     return small.unionByName(told.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vertex"))
 
@@ -341,12 +398,27 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
     # Texts that meet no other at the shortest prefix meet none at a longer one.
     drop = _BITS * (f.depth - f.shortest)
     nodes = sets.select(F.col("h1").alias("vertex"), F.posexplode("paths").alias("tree", "path")).select("vertex", "tree", F.shiftright("path", drop).alias("prefix"))
-    shared = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    met = nodes.join(shared, ["tree", "prefix"]).select("vertex", "tree")
-    mates = written(met.join(sets.select(F.col("h1").alias("vertex"), "n", "paths"), "vertex"))
-    edges, depth = search(mates, f)
+    shared = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("tree", "prefix", (F.col("met") > f.node_docs).alias("crowded"))
+    met = written(nodes.join(shared, ["tree", "prefix"]).select("vertex", "tree", "crowded"))
+
+    def content(texts: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+        """run over one document of each set; documents that share its id come along."""
+        ids = written(texts.join(sets.select(F.col("h1").alias("vertex"), F.col("least_id").alias("w_id")), "vertex").select("w_id").distinct())
+        n, size = ids.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("w_id").cast("string")))).first()
+        few = n <= f.broadcast_rows and (size or 0) <= f.broadcast_bytes  # else the texts are shuffled to the ids
+        chosen = docs.select(doc_id, text).join(F.broadcast(ids) if few else ids, F.col(doc_id).eqNullSafe(F.col("w_id")), "left_semi")
+        return map_texts(chosen.select(text), run, schema, text)
+
+    mates = met.join(sets.select(F.col("h1").alias("vertex"), "n", "paths"), "vertex")
+    crowded = written(mates.where("crowded").select("vertex", "n").distinct())
+    if crowded.isEmpty():
+        mates = written(mates.drop("crowded").withColumn("closed", F.lit(False)))
+    else:
+        closed = written(closed_texts(crowded, content, text, f)).withColumn("closed", F.lit(True))
+        mates = written(mates.drop("crowded").join(closed, "vertex", "left").withColumn("closed", F.coalesce("closed", F.lit(False))))
+    edges, ends = search(mates, f)
     cluster = components(edges.select(F.col("vertex").alias("a"), F.col("other").alias("b")))
-    tasks = block_tasks(mates, cluster, sets, f, depth).join(sets.select(F.col("h1").alias("vertex"), "h1", "h2", "n", "paths"), "vertex")
+    tasks = block_tasks(mates, cluster, sets, f, ends).join(sets.select(F.col("h1").alias("vertex"), "h1", "h2", "n", "paths"), "vertex").join(ends, "vertex", "left")
 
     # The shingles of the clusters' sets, from one document of each.
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -355,10 +427,7 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         parts = [g[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(parts, pa.binary())], names=["s1", "s2", "shingles"])
 
-    ids = written(cluster.join(sets.select(F.col("h1").alias("vertex"), F.col("least_id").alias("w_id")), "vertex").select("w_id").distinct())
-    few = ids.count() <= f.broadcast_rows  # else the texts are shuffled to the ids
-    chosen = docs.select(doc_id, text).join(F.broadcast(ids) if few else ids, F.col(doc_id).eqNullSafe(F.col("w_id")), "left_semi")
-    content = map_texts(chosen.select(text), run, "s1 long, s2 long, shingles binary", text)
+    told = content(cluster.select("vertex"), run, "s1 long, s2 long, shingles binary")
     percent = f.threshold_percent
 
     def compare(group: pa.Table) -> pa.Table:
@@ -367,7 +436,7 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         sets = [np.frombuffer(group.column("shingles")[int(k)].as_py(), U) for k in at]
         side = group.column("own").to_numpy()[at]
         paths = group.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)[at]
-        texts = Signed(paths, group.column("n").to_numpy()[at], f, depth)
+        texts = Signed(paths, group.column("n").to_numpy()[at], f, group.column("last").fill_null(f.shortest).to_numpy()[at])
         if group.column("i")[0].as_py() != group.column("j")[0].as_py() and len(np.unique(side)) < 2:
             links, root = np.zeros(len(at), np.int64), np.arange(len(at))
         else:
@@ -376,7 +445,7 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         release()
         return pa.table({"vertex": v, "other": v[root], "links": links})
 
-    filled = tasks.join(content, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
+    filled = tasks.join(told, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
     compared = written(filled.groupBy("root", "i", "j").applyInArrow(compare, "vertex long, other long, links long"))
     links = compared.groupBy("vertex").agg(F.sum("links").alias("n_links"))
     roots = components(compared.where("vertex != other").select(F.col("vertex").alias("a"), F.col("other").alias("b")))

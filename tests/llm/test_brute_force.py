@@ -172,28 +172,93 @@ def test_forest_depths():
     assert (rng.binomial(f.trees * f.depth, 0.8, 10**6) >= f.agreement).mean() > 0.9998
 
 
-def test_forest_shortens_prefixes_to_the_measured_recall(spark):
-    """Close copies alone are found at whole paths; texts about the threshold ask for shorter prefixes."""
+def mates_of(docs, f):
+    sets = neardup.signed(docs, f)
+    return sets.select(F.col("h1").alias("vertex"), "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
+
+
+def test_forest_shortens_each_text_to_its_own_recall(spark):
+    """Texts with many close copies end at whole paths; those about the threshold, and those alone, go on, in one corpus."""
     rng = np.random.default_rng(5)
-    depths = {}
-    for changes in (1, 9):
-        rows = []
-        for g in range(150):
-            base = [f"g{g}w{k}" for k in range(500)]
-            rows.append(" ".join(base))
-            for _ in range(2):
-                w = list(base)
-                for k in rng.choice(500, changes, replace=False):
-                    w[k] = f"x{rng.integers(10**9)}"
-                rows.append(" ".join(w))
-        f = neardup.Forest(evidence=100)
-        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-        sets = neardup.signed(docs, f)
-        mates = sets.select(F.col("h1").alias("vertex"), "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
-        depths[changes] = neardup.search(mates, f)[1]
-        got = neardup.near_duplicates(docs, f).groupBy("class_id").count().collect()
-        assert len(got) <= 152
-    assert depths[1] == 6 > depths[9] >= f.shortest
+    rows = []
+    for g, changes in [(g, changes) for g in range(12) for changes in (1, 9)]:
+        base = [f"g{g}c{changes}w{k}" for k in range(500)]
+        for _ in range(14):
+            w = list(base)
+            for k in rng.choice(500, changes, replace=False):
+                w[k] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), changes, " ".join(w)))
+    rows += [(len(rows) + k, 0, " ".join(f"alone{k}w{i}" for i in range(100))) for k in range(5)]
+    f = neardup.Forest()
+    docs = spark.createDataFrame(rows, "doc_id long, changes int, text string")
+    _, ends = neardup.search(mates_of(docs, f), f)
+    last = neardup.signed(docs, f).join(ends, F.col("h1") == F.col("vertex"), "left").select("doc_id", "last").join(docs, "doc_id")
+    mean = {r.changes: r.mean for r in last.groupBy("changes").agg(F.avg(F.coalesce("last", F.lit(f.shortest))).alias("mean")).collect()}
+    assert mean[1] == 6 > mean[9] >= f.shortest == mean[0]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs, f).collect()}
+    assert got == plain_links([(i, t) for i, _, t in rows])
+
+
+def plain_links(rows):
+    """doc_id to its class and number of links, by all pairs; the texts differ."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows for w in [t.split(" ")]}
+    root, links = {i: i for i in sets}, collections.Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: (find(i), links[i]) for i in sets}
+
+
+def template_pages(rng, n, near):
+    """Pages of one template with a similarity of 0.7; the last `near` ones are others with a few more or fewer words of their own."""
+    frame = [f"t{k}" for k in range(165)]
+    rows = [frame + [f"d{i}w{k}" for k in range(35)] for i in range(n)]
+    for i in range(near):
+        of = rows[int(rng.integers(n))]
+        cut = int(rng.integers(1, 26))
+        rows.append(of[: len(of) - cut] + [f"n{i}w{k}" for k in range(int(rng.integers(0, 20)))])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_closed_texts_lose_no_link(spark):
+    """Near copies of pages of a template are found among them, at any size of nodes, and those pages are what all pairs say."""
+    rows = template_pages(np.random.default_rng(8), 120, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_links(rows)
+    assert sum(n > 0 for _, n in want.values()) > 60
+    for f in (neardup.Forest(node_docs=8, count_shingles=3000), neardup.Forest(node_docs=40, broadcast_bytes=0), neardup.Forest()):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs, f).collect()} == want
+
+
+def test_pages_of_a_template_cost_no_square(spark, monkeypatch):
+    """Pages with a similarity of 0.7, none linked: all are closed, and no pair of them is listed."""
+    f = neardup.Forest(node_docs=16)
+    docs = spark.createDataFrame(template_pages(np.random.default_rng(9), 300, 0), "doc_id long, text string")
+    met = neardup.in_nodes
+    dealt = []
+
+    def judge(t, texts, a, b, agree):
+        return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64())], names=["texts"])
+
+    def counted(mates, f, depth, *rest):
+        dealt.append(met(mates, f, depth, [], judge, "texts long").agg(F.sum("texts")).first()[0] or 0)
+        return met(mates, f, depth, *rest)
+
+    monkeypatch.setattr(neardup, "in_nodes", counted)
+    assert neardup.near_duplicates(docs, f).where("n_links > 0 or class_id != doc_id").count() == 0
+    assert dealt == [0, 0, 0]
+    dealt.clear()
+    neardup.search(mates_of(docs, f), f)
+    assert min(dealt) > 100  # without the count of shingles they are listed
 
 
 def test_templates_are_no_cluster(spark):
@@ -202,8 +267,7 @@ def test_templates_are_no_cluster(spark):
     rows = [(i, " ".join(frame + [f"d{i}w{k}" for k in range(70)])) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     f = neardup.Forest()
-    mates = neardup.signed(docs, f).select(F.col("h1").alias("vertex"), "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
-    edges, _ = neardup.search(mates, f)
+    edges, _ = neardup.search(mates_of(docs, f), f)
     assert edges.select("vertex").distinct().count() < 40
     assert neardup.near_duplicates(docs).where("n_links > 0 or class_id != doc_id").count() == 0
 
