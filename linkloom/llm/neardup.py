@@ -17,6 +17,9 @@ than about a ninth is in no other such text is closed.  Of two closed texts neit
 threshold, whatever their sizes, so only pairs with an open text are listed, and texts of a template with parts of their own
 cost no square.  This loses no link: a text outside of such nodes is open.
 
+Texts in nodes of more than `hub_node`, of which some are open, that are like one of them, their hub, are held by what they differ in from it, and their
+links are counted from that, all of them (see hubs.py).  The forest lists no pair of two members of one hub.
+
 Pairs that pass are plausible; components of them are the clusters, whose texts' shingles are brought together.  A cluster
 of more than `block_docs` texts is cut by rank into blocks, and a text goes only to those pairs of blocks in which it has a plausible
 partner.  A task compares exactly the pairs that met in the forest, on whole shingle sets, and returns counts of links and a
@@ -43,6 +46,7 @@ from pyspark.sql.window import Window
 
 from linkloom.llm.common import numbered, written
 from linkloom.llm.components import components
+from linkloom.llm.hubs import links_within, members_of, shared_nodes
 from linkloom.llm.tokens import U, Words, map_texts, mix, ngrams, release, run_hashes, text_buffer
 
 _BITS = 10
@@ -59,6 +63,9 @@ class Forest:
     node_docs: int = 256
     block_docs: int = 256
     block_shingles: int = 500_000
+    hub_node: int = 64
+    hub_docs: int = 8192
+    hub_items: int = 1 << 20
     count_shingles: int = 1_000_000
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 << 20
@@ -198,25 +205,32 @@ _NODE = ["tree", "prefix", "i", "j"]
 
 
 def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: Callable[[pa.Table, Signed, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """judge over the plausible pairs of the forest at a depth that have an asking and an open text: it gets the texts of whole nodes, and the pairs with their agreement.
+    """judge over the plausible pairs of the forest at a depth that have an asking and an open text and aren't of one hub: it gets the texts of whole nodes, and the pairs with their agreement.
 
-    mates: vertex, tree, n, paths, closed, asking and the columns to carry.  The texts of a node of many are cut into blocks by their kind,
-    and only blocks that have pairs to list meet.
+    mates: vertex, tree, n, paths, closed, hub (null: none), asking and the columns to carry.  The texts of a node of many are cut into
+    blocks by their kind, and only blocks that have pairs to list meet.  The members of the hub that most in a node are of are one kind.
     """
     # Kinds in an order in which the kinds that each meets are neighbours: open ones that don't ask, open and asking, closed and asking, closed ones that don't ask.
     kind = F.when(F.col("closed"), F.when(F.col("asking"), 2).otherwise(3)).otherwise(F.when(F.col("asking"), 1).otherwise(0))
     rows = mates.withColumns({"prefix": F.shiftright(F.get("paths", F.col("tree")), _BITS * (f.depth - depth)), "kind": kind})
-    sizes = [F.ceil(F.count_if(F.col("kind") == k) / f.node_docs).cast("int") for k in range(4)]
-    ends = F.array(*[sum(sizes[:k], F.lit(0)) for k in range(5)]).alias("ends")
-    some = (F.count_if(F.col("kind") == 1) > 0) | ((F.count_if(F.col("kind") == 0) > 0) & (F.count_if(F.col("kind") == 2) > 0))
-    nodes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), some.alias("some"), ends).where("met > 1 and some").select("tree", "prefix", "ends", (F.col("met") > f.node_docs).alias("large"))
+    each = rows.groupBy("tree", "prefix", "hub").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)])
+    most = F.max(F.when(F.col("hub").isNotNull(), F.struct("n", "hub", *[f"n{k}" for k in range(4)]))).alias("most")
+    node = each.groupBy("tree", "prefix").agg(F.sum("n").alias("met"), most, *[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    n = [F.col(f"n{k}") - F.coalesce(F.col(f"most.n{k}"), F.lit(0)) for k in range(4)] + [F.coalesce("most.n", F.lit(0))]
+    sizes = [F.ceil(x / f.node_docs).cast("int") for x in n]
+    ends = F.array(*[sum(sizes[:k], F.lit(0)) for k in range(6)]).alias("ends")
+    some = (n[1] > 0) | ((n[0] > 0) & (n[2] > 0)) | ((n[4] > 0) & (n[4] < F.col("met")))
+    nodes = node.where((F.col("met") > 1) & some).select("tree", "prefix", ends, F.col("most.hub").alias("main"), (F.col("met") > f.node_docs).alias("large"))
+    rows = rows.join(nodes, ["tree", "prefix"]).withColumn("kind", F.when(F.col("hub") == F.col("main"), 4).otherwise(F.col("kind")))
     start, stop = F.get("ends", F.col("kind")), F.get("ends", F.col("kind") + 1)
     own = F.when(F.col("large"), start + F.pmod(F.xxhash64("vertex"), stop - start)).otherwise(0).cast("int")
-    low = F.element_at(F.expr("array(ends[1], 0, 0, ends[1])"), F.col("kind") + 1)
-    high = F.element_at(F.expr("array(ends[3], ends[4], ends[2], ends[2])"), F.col("kind") + 1)
-    others = F.when(~F.col("large"), F.array(F.lit(0))).when(high > low, F.sequence(low, high - 1))
-    dealt = rows.join(nodes, ["tree", "prefix"]).withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "kind", "vertex", "n", "paths", *carry)
+    low = F.element_at(F.expr("array(ends[1], 0, 0, ends[1], 0)"), F.col("kind") + 1)
+    high = F.element_at(F.expr("array(ends[3], ends[4], ends[2], ends[2], ends[4])"), F.col("kind") + 1)
+    upto = lambda x, y: F.when(y > x, F.sequence(x, y - 1)).otherwise(F.array().cast("array<int>"))
+    main = F.when(F.col("kind") < 4, upto(F.get("ends", F.lit(4)), F.get("ends", F.lit(5)))).otherwise(F.array().cast("array<int>"))
+    others = F.when(~F.col("large"), F.array(F.lit(0))).otherwise(F.concat(upto(low, high), main))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "closed", "asking", F.coalesce("hub", "vertex").alias("hub"), "vertex", "n", "paths", *carry)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -239,12 +253,11 @@ def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: C
             group = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])
             paths = t.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)
             texts = Signed(paths, t.column("n").to_numpy(), f, np.full(len(paths), depth))
-            own, kind = t.column("own").to_numpy(), t.column("kind").to_numpy()
-            closed, idle = kind > 1, (kind == 0) | (kind == 3)
+            own, hub, closed, asking = (t.column(k).to_numpy() for k in ("own", "hub", "closed", "asking"))
             found = []
             for a, b in pairs_within(group):
                 across = (keys[2][a] == keys[3][a]) | (own[a] != own[b])
-                across &= ~(closed[a] & closed[b]) & ~(idle[a] & idle[b])
+                across &= ~(closed[a] & closed[b]) & (asking[a] | asking[b]) & (hub[a] != hub[b])
                 a, b = a[across], b[across]
                 at, agree = texts.plausible(a, b, keys[0][a])
                 found.append((a[at], b[at], agree))
@@ -260,11 +273,13 @@ def in_nodes(mates: DataFrame, f: Forest, depth: int, carry: list[str], judge: C
 def search(mates: DataFrame, f: Forest) -> tuple[DataFrame, DataFrame]:
     """Edges that hold clusters of plausible pairs together, and the last prefix (vertex, last) of every text that ended before the shortest.
 
-    mates: vertex, tree, n, paths and closed; without closed all are open.
+    mates: vertex, tree, n, paths, closed and hub; without closed all are open, without hub none has one.
     """
     spark = mates.sparkSession
     if "closed" not in mates.columns:
         mates = mates.withColumn("closed", F.lit(False))
+    if "hub" not in mates.columns:
+        mates = mates.withColumn("hub", F.lit(None).cast("long"))
 
     def judge(t: pa.Table, texts: Signed, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
         vertex = t.column("vertex").to_numpy()
@@ -398,8 +413,8 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
     # Texts that meet no other at the shortest prefix meet none at a longer one.
     drop = _BITS * (f.depth - f.shortest)
     nodes = sets.select(F.col("h1").alias("vertex"), F.posexplode("paths").alias("tree", "path")).select("vertex", "tree", F.shiftright("path", drop).alias("prefix"))
-    shared = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("tree", "prefix", (F.col("met") > f.node_docs).alias("crowded"))
-    met = written(nodes.join(shared, ["tree", "prefix"]).select("vertex", "tree", "crowded"))
+    shared = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    met = written(nodes.join(shared, ["tree", "prefix"]).select("vertex", "tree", "met"))
 
     def content(texts: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
         """run over one document of each set; documents that share its id come along."""
@@ -409,23 +424,33 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         chosen = docs.select(doc_id, text).join(F.broadcast(ids) if few else ids, F.col(doc_id).eqNullSafe(F.col("w_id")), "left_semi")
         return map_texts(chosen.select(text), run, schema, text)
 
+    # The shingles of sets, from one document of each.
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        g, first = shingle_sets(batch.column(text), f.shingle)
+        a, b = set_hashes(g, first)
+        parts = [g[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(parts, pa.binary())], names=["s1", "s2", "shingles"])
+
     mates = met.join(sets.select(F.col("h1").alias("vertex"), "n", "paths"), "vertex")
-    crowded = written(mates.where("crowded").select("vertex", "n").distinct())
+    crowded = written(mates.where(F.col("met") > min(f.node_docs, f.hub_node)).groupBy("vertex").agg(F.first("n").alias("n"), F.max("met").alias("most")))
     if crowded.isEmpty():
-        mates = written(mates.drop("crowded").withColumn("closed", F.lit(False)))
+        members = None
+        mates = written(mates.drop("met").withColumns({"closed": F.lit(False), "hub": F.lit(None).cast("long")}))
     else:
-        closed = written(closed_texts(crowded, content, text, f)).withColumn("closed", F.lit(True))
-        mates = written(mates.drop("crowded").join(closed, "vertex", "left").withColumn("closed", F.coalesce("closed", F.lit(False))))
+        large = crowded.where(F.col("most") > f.node_docs).select("vertex", "n")
+        closed = large.select("vertex") if large.isEmpty() else written(closed_texts(large, content, text, f))
+        marks = crowded.select("vertex").join(closed.withColumn("closed", F.lit(True)), "vertex", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+        crowd = mates.where(F.col("met") > f.hub_node).join(marks, "vertex").select("vertex", "tree", F.get("paths", F.col("tree")).alias("path"), (~F.col("closed")).alias("open"))
+        crowd = shared_nodes(crowd.withColumn("node", F.xxhash64("tree", F.shiftright("path", drop))), f)
+        likely = crowd.select("vertex").distinct().join(sets.select(F.col("h1").alias("vertex"), "h1", "h2"), "vertex")
+        told = content(likely.select("vertex"), run, "s1 long, s2 long, shingles binary").join(likely, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
+        members = members_of(crowd, written(told.select("vertex", "shingles").dropDuplicates(["vertex"])), f)
+        marks = written(marks.join(members.select("vertex", "hub"), "vertex", "left"))
+        mates = written(mates.drop("met").join(marks, "vertex", "left").withColumn("closed", F.coalesce("closed", F.lit(False))))
     edges, ends = search(mates, f)
     cluster = components(edges.select(F.col("vertex").alias("a"), F.col("other").alias("b")))
     tasks = block_tasks(mates, cluster, sets, f, ends).join(sets.select(F.col("h1").alias("vertex"), "h1", "h2", "n", "paths"), "vertex").join(ends, "vertex", "left")
-
-    # The shingles of the clusters' sets, from one document of each.
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        g, first = shingle_sets(batch.column(text), f.shingle)
-        a, b = set_hashes(g, first)
-        parts = [g[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(parts, pa.binary())], names=["s1", "s2", "shingles"])
+    tasks = tasks.withColumn("hub", F.col("vertex")) if members is None else tasks.join(members.select("vertex", "hub"), "vertex", "left").withColumn("hub", F.coalesce("hub", "vertex"))
 
     told = content(cluster.select("vertex"), run, "s1 long, s2 long, shingles binary")
     percent = f.threshold_percent
@@ -437,16 +462,24 @@ def classes(docs: DataFrame, f: Forest = Forest(), text: str = "text", doc_id: s
         side = group.column("own").to_numpy()[at]
         paths = group.column("paths").combine_chunks().flatten().to_numpy().reshape(-1, f.trees)[at]
         texts = Signed(paths, group.column("n").to_numpy()[at], f, group.column("last").fill_null(f.shortest).to_numpy()[at])
+        hub = group.column("hub").to_numpy()[at]
+
+        def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            apart = np.flatnonzero(hub[a] != hub[b])
+            return apart[texts.plausible(a[apart], b[apart])[0]]
+
         if group.column("i")[0].as_py() != group.column("j")[0].as_py() and len(np.unique(side)) < 2:
             links, root = np.zeros(len(at), np.int64), np.arange(len(at))
         else:
-            links, root = links_of(sets, side, percent, lambda a, b: texts.plausible(a, b)[0])
+            links, root = links_of(sets, side, percent, met)
         v = h1[at]
         release()
         return pa.table({"vertex": v, "other": v[root], "links": links})
 
     filled = tasks.join(told, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
     compared = written(filled.groupBy("root", "i", "j").applyInArrow(compare, "vertex long, other long, links long"))
+    if members is not None:
+        compared = compared.unionAll(written(links_within(members, f)))
     links = compared.groupBy("vertex").agg(F.sum("links").alias("n_links"))
     roots = components(compared.where("vertex != other").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
     told = links.join(roots, "vertex", "left")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, fmindex, lm, mixing, neardup, pii, quality, queries, secret_scan, substrings, toxicity, warc
+from linkloom.llm import decontaminate, fmindex, hubs, lm, mixing, neardup, pii, quality, queries, secret_scan, substrings, toxicity, warc
 from linkloom.llm.tokens import Words, ngrams, span_hashes, text_buffer
 from linkloom.sources.files import open_store
 
@@ -261,6 +261,65 @@ def test_pages_of_a_template_cost_no_square(spark, monkeypatch):
     assert min(dealt) > 100  # without the count of shingles they are listed
 
 
+def near_copies(rng, n, most, words=150):
+    """Texts with 0 to most words changed of one text; a few words are changed in many of them."""
+    base = [f"w{k}" for k in range(words)]
+    rows = {}
+    while len(rows) < n:
+        w = list(base)
+        for k in rng.choice(words, int(rng.integers(0, most + 1)), replace=False):
+            w[k] = f"x{k}" if k % 3 else f"x{rng.integers(10**9)}"
+        rows.setdefault(" ".join(w), len(rows))
+    return [(i, t) for t, i in rows.items()]
+
+
+def test_near_copies_of_one_text_cost_no_square(spark, monkeypatch):
+    """Links among near copies, from none to many of them, are those of all pairs, while a text is dealt to no partners' blocks."""
+    rows = near_copies(np.random.default_rng(4), 240, 16)
+    want, dealt = plain_links(rows), []
+    assert sum(n for _, n in want.values()) > 240 and sum(n == 0 for _, n in want.values()) > 20
+    tasks = neardup.block_tasks
+
+    def counted(*args):
+        dealt.append(tasks(*args).count())
+        return tasks(*args)
+
+    monkeypatch.setattr(neardup, "block_tasks", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in (neardup.Forest(node_docs=16, block_docs=16), neardup.Forest(hub_node=16, block_docs=16, hub_docs=50, hub_items=2500, broadcast_bytes=0)):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs, f).collect()} == want
+    assert max(dealt) < 240  # all pairs of blocks of 16 are 3600 rows
+
+
+def test_two_hubs_and_a_template(spark):
+    """Groups of near copies with hubs of their own, one made from the other, beside pages of a template."""
+    rng = np.random.default_rng(6)
+    texts = [t for _, t in near_copies(rng, 60, 6)]
+    other = [" ".join(["y"] * 2 + t.split(" ")[20:] + [f"z{k}" for k in range(18)]) for _, t in near_copies(rng, 60, 4)]
+    texts = list(dict.fromkeys(texts + other + [t for _, t in template_pages(rng, 40, 20)]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs, neardup.Forest(node_docs=8, hub_node=8, block_docs=16)).collect()}
+    assert got == plain_links(rows)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.7])
+def test_links_by_differences(share):
+    """Against all pairs of sets, with differences of few and of most members, within a block and across two."""
+    rng = np.random.default_rng(int(10 * share))
+    base = np.arange(60)
+    sets = [np.setxor1d(base, np.flatnonzero(rng.random(100) < rng.random() * share)) for _ in range(70)]
+    items = [np.setxor1d(x, base).astype(np.uint64) for x in sets]
+    w = np.array([100 * len(np.setdiff1d(base, x)) + 80 * len(np.setdiff1d(x, base)) for x in sets])
+    size, room = np.array([len(x) for x in sets]), 20 * len(base)
+    side = rng.integers(0, 2, len(sets))
+    for by in (None, side):
+        edges = [(i, j) for i in range(70) for j in range(i) if (by is None or by[i] != by[j]) and w[i] + w[j] > room and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        links, root = hubs.linked_by_differences(items, size, w, room, 80, by)
+        assert links.tolist() == np.bincount(np.array(edges, int).reshape(-1), minlength=70).tolist()
+        assert root.tolist() == neardup.joined(70, *np.array(edges, int).reshape(-1, 2).T).tolist()
+
+
 def test_templates_are_no_cluster(spark):
     """Texts that share half of their words, as pages of one template do, are neither brought together nor compared."""
     frame = [f"t{k}" for k in range(130)]
