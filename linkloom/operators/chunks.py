@@ -6,7 +6,7 @@ dealt to tasks by key; the chunks of one body are read one after the other, as i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,63 +57,66 @@ class _Css:
         return [(k, at, size, "asset", "css" if imported else "other", 0, 0, 0, ref, "") for k, (at, size, ref, imported) in enumerate(found, self.links - len(found))]
 
 
-def chunk_references(chunks: DataFrame, key: str = "url", sheets: bool = False) -> DataFrame:
-    """key and the references of each body, with their offsets and lengths in it, as a scan of the whole body gives them.
+def chunk_references(chunks: DataFrame, key: str = "url", sheets: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns to keep, and the references of each body, with their offsets and lengths in it, as a scan of the whole body gives them.
 
-    chunks: key, chunk and bytes.  A page has one more row, of link -1 and the role document: its ref is the href of the page's base, or null.
-    Null bytes are empty ones; other columns are ignored.
+    chunks: key, chunk and bytes, and columns to keep, which have one value in all chunks of a body.  A page has one more row, of link -1 and
+    the role document: its ref is the href of the page's base, or null.  Null bytes are empty ones; other columns are ignored.
     """
     make = _Css if sheets else _Html
-    kind = chunks.schema[key].dataType.simpleString()
-    names = [key, *[x.split()[0] for x in _FIELDS.split(", ")]]
+    told = [key, *keep]
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in told)
+    names = [*told, *[x.split()[0] for x in _FIELDS.split(", ")]]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body, scan, out = None, None, []
+        body, scan, own, out = None, None, (), []
 
-        def given(of: pa.DataType) -> pa.RecordBatch:
+        def given(of: list[pa.DataType]) -> pa.RecordBatch:
             columns = zip(*out)
-            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (of, *types))], names=names)
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*of, *types))], names=names)
             out.clear()
             return made
 
-        kind_of = None
+        kinds_of = []
         for batch in batches:
-            keys, parts, kind_of = batch.column(0), batch.column(1), batch.schema.field(0).type
+            keys, parts, kinds_of = batch.column(0), batch.column(len(told)), batch.schema.types[: len(told)]
             for i in range(batch.num_rows):
                 k = keys[i].as_py()
                 if scan is None or k != body:
                     if scan is not None:
-                        out += [(body, *r) for r in scan.feed(b"", True)]
-                    body, scan = k, make()
-                out += [(body, *r) for r in scan.feed(parts[i].as_py() or b"", False)]
+                        out += [(*own, *r) for r in scan.feed(b"", True)]
+                    body, scan, own = k, make(), (k, *[batch.column(c)[i].as_py() for c in range(1, len(told))])
+                out += [(*own, *r) for r in scan.feed(parts[i].as_py() or b"", False)]
                 if len(out) >= _ROWS:
-                    yield given(kind_of)
+                    yield given(kinds_of)
         if scan is not None:
-            out += [(body, *r) for r in scan.feed(b"", True)]
+            out += [(*own, *r) for r in scan.feed(b"", True)]
         if out:
-            yield given(kind_of)
+            yield given(kinds_of)
 
-    ordered = chunks.select(key, "chunk", "bytes").repartition(key).sortWithinPartitions(key, "chunk")
-    return ordered.select(key, "bytes").mapInArrow(run, f"`{key}` {kind}, {_FIELDS}")
+    ordered = chunks.select(*told, "chunk", "bytes").repartition(key).sortWithinPartitions(key, "chunk")
+    return ordered.select(*told, "bytes").mapInArrow(run, f"{kinds}, {_FIELDS}")
 
 
-def discover_chunks(chunks: DataFrame, sheets: bool = False) -> DataFrame:
+def discover_chunks(chunks: DataFrame, sheets: bool = False, key: str = "url") -> DataFrame:
     """Edges of bodies in chunks: url, link, part, role, hint and target (parsed), as discover_html and discover_css give them for whole ones.
 
-    chunks: url, chunk and bytes.  References come out before a page's base is known, so they meet it by url.
+    chunks: url, chunk and bytes, and key where a URL has several bodies: it tells them apart, and edges have it too.
+    References come out before a page's base is known, so they meet it by key.
     """
-    found = chunk_references(chunks, "url", sheets)
+    told = list(dict.fromkeys([key, "url"]))
+    found = chunk_references(chunks, key, sheets, told[1:])
     if not sheets:
         found = cut(found)  # read twice; light rows, where a second scan would read all bodies
     page = U.parse(F.col("url"))
     if sheets:
         based = computed(found, "_base", page)
     else:
-        bases = found.where("link = -1").select(F.col("url").alias("_url"), F.col("ref").alias("_href"))
-        met = found.where("link >= 0 and role != 'base'").join(bases, F.col("url").eqNullSafe(F.col("_url")))
+        bases = found.where("link = -1").select(F.col(key).alias("_key"), F.col("ref").alias("_href"))
+        met = found.where("link >= 0 and role != 'base'").join(bases, F.col(key).eqNullSafe(F.col("_key")))
         based = computed(met, "_base", effective_base(page, F.col("_href")))
     target = F.when(~U.is_non_fetchable(F.col("ref")), U.resolve(F.col("_base"), F.col("ref")))
     rows = computed(based, "target", let(target, lambda t: F.when(t.isNotNull() & U.is_http(t), t))).where("target is not null")
     role = F.when(F.col("role").isin("meta_refresh", "navigation"), "navigation").otherwise("asset")
-    return rows.select("url", "link", "part", role.alias("role"), "hint", "target")
+    return rows.select(*told, "link", "part", role.alias("role"), "hint", "target")
