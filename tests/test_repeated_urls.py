@@ -42,3 +42,8 @@ def test_bodies_of_one_url_keep_to_their_own_base(spark):
     assert sorted((r.id, r.url, r.target.path) for r in edges.where("id < 6").collect()) == [(k, "http://h/p", f"/b{k}/x") for k in range(6)]
     kept = chunks.chunk_references(cut.withColumn("n", F.col("id") * 2), "id", keep=["url", "n"]).where("link = 0")
     assert sorted((r.id, r.n, r.url is None) for r in kept.collect()) == [(k, 2 * k, k == 6) for k in range(7)]
+
+
+def test_manifest_upsert(spark, repeated):
+    got, wanted = both(spark, repeated, "manifest_upsert")
+    assert got == wanted and got.total() == 81 and len({url for url, *_ in got}) == 4
