@@ -47,3 +47,8 @@ def test_bodies_of_one_url_keep_to_their_own_base(spark):
 def test_manifest_upsert(spark, repeated):
     got, wanted = both(spark, repeated, "manifest_upsert")
     assert got == wanted and got.total() == 81 and len({url for url, *_ in got}) == 4
+
+
+def test_rewrite_manifest(spark, repeated):
+    got, wanted = both(spark, repeated, "rewrite_manifest")
+    assert got == wanted and got.total() == 80 and len({url for url, *_ in got}) == 3
