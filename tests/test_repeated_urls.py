@@ -52,3 +52,8 @@ def test_manifest_upsert(spark, repeated):
 def test_rewrite_manifest(spark, repeated):
     got, wanted = both(spark, repeated, "rewrite_manifest")
     assert got == wanted and got.total() == 80 and len({url for url, *_ in got}) == 3
+
+
+def test_update_diff(spark, repeated):
+    got, wanted = both(spark, repeated, "update_diff")
+    assert got == wanted and got.total() == 80 and len({change for _, change in got}) == 3
