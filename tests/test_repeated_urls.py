@@ -57,3 +57,8 @@ def test_rewrite_manifest(spark, repeated):
 def test_update_diff(spark, repeated):
     got, wanted = both(spark, repeated, "update_diff")
     assert got == wanted and got.total() == 80 and len({change for _, change in got}) == 3
+
+
+def test_conditional_headers(spark, repeated):
+    got, wanted = both(spark, repeated, "conditional_headers")
+    assert got == wanted and got.total() == 80 and len({url for url, *_ in got}) == 3
